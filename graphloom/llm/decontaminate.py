@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows, with DataFrame functions only.
 
-Every benchmark item gets a window length from its size class: the largest power of two c, 4 at least, such that a window and its stride
-c/2 fit into the item (c + c/2 - 1 <= words). Documents are cut into windows of c words at every c/2 words, for each class in use, and
-an item into its windows of c words at every word: so each copy of an item holds document windows that equal windows of the item.
+Every benchmark item gets a window length from its size: the largest power of two c of which two windows and a stride of c/2 fit into the
+item (5c/2 - 1 words or fewer; items under 19 words: 8, or 4 under 11 words). Documents are cut into windows of c words at every c/2 words,
+for each c in use, and an item into its windows of c words at every word: so each copy of an item holds document windows that equal
+windows of the item, and a copy with one changed word holds one that doesn't have it.
 
 A window's fingerprint is the 64-bit SimHash of its words. Fingerprints meet by multi-index Hamming blocks: of the ``RADIUS + 1`` blocks of
 bits of two fingerprints within the radius at least one is equal, so looking up every block finds all within it. What meets is checked on the
@@ -71,11 +72,10 @@ def blocks_of(simhash: Column, size: Column) -> list[Column]:
 
 def size_class(words: Column) -> Column:
     """The window length of an item, null if it is too short."""
-    sizes = [c for c in (2**k for k in range(20)) if LEAST_CLASS <= c <= MOST_CLASS]
-    out = F.lit(None).cast("int")
-    for c in sizes:
-        out = F.when(words >= c + c // 2 - 1, F.lit(c)).otherwise(out)
-    return F.when(words >= SHINGLE_WORDS, out)
+    out = F.when(words >= SHINGLE_WORDS, F.lit(LEAST_CLASS))
+    for c in (2**k for k in range(3, MOST_CLASS.bit_length())):
+        out = F.when(words >= (11 if c == 8 else 5 * c // 2 - 1), F.lit(c)).otherwise(out)
+    return out
 
 
 def windows(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
