@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +107,7 @@ def without_comments(text: str) -> str:
             i = n if (j := text.find("\n", i)) < 0 else j
         elif text.startswith("/*", i):
             i = n if (j := text.find("*/", i + 2)) < 0 else j + 2
-        elif c == "," and text[i + 1 :].lstrip()[:1] in ("}", "]"):
-            i += 1
         else:
             out.append(c)
             i += 1
-    return "".join(out)
+    return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m.group(1) or "", "".join(out))
