@@ -12,11 +12,13 @@ Neighbours in such an order share the longest prefixes, and documents of similar
 3. Then all trees are read again, with what is known: regions of one component are done. In larger regions a component is stood for
    by the documents with most links, and by those beside documents of other components, which are their longest-prefix neighbours.
    Blocks are compared as before, so that what is left over meets the centres of the groups near it.
+4. What blocks left out is made good: in every region larger than a block that still has several components, each document outside the
+   region's main component is compared with the whole region, tile by tile. A region's main component is never compared with itself.
 
 Links are confirmed on full sets only (100 * intersection >= 75 * union), so no pair is linked wrongly; with 24 trees of depth three a
 pair at the least similarity meets in a region with probability 1 - 2e-6, a more similar one with higher.
 
-No task holds more than a block or a sort partition, no row is a pair of copies, and components are found by joins on the cluster.
+No task holds more than a block, a tile or a sort partition, no row is a pair of copies, and components are found by joins on the cluster.
 
 Defined cases: null, empty and wordless texts have empty sets and are linked with nothing; a null id keeps its row, is linked with
 nothing and has a null component (and is kept); rows that repeat an id and text are one class; an empty table gives an empty result;
@@ -206,8 +208,35 @@ def block_rows(rows: DataFrame) -> DataFrame:
     return in_order(rows).mapInArrow(run, "tree int, block long, rep long, comp long")
 
 
-def compared(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a block that connect what wasn't connected: (pivot, other). Every two documents left unconnected have been compared."""
+def remaining(rows: DataFrame) -> DataFrame:
+    """Rows (tree, block, rep, comp, asks) of rows (tree, key, rep, n, comp): the tiles of regions that blocks can't hold whole.
+
+    ``asks`` tells the documents outside the region's main component; each of them shares one tile with every document of the region.
+    Regions are met by parts of their documents, so that a region of most rows is no single join key.
+    """
+    parts = 64
+    named = rows.select("tree", F.substring("key", 1, 4 * STEP).alias("region"), "rep", "n", "comp")
+    held = named.groupBy("tree", "region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = (
+        held.groupBy("tree", "region")
+        .agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", F.col("n").alias("of"), (-F.col("comp")).alias("main"))).alias("most"))
+        .where((F.col("m") > F.col("most.m")) & ((F.col("m") > BLOCK) | (F.col("n") > BLOCK_SHINGLES)))
+    )
+    pieces = lambda m, n: F.ceil(F.greatest(m / (BLOCK / 2), n / (BLOCK_SHINGLES / 2))).cast("int")
+    large = large.select("tree", "region", (-F.col("most.main")).alias("main"), pieces(F.col("m"), F.col("n")).alias("wide"), pieces(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.of")).alias("high"))
+    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    here = named.withColumn("h", F.xxhash64("rep")).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).join(large, ["tree", "region", "part"])
+    place = F.xxhash64(F.col("h"), F.lit(1))
+    all_tiles = here.withColumns({"x": F.pmod(place, "wide").cast("int"), "y": F.explode(F.expr("sequence(0, high - 1)")), "asks": F.lit(False)})
+    asked = here.where("comp <> main").withColumns({"y": F.pmod(place, "high").cast("int"), "x": F.explode(F.expr("sequence(0, wide - 1)")), "asks": F.lit(True)})
+    return all_tiles.unionByName(asked).select("tree", F.xxhash64("region", "x", "y").alias("block"), "rep", "comp", "asks")
+
+
+def compared(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a block that connect what wasn't connected: (pivot, other). Every two documents left unconnected have been compared.
+
+    With ``asks`` only the documents it marks are pivots.
+    """
     group: dict[int, int] = {}
     label = np.array([group.setdefault(c, len(group)) for c in comps.tolist()])
     sizes = np.array([len(s) for s in sets])
@@ -216,7 +245,8 @@ def compared(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
     centre = np.add.reduceat(common[place], starts) / sizes  # documents whose shingles many others share come first
     mark = np.zeros(len(common), np.int64)
     links: list[tuple[int, int]] = []
-    for p in np.argsort(-centre, kind="stable").tolist():
+    order = np.argsort(-centre, kind="stable")
+    for p in (order if asks is None else order[asks[order]]).tolist():
         if (label == label[p]).all():
             if (label == label[0]).all():
                 break
@@ -239,7 +269,8 @@ def links_of(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table.column("rep")))
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
-        found = compared(table.column("rep").to_numpy(), table.column("comp").to_numpy(), sets, percent)
+        asks = table.column("asks").to_numpy() if "asks" in table.column_names else None
+        found = compared(table.column("rep").to_numpy(), table.column("comp").to_numpy(), sets, percent, asks)
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -303,6 +334,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = links_of(block_rows(again), sets, percent)
     all_links = space.table(found.unionByName(more).unionByName(known.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))), "links")
     final = space.table(components(all_links, space), "components")
+    placed = near.join(final, "rep", "left").select("tree", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    rest = space.table(links_of(remaining(placed), sets, percent), "links")
+    if not rest.isEmpty():
+        joined = final.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+        final = space.table(components(joined.unionByName(rest), space), "components")
 
     named = reps.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     linked = classes.join(named, "digest").select("doc_id", "n_shingles", "component_id")

@@ -171,6 +171,28 @@ def test_near(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_remaining(spark, monkeypatch):
+    base = words(160, 7)
+    rows = []
+    for k in range(12):  # chains: each next text changes further words, so that its ends aren't linked with each other
+        chain = list(base)
+        for step in range(6):
+            for p in range(step * 20 + k % 3, step * 20 + 12, 6):
+                chain[p] = f"w{k}x{p}"
+            rows.append((10 * k + step, " ".join(chain)))
+    want = near_by_force(rows)
+    space = Workspace(spark, "test")
+    texts = docs(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
+    reps = space.table(near_dedup.signed(texts, 5), "signed").select(F.col("doc_id").alias("rep"), "sig", F.col("n_shingles").alias("n"))
+    near = space.table(near_dedup.region_rows(near_dedup.tree_rows(reps)), "regions")
+    sets = spark.createDataFrame([(i, near_dedup.shingle_set(HashCache().of(t.encode().split())).tobytes()) for i, t in rows], "rep long, set binary")
+    monkeypatch.setattr(near_dedup, "BLOCK", 1)  # every region is a large one, and every tile small
+    links = near_dedup.links_of(near_dedup.remaining(near.withColumn("comp", F.col("rep"))), sets, 75)
+    comp = {r["rep"]: r["comp"] for r in near_dedup.components(links, space).collect()}
+    assert sorted((str(i), n, str(comp.get(int(i), int(i)))) for i, n, _ in want) == want
+    assert near_dedup.remaining(near.withColumn("comp", F.lit(1).cast("long"))).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 100), (95, 100)], "a long, b long")
     got = {r["rep"]: r["comp"] for r in near_dedup.components(links, Workspace(spark, "test")).collect()}
