@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import freed, slices
+
 #: Characters that stand for bytes: printable Latin-1 ones for themselves, the others from U+0100 on.
 _KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHIFTED = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
@@ -80,7 +81,7 @@ def model_bytes(pieces: list[bytes]) -> bytes:
 class ByteBPE:
     """Encoder and decoder of one vocabulary. Ids are ranks, kept as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 700_000) -> None:
+    def __init__(self, path: str, pattern: str, cached: int = 300_000) -> None:
         self.pieces = read_ranks(path)
         self.width = "<u2" if len(self.pieces) < 1 << 16 else "<u4"
         self.find = regex.compile(pattern).findall
@@ -162,6 +163,11 @@ class ByteBPE:
             out[i] = b"".join(parts)
         return out
 
+    def forget(self) -> None:
+        """Empties the caches, so that a worker that waits for its next task holds the vocabulary only."""
+        self.whole.clear()
+        self.spaced.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
         return self.encode_many([text])[0]
@@ -189,16 +195,6 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` bytes of text each, so that what is built from one stays small."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    group = np.cumsum(sizes) // most
-    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-    for a, b in zip(starts, starts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode_frame(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Rows (doc_id, n_tokens, ids binary, ids_sha256, decoded_sha256); ``ids`` only with ``keep_ids``. One pass, no shuffle."""
 
@@ -213,6 +209,8 @@ def encode_frame(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc
                 n, raw, a, b = zip(*rows, strict=True)
                 out = [batch.column(0), pa.array(n, pa.int64()), *([pa.array(raw, pa.binary())] if keep_ids else []), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"])
+        bpe.forget()
+        freed()
 
     schema = f"doc_id long, n_tokens long, {'ids binary, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +61,29 @@ class Workspace:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text each, so that what is built from one stays small."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    group = np.cumsum(sizes) // most
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def freed() -> None:
+    """Gives free memory back to the system at a task's end: Python workers live on, several to a core, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 class HashCache(dict):
     """Word (bytes) to its 64-bit hash; emptied when it holds ``most`` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, HashCache, Workspace, shingle_set
+from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, HashCache, Workspace, freed, shingle_set, slices
 
 TREES, STEP, DEPTH, FIRST = 24, 3, 6, 4
 #: Most documents and (beyond two documents) shingles of a block.
@@ -74,6 +74,8 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+        cache.clear()
+        freed()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
@@ -318,8 +320,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), cache, words)], pa.binary())], ["rep", "set"])
+        cache.clear()
+        freed()
 
     # Rows that repeat an id are one document to the links: a link of any of them counts for the id.
     wanted = texts.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import HashCache, gram_hashes
+from graphloom.llm.common import HashCache, freed, gram_hashes
 
 #: Most labelled documents that a fit reads.
 FIT_ROWS = 12_000
@@ -88,6 +88,8 @@ def stats_column(text: Column) -> Column:
             rows = [text_stats(x.as_buffer().to_pybytes() if x.is_valid else b"", cache) for x in texts]
             columns = np.array(rows, np.int64).reshape(-1, len(STATS)).T
             yield pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_KIND))
+        cache.clear()
+        freed()
 
     return stats(text.cast("binary"))
 
