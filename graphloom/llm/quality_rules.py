@@ -224,7 +224,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, i
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
     stats = sample.select("__id", "__label", stats_column(F.col("__text")).alias("s"))
     features = feature_columns("s")
-    rows = stats.where(~base_failed("s")).select("__id", "__label", *[c.alias(n) for n, c in features.items()]).toArrow()
+    # A filter on the statistics would be pushed below the join, which would then compute them for every document.
+    rows = stats.select("__id", "__label", base_failed("s").alias("__failed"), *[c.alias(n) for n, c in features.items()]).toArrow()
+    rows = rows.filter(pc.invert(rows.column("__failed"))).drop_columns(["__failed"])
     model = DecisionList(list(features), **options)
     if not rows.num_rows:
         return model
