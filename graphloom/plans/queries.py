@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.operators import analyzers as A
 from graphloom.operators import governance as G
-from graphloom.operators import graph, liveness, report, resolve, rules
+from graphloom.operators import graph, liveness, manifests, report, resolve, rules, tags
 from graphloom.sources.projections import Canon, with_tables
 from graphloom.streaming.watch import invalidation
 
@@ -498,3 +499,61 @@ def change_invalidations(c: Canon) -> DataFrame:
     names = {"error": "a/package.json", "click": "tsconfig.base.json", "view": "src/a.ts", "signup": "CODEOWNERS", "purchase": "notes.txt"}
     path = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
     return c.read("events").groupBy(invalidation(path).alias("invalidates")).agg(F.count("*").alias("changes")).where("invalidates is not null")
+
+
+@query("""t AS (SELECT workspace AS g, count(*) AS n, 'workspace' AS source, 'ws-' AS mark FROM files GROUP BY 1 UNION ALL SELECT package, count(*), 'package', 'pkg-' FROM files GROUP BY 1)
+    SELECT mark || regexp_replace(g, '[/@.]', '-', 'g') AS name, g AS "glob", source, n AS files FROM t WHERE n >= 3""", ("files",))
+def structure_tags(c: Canon) -> DataFrame:
+    return tags.structure_tags(c["files"])
+
+
+@query("""d AS (SELECT CAST(regexp_extract(dep, '[0-9]+$') AS INT) AS k, dep_kind FROM declared),
+    s(k, dep, tag, o) AS (VALUES (1, 'react', 'react', 1), (2, 'react-dom', 'react', 2), (3, 'vue', 'vue', 4), (4, 'jest', 'jest', 25), (5, 'hono', 'hono', 15))
+    SELECT 'framework-' || tag AS name, arg_min(s.dep, s.o) AS dep FROM d JOIN s USING (k) GROUP BY 1""", ("declared",))
+def framework_tags(c: Canon) -> DataFrame:
+    names = F.array(*map(F.lit, ["react", "react-dom", "vue", "jest", "hono"]))
+    number = F.regexp_extract("dep", r"[0-9]+$", 0).cast("int")
+    return tags.framework_tags(c["declared"].withColumn("dep", F.coalesce(F.get(names, number - 1), F.col("dep"))))
+
+
+@query("""n AS (SELECT file_id, CASE p_size % 6 WHEN 0 THEN 'components' WHEN 1 THEN 'hooks' WHEN 2 THEN 'store' WHEN 3 THEN 'lib' END AS r FROM files)
+    SELECT 'role-' || r AS name, '**/' || r || '/**' AS "glob", 'file-pattern' AS source, CAST(count(*) * CASE r WHEN 'store' THEN 2 ELSE 1 END AS BIGINT) AS files FROM n WHERE r IS NOT NULL GROUP BY r HAVING count(*) * CASE r WHEN 'store' THEN 2 ELSE 1 END >= 3""", ("files",))
+def role_tags(c: Canon) -> DataFrame:
+    folder = F.get(F.array(*map(F.lit, ["Components", "hooks", "store", "lib", "other", "more"])), F.col("p_size") % 6)
+    return tags.role_tags(c["files"].withColumn("rel_path", F.concat(folder, F.lit("/x/"), folder, F.lit("/"), F.col("rel_path"))))
+
+
+@query("""e AS (SELECT package, kind FROM entries JOIN files USING (file_id) WHERE kind <> 'explicit-config' OR package = 'brand-2')
+    SELECT package, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM e GROUP BY package HAVING bool_and(kind IN ('package-main', 'package-bin', 'framework-pack'))""", ("files", "entries"))
+def fence_packages(c: Canon) -> DataFrame:
+    files = c["files"].select("file_id", "package", F.concat_ws("/", F.lit("packages"), "package").alias("workspace"))
+    seeds = c["entries"].join(files.select(F.col("file_id").alias("__f"), "workspace"), F.col("file_id") == F.col("__f")).where("kind <> 'explicit-config' or workspace = 'packages/brand-2'")
+    return tags.fences(seeds, files, kinds=["package-main", "package-bin", "framework-pack"]).select("package", F.array_join("kinds", ",").alias("kinds"))
+
+
+_EXPORTS = {".": {"import": "./src/index.mjs", "types": "./src/index.d.ts"}, "./a": None, "./f*": {"node": {"default": "./src/f*.ts"}}, "./z/*": ["./lib/*/*.js", "./src/x/*.js"]}
+
+
+def _manifests(c: Canon) -> DataFrame:
+    rows = c["files"].select("workspace").distinct()
+    imports = {"#u": "./src/u.ts", "#s/*": {"default": "./src/s/*.ts"}}
+    return rows.select("workspace", F.lit("pkg").alias("package"), F.lit(json.dumps(_EXPORTS)).alias("exports"), F.lit(json.dumps(imports)).alias("imports"), F.lit('{"fs": "./shim/fs.js"}').alias("browser"))
+
+
+@query("""r AS (SELECT workspace, file_id, CASE p_size % 5 WHEN 0 THEN '.' WHEN 1 THEN './a' WHEN 2 THEN concat('./f', file_id) WHEN 3 THEN concat('./z/', file_id) ELSE 'other' END AS specifier FROM files)
+    SELECT file_id, specifier, CASE WHEN specifier = '.' THEN '.' WHEN specifier = './a' THEN './a' WHEN starts_with(specifier, './f') THEN './f*' WHEN starts_with(specifier, './z/') THEN './z/*' END AS pattern,
+      CASE WHEN specifier = '.' THEN 'src/index.d.ts' WHEN starts_with(specifier, './f') THEN concat('src/f', file_id, '.ts') WHEN starts_with(specifier, './z') THEN concat('lib/', file_id, '/', file_id, '.js') END AS target, specifier <> 'other' AS defined FROM r""", ("files",))
+def exports_lookup(c: Canon) -> DataFrame:
+    size, file = F.col("p_size") % 5, F.col("file_id").cast("string")
+    spec = F.when(size == 0, ".").when(size == 1, "./a").when(size == 2, F.concat(F.lit("./f"), file)).when(size == 3, F.concat(F.lit("./z/"), file)).otherwise("other")
+    requests = c["files"].select("workspace", "file_id", spec.alias("specifier"))
+    maps = manifests.manifest_maps(_manifests(c))
+    return manifests.looked_up(requests, maps, "exports").select("file_id", "specifier", "pattern", "target", "defined")
+
+
+@query("SELECT DISTINCT workspace, CASE WHEN p_size % 2 = 0 THEN concat('src/f', file_id, '.ts') ELSE concat('src/x/', file_id, '.js') END AS path FROM files WHERE p_size % 3 <> 0", ("files",))
+def exports_wildcard_files(c: Canon) -> DataFrame:
+    file = F.col("file_id").cast("string")
+    path = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("test/"), file)).when(F.col("p_size") % 2 == 0, F.concat(F.lit("./src/f"), file, F.lit(".ts"))).otherwise(F.concat(F.lit("src/x/"), file, F.lit(".js")))
+    found = manifests.wildcard_files(manifests.manifest_maps(_manifests(c)), c["files"].select("workspace", path.alias("path")))
+    return found.select("workspace", F.regexp_replace("path", r"^\./", "").alias("path"))
