@@ -60,19 +60,29 @@ def pascal(tag: str) -> str:
     return "".join(p[:1].upper() + p[1:] for p in tag.split("-"))
 
 
-def facts(path: str, text: str) -> list[tuple]:
-    """Rows of ``FACT`` of one file, in order of kinds and places."""
-    rows: list[tuple] = []
-    template = ""
+def script_of(path: str, text: str) -> tuple[str, str]:
+    """The script of a file, on its own lines, and the template around it (empty for plain sources)."""
     if path.endswith((".vue", ".svelte")):
+        blocks = list(_SCRIPT.finditer(text))
         template = _SCRIPT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-        text = re.sub(r"[^\n]", " ", text) if not _SCRIPT.search(text) else "\n".join(("\n" * text[: m.start(1)].count("\n") if k == 0 else "") + m.group(1) for k, m in enumerate(_SCRIPT.finditer(text)))
-    elif path.endswith(".astro"):
+        at = [text[: m.start(1)].count("\n") for m in blocks]
+        script, done = "", 0
+        for m, lines in zip(blocks, at, strict=True):
+            script += "\n" * (lines - done) + m.group(1)
+            done = lines + m.group(1).count("\n")
+        return script, template
+    if path.endswith(".astro"):
         m = _FRONT.match(text)
-        template, text = (text[m.end() :], "\n" + m.group(1)) if m else (text, "")
-    elif path.endswith(".mdx"):
-        template = text
-        text = "\n".join(line if re.match(r"(import|export)\b", line) else "" for line in text.split("\n"))
+        return ("\n" + m.group(1), "\n" * text[: m.end()].count("\n") + text[m.end() :]) if m else ("", text)
+    if path.endswith(".mdx"):
+        return "\n".join(line if re.match(r"(import|export)\b", line) else "" for line in text.split("\n")), text
+    return text, ""
+
+
+def facts(path: str, text: str) -> list[tuple]:
+    """Rows of ``FACT`` of one file, in order of kinds and places."""
+    rows: list[tuple] = []
+    text, template = script_of(path, text)
     code = stripped(text)
     line = lambda at: code.count("\n", 0, at) + 1
 
