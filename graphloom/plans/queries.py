@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.operators import analyzers as A
 from graphloom.operators import governance as G
-from graphloom.operators import graph, liveness, manifests, report, resolve, rules, tags
+from graphloom.operators import fixes, graph, liveness, manifests, report, resolve, rules, tags
 from graphloom.sources.projections import Canon, with_tables
 from graphloom.streaming.watch import invalidation
 
@@ -557,3 +557,15 @@ def exports_wildcard_files(c: Canon) -> DataFrame:
     path = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("test/"), file)).when(F.col("p_size") % 2 == 0, F.concat(F.lit("./src/f"), file, F.lit(".ts"))).otherwise(F.concat(F.lit("src/x/"), file, F.lit(".js")))
     found = manifests.wildcard_files(manifests.manifest_maps(_manifests(c)), c["files"].select("workspace", path.alias("path")))
     return found.select("workspace", F.regexp_replace("path", r"^\./", "").alias("path"))
+
+
+@query(_FOUND + """z AS (SELECT concat('fix-', id) AS id, subject AS target, confidence, CASE file_id % 4 WHEN 0 THEN 'delete-file' WHEN 1 THEN 'remove-dependency' WHEN 2 THEN 'break-cycle' END AS action,
+    CASE file_id % 4 WHEN 0 THEN 'dead-code' WHEN 1 THEN 'dead-code' WHEN 2 THEN 'architecture' END AS phase, CASE file_id % 4 WHEN 0 THEN 'medium' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS risk,
+    CASE file_id % 4 WHEN 0 THEN concat('Delete the file `', subject, '`.') WHEN 1 THEN concat('Remove `', subject, '` from package.json dependencies.')
+      WHEN 2 THEN concat('Identify the weakest edge in the cycle involving `', subject, '`. Extract the shared dependency or invert the dependency direction.') ELSE '' END AS steps
+    FROM found WHERE starts_with(subject, 'promo/src/') OR starts_with(subject, 'small/')) SELECT * FROM z""", _RT)
+def fix_plan(c: Canon) -> DataFrame:
+    codes = F.array(*map(F.lit, ["unused-file", "unused-package", "cycle", "odd"]))
+    found = _found(c).withColumn("code", F.get(codes, (F.col("file_id") % 4).cast("int")))
+    steps = F.array_join(F.transform("steps", lambda s: s["description"]), " ")
+    return fixes.fix_actions(fixes.named(found, ["promo/src/", "small/"])).select("id", "target", "confidence", "action", "phase", "risk", steps.alias("steps"))
