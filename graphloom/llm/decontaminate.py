@@ -106,29 +106,29 @@ def shingles(words: Column) -> Column:
 
 
 def item_index(items: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item_id, n_words, class, weights map<shingle, weight>, counts map<shingle, count>, total, words)."""
+    """Rows (key, item_id, n_words, class, weights map<shingle, weight>, counts map<shingle, count>, total, words); each item and text has its own key."""
     base = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("item_id"), word_array(F.col(text_col)).alias("words"))
-    base = base.withColumn("n_words", F.size("words")).withColumn("class", size_class(F.size("words"))).where("class is not null").dropDuplicates(["item_id", "words"])
-    each = base.select("item_id", "words", F.explode_outer(shingles(F.col("words"))).alias("g")).where("g is not null").groupBy("item_id", "words", "g").agg(F.count("*").cast("double").alias("c"))
+    base = base.withColumn("n_words", F.size("words")).withColumn("class", size_class(F.size("words"))).where("class is not null").dropDuplicates(["item_id", "words"]).withColumn("key", F.xxhash64("item_id", "words"))
+    each = base.select("key", F.explode_outer(shingles(F.col("words"))).alias("g")).where("g is not null").groupBy("key", "g").agg(F.count("*").cast("double").alias("c"))
     rarity = each.groupBy("g").agg((1.0 / F.count("*")).alias("w"))
-    bags = each.join(rarity, "g").groupBy("item_id", "words").agg(
+    bags = each.join(rarity, "g").groupBy("key").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", "w")))).alias("weights"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", "c")))).alias("counts"), F.round(F.sum(F.col("w") * F.col("c")), 9).alias("total"))
-    return base.join(bags, ["item_id", "words"])
+    return base.join(bags, "key")
 
 
 def similarities(places: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, similarity) of rows (doc_id, item_id, part): weighted Jaccard of the words ``part`` and the item.
+    """Rows (doc_id, item, similarity) of rows (doc_id, item, part), ``item`` being the index's key: weighted Jaccard of the words ``part`` and the item.
 
     Shingles that no item holds weigh 1 each. A shingle counts for the intersection as often as both sides have it.
     """
-    bags = index.select("item_id", "weights", "counts", "total").withColumnRenamed("item_id", "__item")
-    rows = places.withColumn("place", F.xxhash64("doc_id", "item_id", "part")).withColumn("g", F.explode_outer(shingles(F.col("part")))).where("g is not null")
-    counted = rows.groupBy("doc_id", "item_id", "place", "g").agg(F.count("*").cast("double").alias("c"))
-    weighed = counted.join(bags, F.col("item_id") == F.col("__item"))
+    bags = index.select(F.col("key").alias("__item"), "weights", "counts", "total")
+    rows = places.withColumn("place", F.xxhash64("doc_id", "item", "part")).withColumn("g", F.explode_outer(shingles(F.col("part")))).where("g is not null")
+    counted = rows.groupBy("doc_id", "item", "place", "g").agg(F.count("*").cast("double").alias("c"))
+    weighed = counted.join(bags, F.col("item") == F.col("__item"))
     weight, there = F.try_element_at("weights", F.col("g")), F.try_element_at("counts", F.col("g"))
-    summed = weighed.select("doc_id", "item_id", "place", "total", (F.coalesce(weight, F.lit(1.0)) * F.col("c")).alias("own"), F.coalesce(weight * F.least("c", there), F.lit(0.0)).alias("both"))
-    summed = summed.groupBy("doc_id", "item_id", "place").agg(F.max("total").alias("total"), F.sum("own").alias("own"), F.sum("both").alias("both"))
-    return summed.select("doc_id", "item_id", F.round(F.col("both") / (F.col("own") + F.col("total") - F.col("both")), 6).alias("similarity"))
+    summed = weighed.select("doc_id", "item", "place", "total", (F.coalesce(weight, F.lit(1.0)) * F.col("c")).alias("own"), F.coalesce(weight * F.least("c", there), F.lit(0.0)).alias("both"))
+    summed = summed.groupBy("doc_id", "item", "place").agg(F.max("total").alias("total"), F.sum("own").alias("own"), F.sum("both").alias("both"))
+    return summed.select("doc_id", "item", F.round(F.col("both") / (F.col("own") + F.col("total") - F.col("both")), 6).alias("similarity"))
 
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", percent: int = NEAR_PERCENT, space: Workspace | None = None) -> DataFrame:
@@ -140,10 +140,10 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_array(F.col(text_col)).alias("words")).where("doc_id is not null")
     if classes:
         size = F.col("class")
-        offsets = index.select("item_id", "n_words", "words", F.col("class").alias("c")).withColumn("item_at", F.explode(F.expr("sequence(0, n_words - c)")))
-        cut = offsets.select("item_id", "n_words", "c", "item_at", F.slice("words", F.col("item_at") + 1, F.col("c")).alias("words"))
+        offsets = index.select(F.col("key").alias("item"), "n_words", "words", F.col("class").alias("c")).withColumn("item_at", F.explode(F.expr("sequence(0, n_words - c)")))
+        cut = offsets.select("item", "n_words", "c", "item_at", F.slice("words", F.col("item_at") + 1, F.col("c")).alias("words"))
         own = windows(cut, "words", classes).where("class = c")
-        keyed = own.select("item_id", "n_words", "item_at", F.col("simhash").alias("item_hash"), F.explode(F.array(*blocks_of(F.col("simhash"), size))).alias("key"))
+        keyed = own.select("item", "n_words", "item_at", F.col("simhash").alias("item_hash"), F.explode(F.array(*blocks_of(F.col("simhash"), size))).alias("key"))
         keyed = space.table(keyed, "index")
         parts = -(-keyed.count() // INDEX_ROWS)
         probes = windows(texts, "words", classes).withColumn("key", F.explode(F.array(*blocks_of(F.col("simhash"), size))))
@@ -151,11 +151,12 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
             part = keyed if parts == 1 else keyed.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
             close = probes.join(F.broadcast(part), "key").where(F.bit_count(F.col("item_hash").bitwiseXOR(F.col("simhash"))) <= RADIUS)
             start = F.col("at") - F.col("item_at")
-            found.append(close.select("doc_id", "item_id", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n_words") + F.least(start, F.lit(0))).alias("part")).distinct())
+            found.append(close.select("doc_id", "item", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n_words") + F.least(start, F.lit(0))).alias("part")).distinct())
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
     places = reduce(DataFrame.unionByName, found)
     close = similarities(space.table(places, "places"), index).where(100 * F.col("similarity") >= percent)
+    close = close.join(index.select(F.col("key").alias("item"), "item_id"), "item")
     return close.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

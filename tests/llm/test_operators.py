@@ -238,3 +238,12 @@ def test_counts(spark):
         got = token_counts.scan_files(spark, path, end_id=50256, block=block).orderBy("ordinal").collect()
         assert [r["n_tokens"] for r in got] == want and all(r["complete"] for r in got)
         assert [r["start"] for r in got] == [sum(want[:k]) + k for k in range(len(want))]
+
+
+def test_leaks_of_items_without_an_id_of_their_own(spark):
+    texts = [" ".join(words(40, k)) for k in range(20, 25)]
+    bench = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (8, texts[4]), (8, texts[4])], "item_id long, text string")
+    table = docs(spark, [f"{' '.join(words(30, 90 + k))} {t} z" for k, t in enumerate(texts)])
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.hits(table, bench).collect()}
+    assert got == {(0, 7, 1.0), (1, 7, 1.0), (2, -1, 1.0), (3, -1, 1.0), (4, 8, 1.0)}
+    assert decontaminate.without_leaks(table, bench).count() == 0
