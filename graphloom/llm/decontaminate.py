@@ -1,23 +1,19 @@
-"""Benchmark decontamination by SimHash windows, with DataFrame functions only.
+"""Benchmark decontamination by exact shingle lookup, with DataFrame functions only.
 
-Every benchmark item gets a window length from its size: the largest power of two c of which two windows and a stride of c/2 fit into the
-item (5c/2 - 1 words or fewer; items under 19 words: 8, or 4 under 11 words). Documents are cut into windows of c words at every c/2 words,
-for each c in use, and an item into its windows of c words at every word: so each copy of an item holds document windows that equal
-windows of the item, and a copy with one changed word holds one that doesn't have it.
+A document holds an item if some window of it, as long as the item (shorter at the document's ends), has a similarity of ``percent``
+hundredths or more: weighted Jaccard similarity of the shingles (runs of five words), weighted by rarity (one by the number of items that hold
+a shingle; one for what the item doesn't hold) and with multiplicity.
 
-A window's fingerprint is the 64-bit SimHash of its words. Fingerprints meet by multi-index Hamming blocks: of the ``RADIUS + 1`` blocks of
-bits of two fingerprints within the radius at least one is equal, so looking up every block finds all within it. What meets is checked on the
-exact distance, and then on the texts: the document's words where the item would lie are compared with the item's words, shingle by
-shingle, weighted by rarity (one by the number of items that hold a shingle) and with multiplicity, as weighted Jaccard similarity.
+Every shingle of every document is looked up in the items' shingles. Any similarity over zero needs a shared shingle, so no candidate is
+lost, whatever was changed between. What meets is a place (document, item, position, shingle); no text is shuffled. Places are put together
+by document and item; where all of them would not do for the threshold, the pair goes. For the others the windows that begin at a shared shingle, and
+those from the document's start that end with one, are compared: a window that begins otherwise can be moved on to the next shared
+shingle without loss, as it only drops words that the item doesn't hold, so the best window is among them.
 
-A bit of a SimHash is set if over half the window's words set it. The counts are bit-sliced: a tile of 2^k words has k + 1 longs, of
-which long j holds bit j of all 64 counts, and two tiles add up as 64 ripple-carry adders at once. Tiles are made once per document,
-pairwise upwards, and serve all classes. Windows meet the index map-side, where the document's words are at hand; no text is shuffled.
-
-The index is broadcast in parts of ``INDEX_ROWS`` rows at most (of known width), however large the benchmark is.
+The index is broadcast in parts of about ``INDEX_ROWS`` rows (of known width), however large the benchmark is; one item's rows are in one part.
 
 Words are runs without ASCII white space, lower-cased. Items of fewer than 5 words have no shingle and match nothing.
-Defined cases: null and empty texts have no windows; null ids of items count as an item (null never joins: they are given -1); documents with null or
+Defined cases: null and empty texts have no shingles; null ids of items count as an item (null never joins: they are given -1); documents with null or
 repeated ids are each kept or dropped by their id's hits, null ids by none; empty tables work; further columns go along.
 """
 
@@ -30,8 +26,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, Workspace
 
-RADIUS = 3
-LEAST_CLASS, MOST_CLASS = 4, 64
 #: Rows of the index that are broadcast at once; one takes about 100 bytes.
 INDEX_ROWS = 400_000
 _WHITE = "[\\x20\\x09-\\x0D]+"
@@ -43,120 +37,68 @@ def word_array(text: Column) -> Column:
     return F.when(F.length(body) > 0, F.split(body, _WHITE)).otherwise(F.array().cast("array<string>"))
 
 
-def _added(a: list[str], b: list[str]) -> list[str]:
-    """SQL of the sum of two bit-sliced counters, one bit longer."""
-    out, carry = [], ""
-    for x, y in zip(a, b, strict=True):
-        out.append(f"({x} ^ {y} ^ {carry})" if carry else f"({x} ^ {y})")
-        carry = f"(({x} & {y}) | ({carry} & ({x} ^ {y})))" if carry else f"({x} & {y})"
-    return [*out, carry]
-
-
-def _majority(a: list[str], b: list[str]) -> str:
-    """SQL of the bits that over half of the words of two equal tiles set: of 2^k words, k + 1 bits, the count is over 2^(k-1)."""
-    *low, half, top = _added(a, b)
-    return f"({top} | ({half} & ({' | '.join(low)})))"
-
-
-def _steps(array: str, length: int) -> tuple[list[str], list[str]]:
-    """SQL of the counters of the two tiles of step i (the (2i)th and the next) of an array; words count as tiles of one bit."""
-    name = lambda k, j: f"{array}[2 * i + {k}]" if length == 1 else f"{array}[2 * i + {k}].b{j}"
-    return [name(0, j) for j in range(length)], [name(1, j) for j in range(length)]
-
-
-def blocks_of(simhash: Column, size: Column) -> list[Column]:
-    """The keys under which a fingerprint is looked up: each of its RADIUS + 1 blocks of bits, with the block's number and the window's class."""
-    width = 64 // (RADIUS + 1)
-    return [F.shiftrightunsigned(simhash, k * width).bitwiseAND((1 << width) - 1) + k * (1 << width) + size.cast("long") * (1 << (width + 4)) for k in range(RADIUS + 1)]
-
-
-def size_class(words: Column) -> Column:
-    """The window length of an item, null if it is too short."""
-    out = F.when(words >= SHINGLE_WORDS, F.lit(LEAST_CLASS))
-    for c in (2**k for k in range(3, MOST_CLASS.bit_length())):
-        out = F.when(words >= (11 if c == 8 else 5 * c // 2 - 1), F.lit(c)).otherwise(out)
-    return out
-
-
-def windows(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
-    """``rows`` with one row per window, of every size at every half of it: ``class``, ``at`` (its first word, from 0) and ``simhash``."""
-    out = rows.withColumn("__t1", F.transform(words, lambda w: F.xxhash64(w)))
-    sets, size = ["array()"], 1
-    while 2 * size <= max(sizes):
-        bits = size.bit_length()
-        if 2 * size in sizes:
-            a, b = ([f"__t{size}[i{k}]" if bits == 1 else f"__t{size}[i{k}].b{j}" for j in range(bits)] for k in ("", " + 1"))
-            sets.append(f"if(size(__t{size}) < 2, array(), transform(sequence(0, size(__t{size}) - 2), i -> named_struct('class', {2 * size}, 'at', i * {size}, 's', {_majority(a, b)})))")
-        total = _added(*_steps(f"__t{size}", bits))
-        fields = ", ".join(f"'b{j}', {x}" for j, x in enumerate(total))
-        if 4 * size <= max(sizes):
-            out = out.withColumn(f"__t{2 * size}", F.expr(f"if(size(__t{size}) < 2, array(), transform(sequence(0, cast(size(__t{size}) div 2 as int) - 1), i -> named_struct({fields})))"))
-        size *= 2
-    made = [c for c in out.columns if c.startswith("__t")]
-    out = out.withColumn("__w", F.expr(f"concat({', '.join(sets[1:])})")).drop(*made)
+def with_shingles(rows: DataFrame, words: str) -> DataFrame:
+    """``rows`` with ``at`` and ``g`` in place of ``words``: one row for every run of five words, with its place (from 0) and hash."""
+    n = SHINGLE_WORDS
+    out = rows.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
+    run = ", ".join(["x", *(f"__h[i + {k}]" for k in range(1, n))])
+    out = out.withColumn("__g", F.expr(f"if(size(__h) < {n}, array(), transform(slice(__h, 1, size(__h) - {n - 1}), (x, i) -> xxhash64({run})))")).drop("__h")
     # Not explode: it would add a filter on the array's size, which goes below the steps that make the array and repeats them.
-    out = out.withColumn("__e", F.explode_outer("__w")).drop("__w").where("__e is not null")
-    return out.withColumns({"class": F.col("__e.class"), "at": F.col("__e.at"), "simhash": F.col("__e.s")}).drop("__e")
+    return out.select("*", F.posexplode_outer("__g").alias("at", "g")).drop("__g").where("g is not null")
 
 
-def shingles(words: Column) -> Column:
-    """Hashes of every run of five words."""
-    n = SHINGLE_WORDS
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), "\x1f")))).otherwise(F.array().cast("array<bigint>"))
+def item_index(items: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (item, item_id), each item and text having its own key, and rows (item, g, weight, times, n, n_words, total): each item's distinct shingles.
 
-
-def item_index(items: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows (key, item_id, n_words, class, weights map<shingle, weight>, counts map<shingle, count>, total, words); each item and text has its own key."""
-    base = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("item_id"), word_array(F.col(text_col)).alias("words"))
-    base = base.withColumn("n_words", F.size("words")).withColumn("class", size_class(F.size("words"))).where("class is not null").dropDuplicates(["item_id", "words"]).withColumn("key", F.xxhash64("item_id", "words"))
-    each = base.select("key", F.explode_outer(shingles(F.col("words"))).alias("g")).where("g is not null").groupBy("key", "g").agg(F.count("*").cast("double").alias("c"))
-    rarity = each.groupBy("g").agg((1.0 / F.count("*")).alias("w"))
-    bags = each.join(rarity, "g").groupBy("key").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", "w")))).alias("weights"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("g", "c")))).alias("counts"), F.round(F.sum(F.col("w") * F.col("c")), 9).alias("total"))
-    return base.join(bags, "key")
+    ``times`` is how often the item has the shingle, ``n`` the number of its shingles, ``total`` their weight.
+    """
+    base = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("item_id"), word_array(F.col(text_col)).alias("words")).where(F.size("words") >= SHINGLE_WORDS)
+    base = base.dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")).withColumn("n_words", F.size("words"))
+    each = with_shingles(base.select("item", "n_words", "words"), "words").groupBy("item", "n_words", "g").agg(F.count("*").cast("int").alias("times"))
+    rarity = each.groupBy("g").agg((1.0 / F.count("*")).alias("weight"))
+    each = each.join(rarity, "g")
+    sums = each.groupBy("item").agg(F.sum("times").cast("int").alias("n"), F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("total"))
+    return base.select("item", "item_id"), each.join(sums, "item").select("item", "g", "weight", "times", "n", "n_words", "total")
 
 
-def similarities(places: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (doc_id, item, similarity) of rows (doc_id, item, part), ``item`` being the index's key: weighted Jaccard of the words ``part`` and the item.
+def similarities(places: DataFrame, percent: int) -> DataFrame:
+    """Rows (doc_id, item, similarity) of the pairs that reach ``percent``, from rows (doc_id, text, n_doc, at) and the index's columns, one per shared shingle.
 
-    Shingles that no item holds weigh 1 each. A shingle counts for the intersection as often as both sides have it.
+    A shared shingle counts for a window's intersection if the one ``times`` before it in the document lies before the window: so it counts as
+    often as both sides have it.
     """
-    bags = index.select(F.col("key").alias("__item"), "weights", "counts", "total")
-    rows = places.withColumn("place", F.xxhash64("doc_id", "item", "part")).withColumn("g", F.explode_outer(shingles(F.col("part")))).where("g is not null")
-    counted = rows.groupBy("doc_id", "item", "place", "g").agg(F.count("*").cast("double").alias("c"))
-    weighed = counted.join(bags, F.col("item") == F.col("__item"))
-    weight, there = F.try_element_at("weights", F.col("g")), F.try_element_at("counts", F.col("g"))
-    summed = weighed.select("doc_id", "item", "place", "total", (F.coalesce(weight, F.lit(1.0)) * F.col("c")).alias("own"), F.coalesce(weight * F.least("c", there), F.lit(0.0)).alias("both"))
-    summed = summed.groupBy("doc_id", "item", "place").agg(F.max("total").alias("total"), F.sum("own").alias("own"), F.sum("both").alias("both"))
-    return summed.select("doc_id", "item", F.round(F.col("both") / (F.col("own") + F.col("total") - F.col("both")), 6).alias("similarity"))
+    pair = ["doc_id", "text", "n_doc", "item", "n", "n_words", "total"]
+    each = places.groupBy(*pair, "g", "weight", "times").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    both = F.least(F.size("ats"), F.col("times"))
+    found = F.expr("transform(ats, (a, i) -> named_struct('at', a, 'before', if(i >= times, ats[i - times], -1), 'w', weight))")
+    pairs = each.groupBy(*pair).agg(F.sum(both * F.col("weight")).alias("most"), F.array_sort(F.flatten(F.collect_list(found))).alias("f"))
+    # No window shares more than the whole document, and none can be less than the intersection.
+    pairs = pairs.where(100 * F.col("most") >= percent * F.col("total") - 1e-6)
+    n = SHINGLE_WORDS - 1
+    # A window: its first shingle, its number of shingles, and the shared ones in it.
+    starts = f"transform(f, (x, i) -> named_struct('s', x.at, 'n', least(n, n_doc - {n} - x.at), 'f', filter(slice(f, i + 1, n), y -> y.at < x.at + n)))"
+    ends = "transform(filter(slice(f, 1, n), x -> x.at < n - 1), (x, i) -> named_struct('s', 0, 'n', x.at + 1, 'f', slice(f, 1, i + 1)))"
+    shared = "aggregate(v.f, named_struct('both', 0D, 'own', 0D), (a, y) -> named_struct('both', a.both + if(y.before < v.s, y.w, 0D), 'own', a.own + y.w))"
+    window = f"transform(concat({starts}, {ends}), v -> named_struct('t', {shared}, 'other', v.n - size(v.f)))"
+    best = f"array_max(transform({window}, x -> x.t.both / (x.t.own + x.other + total - x.t.both)))"
+    return pairs.select("doc_id", "item", F.round(F.expr(best), 6).alias("similarity")).where(100 * F.col("similarity") >= percent)
 
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", percent: int = NEAR_PERCENT, space: Workspace | None = None) -> DataFrame:
-    """Rows (doc_id, item_id, similarity): the best verified alignment of each item in each document."""
+    """Rows (doc_id, item_id, similarity): the best alignment of each item in each document."""
     space = space or Workspace(docs.sparkSession, "leaks")
-    index = space.table(item_index(items, id_col=item_id_col, text_col=item_text_col), "items")
-    classes = sorted(r["class"] for r in index.select("class").distinct().collect())  # seven at most
-    found: list[DataFrame] = []
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_array(F.col(text_col)).alias("words")).where("doc_id is not null")
-    if classes:
-        size = F.col("class")
-        offsets = index.select(F.col("key").alias("item"), "n_words", "words", F.col("class").alias("c")).withColumn("item_at", F.explode(F.expr("sequence(0, n_words - c)")))
-        cut = offsets.select("item", "n_words", "c", "item_at", F.slice("words", F.col("item_at") + 1, F.col("c")).alias("words"))
-        own = windows(cut, "words", classes).where("class = c")
-        keyed = own.select("item", "n_words", "item_at", F.col("simhash").alias("item_hash"), F.explode(F.array(*blocks_of(F.col("simhash"), size))).alias("key"))
-        keyed = space.table(keyed, "index")
-        parts = -(-keyed.count() // INDEX_ROWS)
-        probes = windows(texts, "words", classes).withColumn("key", F.explode(F.array(*blocks_of(F.col("simhash"), size))))
-        for p in range(parts):
-            part = keyed if parts == 1 else keyed.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
-            close = probes.join(F.broadcast(part), "key").where(F.bit_count(F.col("item_hash").bitwiseXOR(F.col("simhash"))) <= RADIUS)
-            start = F.col("at") - F.col("item_at")
-            found.append(close.select("doc_id", "item", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n_words") + F.least(start, F.lit(0))).alias("part")).distinct())
+    ids, index = item_index(items, id_col=item_id_col, text_col=item_text_col)
+    ids, index = space.table(ids, "items"), space.table(index, "index")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text"), word_array(F.col(text_col)).alias("words")).where("doc_id is not null")
+    grams = with_shingles(texts.withColumn("n_doc", F.size("words")), "words")
+    parts = -(-index.count() // INDEX_ROWS)
+    found = []
+    for p in range(parts):
+        part = index if parts == 1 else index.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p)
+        found.append(grams.join(F.broadcast(part), "g"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
-    places = reduce(DataFrame.unionByName, found)
-    close = similarities(space.table(places, "places"), index).where(100 * F.col("similarity") >= percent)
-    close = close.join(index.select(F.col("key").alias("item"), "item_id"), "item")
+    close = similarities(space.table(reduce(DataFrame.unionByName, found), "places"), percent).join(ids, "item")
     return close.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

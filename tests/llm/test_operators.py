@@ -247,3 +247,43 @@ def test_leaks_of_items_without_an_id_of_their_own(spark):
     got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.hits(table, bench).collect()}
     assert got == {(0, 7, 1.0), (1, 7, 1.0), (2, -1, 1.0), (3, -1, 1.0), (4, 8, 1.0)}
     assert decontaminate.without_leaks(table, bench).count() == 0
+
+
+def leaks_by_force(rows, items):
+    """The best similarity of each item to any window of its length, of all those that reach 0.75; items' shingles are their own."""
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    out = {}
+    for i, t in rows:
+        w = t.lower().split()
+        for k, x in items:
+            x = x.lower().split()
+            mine = bag(x)
+            for s in range(1 - len(x), len(w)):
+                part = bag(w[max(s, 0) : s + len(x)])
+                both, either = (mine & part).total(), (mine | part).total()
+                if either and both / either >= 0.75:
+                    out[i, k] = max(out.get((i, k), 0), round(both / either, 6))
+    return out
+
+
+def test_leaks_by_force(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(words(n, 200 + k))) for k, n in enumerate((7, 16, 60, 100, 200, 400))]
+    items.append((6, " ".join([*words(8, 300), *words(8, 300), *words(8, 301)])))
+    rows = []
+    for k, x in items:
+        for changes in range(13):
+            w = x.split()
+            for c in range(changes):  # spread over the item, so that hardly a long run is left
+                at = (2 * c + 1) * len(w) // (2 * changes)
+                w[at : at + 1] = [["NEW"], [], ["NEW", w[at]]][rng.randrange(3)]
+            rows.append((len(rows), " ".join([*words(rng.randint(0, 9), len(rows)), *w[rng.choice((0, 0, len(w) // 10)) :], *words(rng.randint(0, 9), 900 + len(rows))])))
+    for k, changes in [(3, 2), (4, 3), (5, 10), *[(4, 5)] * 12]:
+        w = items[k][1].split()
+        for c in range(changes):
+            w[(2 * c + 1) * len(w) // (2 * changes) + rng.randint(-5, 5)] = f"NEW{rng.random()}"
+        rows.append((len(rows), " ".join([*words(7, k), *w, *words(9, changes)])))
+    want = leaks_by_force(rows, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.hits(docs(spark, rows), bench).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
