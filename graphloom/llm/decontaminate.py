@@ -1,8 +1,8 @@
 """Benchmark decontamination by exact shingle lookup, with DataFrame functions only.
 
 A document holds an item if some window of it, as long as the item (shorter at the document's ends), has a similarity of ``percent``
-hundredths or more: weighted Jaccard similarity of the shingles (runs of five words), weighted by rarity (one by the number of items that hold
-a shingle; one for what the item doesn't hold) and with multiplicity.
+hundredths or more: the greater of plain and weighted Jaccard similarity of the shingles (runs of five words) with multiplicity. Weights are
+of rarity: one by the number of different item texts that hold a shingle; one for what the item doesn't hold.
 
 Every shingle of every document is looked up in the items' shingles. Any similarity over zero needs a shared shingle, so no candidate is
 lost, whatever was changed between. What meets is a place (document, item, position, shingle); no text is shuffled. Places are put together
@@ -48,17 +48,17 @@ def with_shingles(rows: DataFrame, words: str) -> DataFrame:
 
 
 def item_index(items: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (item, item_id), each item and text having its own key, and rows (item, g, weight, times, n, n_words, total): each item's distinct shingles.
+    """Rows (item, item_id), each text having its own key ``item``, and rows (item, g, weight, times, n, n_words, total): each text's distinct shingles.
 
     ``times`` is how often the item has the shingle, ``n`` the number of its shingles, ``total`` their weight.
     """
     base = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("item_id"), word_array(F.col(text_col)).alias("words")).where(F.size("words") >= SHINGLE_WORDS)
-    base = base.dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")).withColumn("n_words", F.size("words"))
-    each = with_shingles(base.select("item", "n_words", "words"), "words").groupBy("item", "n_words", "g").agg(F.count("*").cast("int").alias("times"))
+    base = base.withColumn("item", F.xxhash64("words")).withColumn("n_words", F.size("words"))
+    each = with_shingles(base.select("item", "n_words", "words").dropDuplicates(["item"]), "words").groupBy("item", "n_words", "g").agg(F.count("*").cast("int").alias("times"))
     rarity = each.groupBy("g").agg((1.0 / F.count("*")).alias("weight"))
     each = each.join(rarity, "g")
     sums = each.groupBy("item").agg(F.sum("times").cast("int").alias("n"), F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("total"))
-    return base.select("item", "item_id"), each.join(sums, "item").select("item", "g", "weight", "times", "n", "n_words", "total")
+    return base.select("item", "item_id").distinct(), each.join(sums, "item").select("item", "g", "weight", "times", "n", "n_words", "total")
 
 
 def similarities(places: DataFrame, percent: int) -> DataFrame:
@@ -71,16 +71,16 @@ def similarities(places: DataFrame, percent: int) -> DataFrame:
     each = places.groupBy(*pair, "g", "weight", "times").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     both = F.least(F.size("ats"), F.col("times"))
     found = F.expr("transform(ats, (a, i) -> named_struct('at', a, 'before', if(i >= times, ats[i - times], -1), 'w', weight))")
-    pairs = each.groupBy(*pair).agg(F.sum(both * F.col("weight")).alias("most"), F.array_sort(F.flatten(F.collect_list(found))).alias("f"))
+    pairs = each.groupBy(*pair).agg(F.sum(both).alias("most"), F.sum(both * F.col("weight")).alias("heaviest"), F.array_sort(F.flatten(F.collect_list(found))).alias("f"))
     # No window shares more than the whole document, and none can be less than the intersection.
-    pairs = pairs.where(100 * F.col("most") >= percent * F.col("total") - 1e-6)
+    pairs = pairs.where((100 * F.col("most") >= percent * F.col("n")) | (100 * F.col("heaviest") >= percent * F.col("total") - 1e-6))
     n = SHINGLE_WORDS - 1
     # A window: its first shingle, its number of shingles, and the shared ones in it.
     starts = f"transform(f, (x, i) -> named_struct('s', x.at, 'n', least(n, n_doc - {n} - x.at), 'f', filter(slice(f, i + 1, n), y -> y.at < x.at + n)))"
     ends = "transform(filter(slice(f, 1, n), x -> x.at < n - 1), (x, i) -> named_struct('s', 0, 'n', x.at + 1, 'f', slice(f, 1, i + 1)))"
-    shared = "aggregate(v.f, named_struct('both', 0D, 'own', 0D), (a, y) -> named_struct('both', a.both + if(y.before < v.s, y.w, 0D), 'own', a.own + y.w))"
-    window = f"transform(concat({starts}, {ends}), v -> named_struct('t', {shared}, 'other', v.n - size(v.f)))"
-    best = f"array_max(transform({window}, x -> x.t.both / (x.t.own + x.other + total - x.t.both)))"
+    shared = "aggregate(v.f, named_struct('k', 0, 'both', 0D, 'own', 0D), (a, y) -> named_struct('k', a.k + if(y.before < v.s, 1, 0), 'both', a.both + if(y.before < v.s, y.w, 0D), 'own', a.own + y.w))"
+    window = f"transform(concat({starts}, {ends}), v -> named_struct('t', {shared}, 'n', v.n, 'other', v.n - size(v.f)))"
+    best = f"array_max(transform({window}, x -> greatest(x.t.k / (x.n + n - x.t.k), x.t.both / (x.t.own + x.other + total - x.t.both))))"
     return pairs.select("doc_id", "item", F.round(F.expr(best), 6).alias("similarity")).where(100 * F.col("similarity") >= percent)
 
 

@@ -287,3 +287,12 @@ def test_leaks_by_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.hits(docs(spark, rows), bench).collect()}
     assert len(want) > 20 and got == pytest.approx(want)
+
+
+def test_leaks_of_shared_item_texts(spark):
+    one, frame = words(50, 400), words(40, 401)
+    items = [*((k, " ".join(one)) for k in range(4)), *((k, " ".join([*frame, *words(10, 402 + k)])) for k in range(4, 8))]
+    changed = " ".join([*one[:25], "NEW", *one[26:]])
+    other = " ".join([*frame[:20], "NEW", *frame[21:], *words(10, 406)])
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.hits(docs(spark, [changed, other]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {**{(0, k): round(41 / 51, 6) for k in range(4)}, (1, 4): round(41 / 51, 6)}
