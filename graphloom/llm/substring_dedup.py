@@ -1,8 +1,10 @@
 """Substring de-duplication by line hashing.
 
-A text's units are its lines. A unit of ``min_words`` words or more is normalised (A-Z lower-cased, white space collapsed) and hashed to
-128 bits; shorter units are too common by chance to count as copies and stay. Of all units with one digest the earliest in the order
-(document id, place) stays and the others go, with their offsets in the original text kept.
+A text's units are its lines of ``min_words`` words or more, and runs of lines: from every shorter line the least run on, and the least run
+back, that has ``min_words`` words (lines without words don't count). So every repeated passage of whole lines and that many words is covered by units,
+however short its lines are. Units are normalised (A-Z lower-cased, white space collapsed) and hashed to 128 bits; a short line alone is too common by
+chance to count as a copy. Of all units with one digest the earliest in the order (document id, place) stays and the others' lines go, with
+their offsets in the original text kept; where a unit overlaps its own first one, the lines of the first stay.
 
 Digests are counted with a partial aggregate before the shuffle, and only those that several documents share are joined back, so a unit
 that half the corpus holds is one row per document and never one group: a skewed join key that can be split, no list of its members.
@@ -30,12 +32,32 @@ MIN_WORDS = 8
 _LAST = (1 << 63) - 1
 
 
-def unit_digests(text: bytes, min_words: int) -> list[bytes | None]:
-    """The digest of every line, None for lines of fewer words."""
-    out: list[bytes | None] = []
-    for line in text.lower().split(b"\n"):
-        words = line.split()
-        out.append(xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= min_words else None)
+def unit_digests(text: bytes, min_words: int) -> list[tuple[bytes, tuple[int, ...]]]:
+    """The digests of all units in order, each with its lines."""
+    lines = [(k, words) for k, line in enumerate(text.lower().split(b"\n")) if (words := line.split())]
+    runs: set[tuple[int, int]] = set()
+    for k, (_, words) in enumerate(lines):
+        if len(words) >= min_words:
+            runs.add((k, k + 1))
+            continue
+        for step in (1, -1):
+            end, n = k, len(words)
+            while n < min_words and 0 <= (end := end + step) < len(lines):
+                n += len(lines[end][1])
+            if n >= min_words:
+                runs.add((min(k, end), max(k, end) + 1))
+    return [(xxhash.xxh3_128_digest(b"\n".join(b" ".join(words) for _, words in lines[a:b])), tuple(k for k, _ in lines[a:b])) for a, b in sorted(runs)]
+
+
+def copied_lines(units: list[tuple[bytes, tuple[int, ...]]], drop: set[bytes]) -> set[int]:
+    """The lines that go: those of units in ``drop``, and of units that the text has before, less the lines of the first one."""
+    first: dict[bytes, tuple[int, ...]] = {}
+    out: set[int] = set()
+    for digest, lines in units:
+        if digest in drop:
+            out.update(lines)
+        else:
+            out.update(k for k in lines if k > first.setdefault(digest, lines)[-1])
     return out
 
 
@@ -50,7 +72,7 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not text.is_valid:
                     continue
-                found = [d for d in unit_digests(text.as_buffer().to_pybytes(), min_words) if d is not None]
+                found = [d for d, _ in unit_digests(text.as_buffer().to_pybytes(), min_words)]
                 distinct = list(dict.fromkeys(found))
                 own = len(distinct) < len(found)
                 ids += [doc] * (len(distinct) + own)
@@ -93,16 +115,14 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 continue
             raw = text.as_buffer().to_pybytes()
             drop = {np.array([d["hi"], d["lo"]], "<i8").tobytes() for d in lost.as_py() if d["hi"] is not None}
-            seen: set[bytes] = set()
+            gone = copied_lines(unit_digests(raw, min_words), drop)
             at, kept, removed = 0, [], []
-            for line, digest in zip(raw.split(b"\n"), unit_digests(raw, min_words), strict=True):
+            for k, line in enumerate(raw.split(b"\n")):
                 n = len(line.decode())
-                if digest is not None and (digest in drop or digest in seen):
+                if k in gone:
                     removed.append({"start": at, "end": at + n})
                 else:
                     kept.append(line)
-                    if digest is not None:
-                        seen.add(digest)
                 at += n + 1
             out.append({"text": b"\n".join(kept).decode(), "removed": removed})
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -135,6 +135,15 @@ def test_lines(spark):
     assert out[0]["hi"] == "x" and substring_dedup.without_copies(docs(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    verse = [" ".join(words(n, 500 + k)) for k, n in enumerate((5, 4, 6, 3, 5, 4, 5, 6, 2, 7, 5, 1, 7, 1, 1))]
+    body = "\n".join(verse)
+    long = " ".join(words(9, 520))
+    texts = [f"head\n{body}\ntail", f"first own\n{body.upper()}\nlast own", f"a b c\n\n{verse[0]}\n\n  {verse[1]}\nd e f", f"alone\n{verse[4]}\nby chance", f"title\n{long}", f"title\n{long}\ntitle", "\n".join(["la la"] * 10)]
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup.without_copies(docs(spark, texts)).collect()}
+    assert out == {0: (texts[0], 0), 1: ("first own\nlast own", 15), 2: ("a b c\n\n\nd e f", 2), 3: (texts[3], 0), 4: (texts[4], 0), 5: ("title", 2), 6: ("\n".join(["la la"] * 4), 6)}
+
+
 def near_by_force(rows):
     sets = {}
     for k, (_, t) in enumerate(rows):
