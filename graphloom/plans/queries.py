@@ -192,7 +192,7 @@ def unlisted_deps(c: Canon) -> DataFrame:
 
 @query(_REACH + "s AS (SELECT 1) SELECT package, count(*) AS files FROM files GROUP BY package HAVING NOT bool_or(file_id IN (SELECT n FROM r WHERE n % 40 = 0))", ("files", "edges", "entries"))
 def unused_packages(c: Canon) -> DataFrame:
-    return A.unused_packages(c["files"], graph.reach(c["edges"], seeds(c)).where("node % 40 = 0"))
+    return A.unused_packages(c["files"], graph.reach(c["edges"], seeds(c)))
 
 
 TEAMS = [("team-b", "promo/src/**"), ("team-a", "**/brand-1/*.ts")]
