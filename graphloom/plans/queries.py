@@ -96,7 +96,7 @@ def impact_targets(c: Canon) -> DataFrame:
 @query(_SEEDS + """d(n, h, p) AS (SELECT DISTINCT n, 0, [n] FROM seeds UNION ALL SELECT e.dst, h + 1, list_append(p, e.dst) FROM d JOIN edges e ON e.src = d.n WHERE h < 12 AND NOT list_contains(p, e.dst))
     SELECT n AS node, CAST(h AS BIGINT) AS hop, array_to_string(p, '>') AS path FROM d WHERE h > 0 AND n NOT IN (SELECT n FROM seeds) QUALIFY row_number() OVER (PARTITION BY n ORDER BY h, p) = 1""", ("edges", "entries"))
 def shortest_proof(c: Canon) -> DataFrame:
-    found = graph.shortest_proofs(c["edges"], seeds(c), max_hops=12).where("hop > 0")
+    found = graph.shortest_proofs(c["edges"], seeds(c)).where("hop > 0")
     return found.select("node", F.col("hop").cast("long").alias("hop"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 

@@ -15,3 +15,14 @@ def tables(spark, edges, entries, packages):
 def test_unused_packages(spark):
     c = tables(spark, [(1, 2), (2, 3), (5, 4)], [1], [(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "c")])
     assert [tuple(r) for r in queries.unused_packages(c).select("package", "files").collect()] == [("c", 2)]
+
+
+def test_shortest_proof(spark):
+    edges = [*((k, k + 1) for k in range(1, 20)), (3, 30), (30, 5), (4, 2), (19, 1), (50, 51)]
+    found, front = {1: (1,)}, [1]
+    while front:  # breadth first; a node's least path comes from the least path before it
+        paths = [(*found[a], b) for a in front for x, b in edges if x == a and b not in found]
+        front = sorted({p[-1] for p in paths})
+        found |= {n: min(p for p in paths if p[-1] == n) for n in front}
+    got = {r["node"]: (r["hop"], r["path"]) for r in queries.shortest_proof(tables(spark, edges, [1], [])).collect()}
+    assert got == {n: (len(p) - 1, ">".join(map(str, p))) for n, p in found.items() if n != 1} and max(h for h, _ in got.values()) > 12
