@@ -405,7 +405,7 @@ def dir_tags(c: Canon) -> DataFrame:
     t AS (SELECT DISTINCT s FROM x WHERE s NOT IN (SELECT d FROM x)), l AS (SELECT DISTINCT d FROM x WHERE d NOT IN (SELECT s FROM x)) SELECT s AS top, d AS leaf FROM t CROSS JOIN l""", _RT)
 def layer_rules(c: Canon) -> DataFrame:
     files = c["files"].drop("workspace").withColumnRenamed("package", "workspace")
-    return G.layers(c["edges"].where("src % 9 = 0"), files)
+    return G.layers(c["edges"], files)
 
 
 @query("""u AS (SELECT DISTINCT src, dst, (SELECT package FROM files WHERE file_id = src) <> (SELECT package FROM files WHERE file_id = dst) AS x FROM edges),

@@ -26,3 +26,10 @@ def test_shortest_proof(spark):
         found |= {n: min(p for p in paths if p[-1] == n) for n in front}
     got = {r["node"]: (r["hop"], r["path"]) for r in queries.shortest_proof(tables(spark, edges, [1], [])).collect()}
     assert got == {n: (len(p) - 1, ">".join(map(str, p))) for n, p in found.items() if n != 1} and max(h for h, _ in got.values()) > 12
+
+
+def test_layer_rules(spark):
+    files = [(k, p) for k, p in enumerate("abcdef", 1)]
+    got = lambda edges: sorted(tuple(r) for r in queries.layer_rules(tables(spark, edges, [], files)).select("top", "leaf").collect())
+    assert got([(1, 2), (2, 3), (4, 3), (5, 6), (6, 5)]) == [("a", "c"), ("d", "c")]
+    assert got([(1, 2), (4, 3)]) == []  # two workspaces import
