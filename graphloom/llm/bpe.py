@@ -6,8 +6,9 @@ from the left, which is the byte-level rule), and normalisation is the identity,
 
 Texts are cut by the vocabulary's pattern first and each match is encoded by itself; ids decode by the inverse byte mapping.
 
-Defined cases: a null text is an empty one and has no ids; repeated rows are each encoded; a null id column stays null; further
-columns of the input are ignored by ``encode_frame``, whose output has its own names.
+Defined cases: a null text is an empty one and has no ids; repeated rows are each encoded; a null id column stays null; an empty table
+gives no rows; a text of any length is encoded whole (one task holds it, its ids and their digests' input); further columns of the input
+are ignored by ``encode_frame``, whose output has its own names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,16 @@ _SHIFTED = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in
 BYTE_CHARS = [chr(_SHIFTED.get(b, b)) for b in range(256)]
 _TO_CHARS = {b: c for b, c in enumerate(BYTE_CHARS)}
 UNKNOWN = "⁇unknown"
+#: A character that no piece has; it stands between matches that are encoded in one call.
+BORDER = "\ue000"
+#: Matches that are encoded in one call.
+TOGETHER = 1024
+
+#: 1 for white space of one byte, 2 for the first byte of one that has more (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000).
+_WHITE = np.zeros(256, np.uint8)
+_WHITE[[*range(9, 14), *range(28, 33)]] = 1
+_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
+_SECOND = np.isin(np.arange(256), [0x85, 0xA0, 0x9A, 0x80, 0x81])
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -81,58 +92,98 @@ def model_bytes(pieces: list[bytes]) -> bytes:
 class ByteBPE:
     """Encoder and decoder of one vocabulary. Ids are ranks, kept as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 300_000) -> None:
+    def __init__(self, path: str, pattern: str, most_bytes: int = 40 << 20) -> None:
         self.pieces = read_ranks(path)
         self.width = "<u2" if len(self.pieces) < 1 << 16 else "<u4"
         self.find = regex.compile(pattern).findall
         self.uneven = regex.compile(r"\s\s|^\s|\s$").search
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.pieces))
         self.rank = {piece: i for i, piece in enumerate(self.pieces)}
-        self.cached = cached
-        self.whole: dict[str, bytes] = {}  # text to ids, for what stands between single spaces
-        self.spaced: dict[str, bytes] = {}  # the same, with the space before it
-        self.one = [np.array([i], self.width).tobytes() for i in range(len(self.pieces))]
         self.decimal = [str(i) for i in range(len(self.pieces))]
-        self.newline = self._ids(["\n"])[0]
-
-    def _cut(self, text: str) -> list[str]:
-        """The pattern's matches; letters alone, after a space or not, and with one full stop or comma, need no search."""
-        letters = text[1:] if text[:1] == " " else text
-        if letters.isalpha():
-            return [text]
-        if letters[-1:] in (",", ".") and letters[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self.find(text)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each cut by the pattern and every distinct match encoded by itself."""
-        cut = [self._cut(t) for t in texts]
-        table: dict[str, bytes] = {}
-        rest = []
-        for match in {m for c in cut for m in c}:
-            rank = self.rank.get(match.encode())
-            if rank is None:
-                rest.append(match)
-            else:
-                table[match] = self.one[rank]
-        found = self.model.encode([m.encode().decode("latin-1").translate(_TO_CHARS) for m in rest], out_type=int, num_threads=1) if rest else []
-        flat = (np.fromiter(itertools.chain.from_iterable(found), np.int64) - 1).astype(self.width).tobytes()
-        at, size = 0, len(self.one[0])
-        for match, ids in zip(rest, found, strict=True):
-            table[match] = flat[at : (at := at + size * len(ids))]
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
-
-    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(cache))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            cache.update(zip(part, self._ids([before + w for w in part]), strict=True))
+        self.chars = np.array([ord(c) for c in BYTE_CHARS], "<u4")
+        self.chars[0xFF] = ord(BORDER)  # no byte of UTF-8
+        self.newline = self.rank[b"\n"]
+        self.unmerged = self._unmerged()
+        self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache, so that a worker that waits for its next task holds the vocabulary only."""
+        self.slot: dict[bytes, int] = {}  # word, with the space or newline before it, to its place in the next two
+        self.begin = np.zeros(1, np.int64)  # where a word's ids begin in ``flat``; one more at the end
+        self.flat = np.empty(0, self.width)
+        self.held = 0
+
+    def _unmerged(self) -> dict[str, int]:
+        """Pieces that merging doesn't reach from their bytes. A match that is a piece is that piece all the same."""
+        texts = {}
+        for i, piece in enumerate(self.pieces):
+            try:
+                texts[piece.decode()] = i
+            except UnicodeDecodeError:
+                continue  # no match can be part of a character
+        found = self.model.encode([t.encode().decode("latin-1").translate(_TO_CHARS) for t in texts], out_type=int, num_threads=1)
+        return {t: i for (t, i), ids in zip(texts.items(), found, strict=True) if ids != [i + 1]}
+
+    def _ids(self, text: str) -> np.ndarray:
+        """Ids of a text, each match of the pattern encoded by itself: an unknown character between matches keeps them apart."""
+        matches = self.find(text)
+        out = []
+        for at in range(0, len(matches), TOGETHER):
+            part = matches[at : at + TOGETHER]
+            raw = np.frombuffer("\udcff".join(part).encode("utf-8", "surrogateescape"), np.uint8)
+            ids = np.array(self.model.encode(self.chars[raw].tobytes().decode("utf-32-le"), out_type=int), np.int64)
+            if self.unmerged and not self.unmerged.keys().isdisjoint(part):
+                each = np.split(ids, np.flatnonzero(ids == 0))
+                ids = np.concatenate([[0, self.unmerged[m] + 1] if m in self.unmerged else x for m, x in zip(part, each, strict=True)])
+            out.append((ids[ids > 0] - 1).astype(self.width))
+        return np.concatenate(out) if out else np.empty(0, self.width)
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        """Where the cache has each of these distinct words; new ones are encoded together, with a newline before each."""
+        slots = np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
+        places = np.flatnonzero(slots < 0)
+        if len(places):
+            new = [words[i] for i in places.tolist()]
+            after_line = np.fromiter((w[0] == 10 for w in new), bool, len(new))
+            ids = self._ids(b"".join([w if w[0] == 10 else b"\n" + w for w in new]).decode())
+            starts = np.flatnonzero(ids == self.newline)
+            if len(starts) != len(new):
+                raise ValueError("the pattern matches across the white space before a word")
+            sizes = np.diff(np.append(starts, len(ids))) - ~after_line
+            keep = np.ones(len(ids), bool)
+            keep[starts[~after_line]] = False  # that newline is none of the word's
+            slots[places] = len(self.begin) - 1 + np.arange(len(new))
+            self.slot.update(zip(new, slots[places].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids[keep]])
+            self.held += sum(map(len, new)) + 200 * len(new) + ids.nbytes
+        return slots
+
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and where each begins (one more at the end)."""
+        sizes = self.begin[slots + 1] - self.begin[slots]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.begin[slots] - upto[:-1], sizes) + np.arange(upto[-1])], upto
+
+    def _uneven(self, lines: dict[int, bytes], texts: list[str | None]) -> list[int]:
+        """Texts where two white spaces meet or one stands at an end; ``lines`` are the texts with a newline before each."""
+        raw = np.frombuffer(b"".join([*lines.values(), b"\n"]), np.uint8)
+        ends = np.cumsum([len(x) for x in lines.values()])
+        white = _WHITE[raw]
+        met = (white[:-1] == 1) & (white[1:] == 1)
+        lead = np.flatnonzero(white == 2)  # of a white space of several bytes, or of another character
+        known = list(lines)
+        sure = set(np.searchsorted(ends, np.flatnonzero(met), side="right").tolist())
+        maybe = set(np.searchsorted(ends, lead[_SECOND[raw[lead + 1]]], side="right").tolist()) - sure
+        return [known[k] for k in sure] + [known[k] for k in maybe if self.uneven(texts[known[k]])]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; give a few megabytes at a time.
 
-        Where no two white spaces meet, the pattern never matches across the space or newline before a word, so words are encoded
-        once and looked up; other texts are cut by the pattern as a whole.
+        Where no two white spaces meet, the pattern never matches across the space or newline before a word, so distinct words are
+        encoded once and looked up; other texts are cut by the pattern as a whole. The cache is bounded by bytes: beyond them the
+        words of the last call stay.
         """
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and each collection would walk the whole cache
@@ -143,31 +194,32 @@ class ByteBPE:
                 gc.enable()
 
     def _encode_many(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.whole) + len(self.spaced) > self.cached:
-            self.whole.clear()
-            self.spaced.clear()
         out = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and self.uneven(t)]
-        for i in odd:
-            out[i] = self._ids([texts[i]])[0]
-        even = {i: [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts) if t and not out[i]}
-        self._fill(self.whole, {words[0] for lines in even.values() for words in lines}, "")
-        self._fill(self.spaced, {*()}.union(*(words[1:] for lines in even.values() for words in lines)), " ")
-        for i, lines in even.items():
-            parts: list[bytes] = []
-            for words in lines:
-                if parts:
-                    parts.append(self.newline)
-                parts.append(self.whole[words[0]])
-                parts.extend(map(self.spaced.__getitem__, words[1:]))
-            out[i] = b"".join(parts)
+        lines = {i: b"\n" + t.encode() for i, t in enumerate(texts) if t}
+        for i in self._uneven(lines, texts):
+            out[i] = self._ids(texts[i]).tobytes()
+            del lines[i]
+        if not lines:
+            return out
+        ends = np.cumsum([len(x) for x in lines.values()])
+        raw = b"".join(lines.values())
+        white = np.frombuffer(raw, np.uint8)
+        at = np.append(np.flatnonzero((white == 32) | (white == 10)), len(raw))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        slots = self._slots(distinct)
+        ids, upto = self._gathered(slots[words.indices.to_numpy()])
+        stops = upto[np.searchsorted(at, ends)]
+        for i, a, b in zip(lines, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+            out[i] = ids[a + 1 : b].tobytes()  # without the newline put before the text
+        if self.held > self.most_bytes:
+            self.flat, self.begin = self._gathered(slots)
+            self.slot = {w: k for k, w in enumerate(distinct)}
+            self.held = sum(map(len, distinct)) + 200 * len(distinct) + self.flat.nbytes
+            if self.held > self.most_bytes:
+                self.forget()
         return out
 
-    def forget(self) -> None:
-        """Empties the caches, so that a worker that waits for its next task holds the vocabulary only."""
-        self.whole.clear()
-        self.spaced.clear()
-
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
         return self.encode_many([text])[0]
