@@ -61,6 +61,15 @@ class Workspace:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, upper and lower case taken as equal."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text each, so that what is built from one stays small."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

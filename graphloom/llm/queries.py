@@ -98,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TERMS = lambda terms: " + ".join(f"(CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN 1 ELSE 0 END)" for t in terms)
+#: ASCII white space.
+_WS = "[\\x20\\x09-\\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -123,13 +125,20 @@ ORACLES: dict[str, str] = {
           CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_hits AS BIGINT) AS soft_hits
         FROM h LEFT JOIN best USING (page_id)""",
     "op6_line_dedup": f"""
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-        o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
-            string_split_regex(trim(regexp_replace({_LOWER.format("line")}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM l),
-        k AS (SELECT *, len(w) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i) > 1 AS gone FROM o),
-        t AS (SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-            coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans, t.text FROM documents d LEFT JOIN t USING (doc_id)""",
+        WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?]{_WS}+)', '\\1\ue001', 'g'), '(\\n{_WS}*)', '\\1\ue001', 'g'), '({_WS})(\\p{{Lu}})', '\\1\ue001\\2', 'g'), '\ue001') AS s FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s),
+        o AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS z, trim(regexp_replace({_LOWER.format("x")}, '{_WS}+', ' ', 'g'), ' ') AS t FROM l),
+        f AS (SELECT *, len(string_split(t, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(len(string_split(t, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM o WHERE t <> ''),
+        b AS (SELECT a.doc_id, a.k AS a, b.k AS b FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {substring_dedup.UNIT_WORDS - 1} AND b.c - a.c + a.n >= {substring_dedup.UNIT_WORDS}),
+        u AS (SELECT doc_id, a, min(b) AS b FROM b GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM b GROUP BY doc_id, b),
+        d AS (SELECT u.doc_id, u.a, u.b, string_agg(f.t, ' ' ORDER BY f.k) AS d FROM u JOIN f ON u.doc_id = f.doc_id AND f.k BETWEEN u.a AND u.b GROUP BY u.doc_id, u.a, u.b),
+        e AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(b) OVER w AS fb FROM d WINDOW w AS (PARTITION BY d ORDER BY doc_id, a, b)),
+        c AS (SELECT DISTINCT f.doc_id, f.i, f.k, f.n, f.z - length(f.x) AS s, f.z FROM e JOIN f ON e.doc_id = f.doc_id AND f.k BETWEEN CASE WHEN fd = e.doc_id THEN greatest(a, fb + 1) ELSE a END AND b),
+        g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c),
+        r AS (SELECT doc_id, run, min(s) AS s, max(z) AS z FROM g GROUP BY doc_id, run HAVING sum(n) >= {substring_dedup.PASSAGE_WORDS}),
+        m AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(s AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY s) AS removed_spans FROM r GROUP BY doc_id),
+        k AS (SELECT o.doc_id, coalesce(string_agg(o.x, '' ORDER BY o.i) FILTER (x.i IS NULL), '') AS text FROM o LEFT JOIN (SELECT g.doc_id, g.i FROM g JOIN r USING (doc_id, run)) x ON o.doc_id = x.doc_id AND o.i = x.i GROUP BY o.doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_spans, '') AS removed_spans, k.text FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op7_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(w)] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4]))) END AS s FROM w),

@@ -1,19 +1,21 @@
-"""Substring de-duplication by line hashing.
+"""Substring de-duplication by hashing lines and the sentences in them.
 
-A text's units are its lines of ``min_words`` words or more, and runs of lines: from every shorter line the least run on, and the least run
-back, that has ``min_words`` words (lines without words don't count). So every repeated passage of whole lines and that many words is covered by units,
-however short its lines are. Units are normalised (A-Z lower-cased, white space collapsed) and hashed to 128 bits; a short line alone is too common by
-chance to count as a copy. Of all units with one digest the earliest in the order (document id, place) stays and the others' lines go, with
-their offsets in the original text kept; where a unit overlaps its own first one, the lines of the first stay.
+A text is cut into fragments: at line breaks, after sentence ends, and before a word that begins with a capital letter, so that a passage
+put into the middle of a line begins a fragment of its own. Each fragment's least run forward, and least run back, of ``UNIT_WORDS`` words
+or more is a unit; a unit is normalised (A-Z lower-cased, white space collapsed) and hashed to 128 bits. Digests are grouped over all
+documents. Of all units with one digest the earliest in the order (document id, place) is kept; fragments in the others are copied
+fragments. Runs of copied fragments with ``PASSAGE_WORDS`` words or more together are removed, shorter ones are chance and stay. A removed
+run's fragments each stand in an earlier unit, so some earliest text of each is always kept.
 
-Digests are counted with a partial aggregate before the shuffle, and only those that several documents share are joined back, so a unit
-that half the corpus holds is one row per document and never one group: a skewed join key that can be split, no list of its members.
-Copies inside a document are settled where the document is read.
+Digests are counted with a partial aggregate before the shuffle. Those that very many documents have (fewer than ``HOT`` by arithmetic, as
+each has more than a ``HOT``-th of all rows) are broadcast, the others are joined by digest, so no task gets more than a small share
+of the rows and no group's members are ever listed. Copies inside a document are settled where the document is read.
 
-Offsets are in code points. Removed units go with one line break each; what remains keeps its order and bytes.
+Offsets are in code points of the original text; a removed run goes with the white space after it, the rest keeps its order and bytes.
 
-Defined cases: a null text stays null, an empty one empty; a null id ranks behind all others; rows that repeat an id count as the same
-document, so the earliest document's units stay in each of its rows; an empty table gives an empty result; other columns are kept.
+Defined cases: a null text stays null, an empty one empty; a null id ranks behind all others; rows that repeat an id (or have none) rank by
+their text's hash, and equal ones in the order they are written in; a text of any length is one task's row; an empty table gives an empty
+result. Input columns named like an output (``removed``, ``n_removed``) are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -22,60 +24,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Workspace
-
-MIN_WORDS = 8
-_LAST = (1 << 63) - 1
-
-
-def unit_digests(text: bytes, min_words: int) -> list[tuple[bytes, tuple[int, ...]]]:
-    """The digests of all units in order, each with its lines."""
-    lines = [(k, words) for k, line in enumerate(text.lower().split(b"\n")) if (words := line.split())]
-    runs: set[tuple[int, int]] = set()
-    for k, (_, words) in enumerate(lines):
-        if len(words) >= min_words:
-            runs.add((k, k + 1))
-            continue
-        for step in (1, -1):
-            end, n = k, len(words)
-            while n < min_words and 0 <= (end := end + step) < len(lines):
-                n += len(lines[end][1])
-            if n >= min_words:
-                runs.add((min(k, end), max(k, end) + 1))
-    return [(xxhash.xxh3_128_digest(b"\n".join(b" ".join(words) for _, words in lines[a:b])), tuple(k for k, _ in lines[a:b])) for a, b in sorted(runs)]
-
-
-def copied_lines(units: list[tuple[bytes, tuple[int, ...]]], drop: set[bytes]) -> set[int]:
-    """The lines that go: those of units in ``drop``, and of units that the text has before, less the lines of the first one."""
-    first: dict[bytes, tuple[int, ...]] = {}
-    out: set[int] = set()
-    for digest, lines in units:
-        if digest in drop:
-            out.update(lines)
-        else:
-            out.update(k for k in lines if k > first.setdefault(digest, lines)[-1])
+from graphloom.llm.common import Workspace, unused_name
+
+#: Least words of a unit, and of a run of copied fragments that goes. A passage whose edges lie inside sentences has fewer words in whole ones.
+UNIT_WORDS, PASSAGE_WORDS = 8, 40
+#: Digests that are broadcast, at most.
+HOT = 4096
+_WHITE = r"[\x20\x09-\x0D]"
+_CUT = regex.compile(rf"(?<=[.!?]){_WHITE}+|{_WHITE}+(?=\p{{Lu}})|[\x20\x09\x0B-\x0D]*\n{_WHITE}*")
+
+
+def fragments(text: str) -> list[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of every fragment that has words; the end is behind the white space that follows."""
+    out, start = [], 0
+    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        if words := text[start:end].encode().lower().split():
+            out.append((start, end, words))
+        start = end
+    return out
+
+
+def unit_spans(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """The units (first fragment, end) of fragments with so many words, in order."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.searchsorted(upto, upto[:-1] + least)
+    starts = np.searchsorted(upto, upto[1:] - least, side="right") - 1
+    forward = {(a, b) for a, b in enumerate(ends.tolist()) if b < len(upto)}
+    return sorted(forward.union((a, b) for b, a in enumerate(starts.tolist(), 1) if a >= 0))
+
+
+def unit_digests(found: list[tuple[int, int, list[bytes]]], least: int) -> list[tuple[bytes, int, int]]:
+    """(digest, first fragment, end) of the units."""
+    texts = [b" ".join(words) for _, _, words in found]
+    return [(xxhash.xxh3_128_digest(b" ".join(texts[a:b])), a, b) for a, b in unit_spans([len(words) for _, _, words in found], least)]
+
+
+def copied_runs(text: str, drop: set[bytes], unit_words: int, passage_words: int) -> list[tuple[int, int]]:
+    """The offsets of what goes: runs of fragments in units that are in ``drop``, or that the text has before (less the first one's fragments)."""
+    found = fragments(text)
+    copied = [False] * len(found)
+    first: dict[bytes, int] = {}
+    for digest, a, b in unit_digests(found, unit_words):
+        if digest not in drop:
+            a = max(a, first.setdefault(digest, b))
+        if a < b:
+            copied[a:b] = [True] * (b - a)
+    out, k = [], 0
+    while k < len(found):
+        end = k
+        while end < len(found) and copied[end]:
+            end += 1
+        if end > k and sum(len(words) for _, _, words in found[k:end]) >= passage_words:
+            out.append((found[k][0], found[end - 1][1]))
+        k = end + 1
     return out
 
 
-def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Rows (doc_id, hi, lo): a document's distinct digests; one with null digests tells that the document repeats units itself."""
+def ranked(docs: DataFrame, rank: str, id_col: str, text_col: str, space: Workspace) -> DataFrame:
+    """``docs`` with a distinct ``rank`` for every row, in the order of the ids.
+
+    The id is its own rank if no row repeats or lacks one. Otherwise the rows are sorted by id and text and written with their numbers.
+    """
+    number = F.col(id_col).cast("long")
+    if docs.groupBy(number.alias("id")).count().where("id is null or count > 1").isEmpty():
+        return docs.withColumn(rank, number)
+    order = [number.isNull(), number, F.xxhash64(text_col)]
+    return space.table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(rank, F.monotonically_increasing_id()), "ranked")
+
+
+def digest_rows(texts: DataFrame, unit_words: int) -> DataFrame:
+    """Rows (rank, hi, lo) of rows (rank, text): a document's distinct digests; one with null digests tells that the document repeats units itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids: list[int] = []
+            ranks: list[int] = []
             parts: list[bytes] = []
             valid: list[bool] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for rank, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not text.is_valid:
                     continue
-                found = [d for d, _ in unit_digests(text.as_buffer().to_pybytes(), min_words)]
-                distinct = list(dict.fromkeys(found))
-                own = len(distinct) < len(found)
-                ids += [doc] * (len(distinct) + own)
+                units = unit_digests(fragments(text.as_py()), unit_words)
+                distinct = list(dict.fromkeys(d for d, _, _ in units))
+                own = len(distinct) < len(units)
+                ranks += [rank] * (len(distinct) + own)
                 parts += distinct
                 valid += [True] * len(distinct)
                 if own:
@@ -83,54 +119,53 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                     valid.append(False)
             raw = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
             mask = ~np.array(valid, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw[:, 0], mask=mask), pa.array(raw[:, 1], mask=mask)], ["doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(raw[:, 0], mask=mask), pa.array(raw[:, 1], mask=mask)], ["rank", "hi", "lo"])
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    return docs.select(key.alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, hi long, lo long")
+    return texts.mapInArrow(run, "rank long, hi long, lo long")
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, space: Workspace | None = None) -> DataFrame:
-    """Rows (doc_id, digests): what goes from each document that loses anything; digests are of 16 bytes each, joined.
+def removals(texts: DataFrame, unit_words: int, space: Workspace) -> DataFrame:
+    """Rows (rank, digests) of rows (rank, text): which digests of a document an earlier one has; of those that have any or repeat units.
 
-    A document's own list is as long as its lines at most.
+    A document's own list is as long as its units at most.
     """
-    space = space or Workspace(docs.sparkSession, "lines")
-    units = space.table(digest_rows(docs, id_col, text_col, min_words), "units")
-    shared = units.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = units.join(shared, ["hi", "lo"]).where("doc_id > first").select("doc_id", "hi", "lo")
-    own = units.where("hi is null").select("doc_id", "hi", "lo")
-    return space.table(later.unionByName(own).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("digests")), "removals")
-
-
-def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, space: Workspace | None = None) -> DataFrame:
+    units = space.table(digest_rows(texts, unit_words), "units")
+    each = units.where("hi is not null")
+    shared = space.table(each.groupBy("hi", "lo").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "shared")
+    many = max(256, units.count() // HOT)
+    hot = F.broadcast(shared.where(F.col("n") > many).drop("n"))
+    rest = shared.where(F.col("n") <= many).drop("n")
+    later = each.join(hot, ["hi", "lo"]).unionByName(each.join(hot, ["hi", "lo"], "left_anti").join(rest, ["hi", "lo"])).where("rank > first").drop("first")
+    own = units.where("hi is null")
+    return space.table(later.unionByName(own).groupBy("rank").agg(F.collect_set(F.struct("hi", "lo")).alias("digests")), "removals")
+
+
+def without_copies(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, passage_words: int = PASSAGE_WORDS, space: Workspace | None = None
+) -> DataFrame:
     """``docs`` whose text has lost its copies, with n_removed (long) and removed (array of start and end of each)."""
-    gone = removals(docs, id_col=id_col, text_col=text_col, min_words=min_words, space=space).withColumnRenamed("doc_id", "__doc").withColumnRenamed("digests", "__digests")
+    space = space or Workspace(docs.sparkSession, "passages")
+    rank, gone, digests, cut = (unused_name(docs, n) for n in ("rank", "gone", "digests", "cut"))
+    rows = ranked(docs, rank, id_col, text_col, space)
+    lost = removals(rows.select(F.col(rank).alias("rank"), F.col(text_col).cast("string").alias("text")), unit_words, space)
 
     @F.arrow_udf("struct<text:string,removed:array<struct<start:bigint,end:bigint>>>")
-    def cut(texts: pa.Array, digests: pa.Array) -> pa.Array:
+    def cut_out(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out: list[dict | None] = []
-        for text, lost in zip(texts, digests, strict=True):
+        for text, lost in zip(texts, lists, strict=True):
             if not lost.is_valid or not text.is_valid:
                 out.append(None)
                 continue
-            raw = text.as_buffer().to_pybytes()
+            body = text.as_py()
             drop = {np.array([d["hi"], d["lo"]], "<i8").tobytes() for d in lost.as_py() if d["hi"] is not None}
-            gone = copied_lines(unit_digests(raw, min_words), drop)
-            at, kept, removed = 0, [], []
-            for k, line in enumerate(raw.split(b"\n")):
-                n = len(line.decode())
-                if k in gone:
-                    removed.append({"start": at, "end": at + n})
-                else:
-                    kept.append(line)
-                at += n + 1
-            out.append({"text": b"\n".join(kept).decode(), "removed": removed})
+            runs = copied_runs(body, drop, unit_words, passage_words)
+            kept = [body[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(body)], strict=True)]
+            out.append({"text": "".join(kept), "removed": [{"start": a, "end": b} for a, b in runs]})
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(span))]))
 
-    key: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    joined = docs.join(gone.hint("shuffle_hash"), key == F.col("__doc"), "left")
-    done = joined.withColumn("__cut", F.when(F.col("__digests").isNotNull(), cut(F.col(text_col).cast("binary"), F.col("__digests"))))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.col("__cut.text"))
-    removed = F.coalesce(F.col("__cut.removed"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return done.withColumns({text_col: text, "removed": removed}).withColumn("n_removed", F.size("removed").cast("long")).drop("__doc", "__digests", "__cut")
+    lost = lost.select(F.col("rank").alias(gone), F.col("digests").alias(digests))
+    done = rows.join(lost.hint("shuffle_hash"), F.col(rank) == F.col(gone), "left").withColumn(cut, cut_out(F.col(text_col).cast("string"), F.col(digests)))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.col(f"{cut}.text"))
+    removed = F.coalesce(F.col(f"{cut}.removed"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return done.withColumns({text_col: text, "removed": removed}).withColumn("n_removed", F.size("removed").cast("long")).drop(rank, gone, digests, cut)

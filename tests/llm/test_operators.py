@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empties, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -123,25 +124,81 @@ def test_packing(spark):
     assert packing.packed_rows(docs(spark, []), PATH, PATTERN).count() == 0
 
 
-def test_lines(spark):
-    a, b = " ".join(words(9, 1)), " ".join(words(60, 2))
-    texts = [(4, f"{a}\nkeep one"), (2, f"x\n{b}\n{a.upper()}\n{a}"), (9, f"{b}\n\nshort line"), (None, b), (7, None), (8, ""), (9, b), (11, f"  {b.replace(' ', '  ')}  ")]
-    out = substring_dedup.without_copies(docs(spark, texts)).collect()
-    got = sorted((str(r["doc_id"]), str(r["text"]), r["n_removed"], str([tuple(x) for x in r["removed"]])) for r in out)
-    two = f"x\n{b}\n{a.upper()}"
-    start = len(two) + 1
-    want = [("4", "keep one", 1, [(0, len(a))]), ("2", two, 1, [(start, start + len(a))]), ("9", "\nshort line", 1, [(0, len(b))]), ("None", "", 1, [(0, len(b))]), ("7", "None", 0, []), ("8", "", 0, []), ("9", "", 1, [(0, len(b))]), ("11", "", 1, [(0, len(b.replace(" ", "  ")) + 4)])]
-    assert got == sorted((i, t, n, str(s)) for i, t, n, s in want)
-    assert out[0]["hi"] == "x" and substring_dedup.without_copies(docs(spark, [])).count() == 0
-
-
-def test_short_lines(spark):
-    verse = [" ".join(words(n, 500 + k)) for k, n in enumerate((5, 4, 6, 3, 5, 4, 5, 6, 2, 7, 5, 1, 7, 1, 1))]
-    body = "\n".join(verse)
-    long = " ".join(words(9, 520))
-    texts = [f"head\n{body}\ntail", f"first own\n{body.upper()}\nlast own", f"a b c\n\n{verse[0]}\n\n  {verse[1]}\nd e f", f"alone\n{verse[4]}\nby chance", f"title\n{long}", f"title\n{long}\ntitle", "\n".join(["la la"] * 10)]
-    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup.without_copies(docs(spark, texts)).collect()}
-    assert out == {0: (texts[0], 0), 1: ("first own\nlast own", 15), 2: ("a b c\n\n\nd e f", 2), 3: (texts[3], 0), 4: (texts[4], 0), 5: ("title", 2), 6: ("\n".join(["la la"] * 4), 6)}
+def fragments_by_force(text):
+    """Fragments that have words, looked at character by character."""
+    white = " \t\n\x0b\x0c\r"
+    out, start, k = [], 0, 0
+    while k < len(text):
+        end = k
+        while end < len(text) and text[end] in white:
+            end += 1
+        if end > k and ("\n" in text[k:end] or (k and text[k - 1] in ".!?") or (end < len(text) and unicodedata.category(text[end]) == "Lu")):
+            out.append((start, end))
+            start = end
+        k = max(end, k + 1)
+    return [(a, b, w) for a, b in [*out, (start, len(text))] if (w := text[a:b].encode().lower().split())]
+
+
+def passages_by_force(rows, least=8, together=40):
+    """{place in rows: (text, spans)} of (id, text) rows."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    first, out = {}, {}
+    for i in order:
+        text = rows[i][1]
+        found = fragments_by_force(text or "")
+        units = {(a, min(b for b in range(a, len(found)) if sum(len(f[2]) for f in found[a : b + 1]) >= least)) for a in range(len(found)) if sum(len(f[2]) for f in found[a:]) >= least}
+        units |= {(max(a for a in range(b + 1) if sum(len(f[2]) for f in found[a : b + 1]) >= least), b) for b in range(len(found)) if sum(len(f[2]) for f in found[: b + 1]) >= least}
+        gone = set()
+        for a, b in sorted(units):
+            j, end = first.setdefault(b" ".join(w for f in found[a : b + 1] for w in f[2]), (i, b))
+            gone |= set(range(a if j != i else max(a, end + 1), b + 1))
+        spans, k = [], 0
+        while k < len(found):
+            end = k
+            while end in gone:
+                end += 1
+            if sum(len(f[2]) for f in found[k:end]) >= together:
+                spans.append((found[k][0], found[end - 1][1]))
+            k = end + 1
+        out[i] = (text and "".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)])), spans)
+    return out
+
+
+def prose(n, seed):
+    """Sentences of ``n`` words together."""
+    rng, w, out = random.Random(seed), words(n, seed), []
+    while w:
+        k = rng.randint(1, 12)
+        out.append(" ".join(w[:k]).capitalize() + rng.choice([". ", ".\n", ".  ", "! "]))
+        w = w[k:]
+    return "".join(out).strip()
+
+
+def test_passages(spark):
+    p, q, r = prose(60, 1), prose(45, 2), prose(30, 3)
+    verse = "\n".join(" ".join(words(3, s)) for s in range(20))
+    tail = prose(25, 9)
+    rows = [
+        (4, f"here is {p} and so on"), (2, f"In {prose(30, 4)} the middle of\n{p} something else. {q}"), (9, f"{q}\nown end"), (7, None), (8, ""), (5, f"x y {r} z {tail}"), (6, f"a b {r} c"),
+        (10, f"List\n{verse}\nend"), (11, f"{verse}\nother"), (12, f"{q} and {q} and {q}"), (13, p.replace(" ", "   ")), (14, p.swapcase()), (16, "É É É. " * 90), (17, "é\tñ\n" * 60),
+        *((20 + i, f"{words(1, i)[0]} own {i} {prose(50, 77)} {i} {prose(20, 200 + i)}") for i in range(300)), (600, " ".join(prose(40, s) for s in range(300, 360))), (601, prose(41, 333)), (602, f"{'x' * 3_000_000} {q}"),
+    ]
+    table = docs(spark, rows).withColumns({"removed": F.lit("clash"), "N_removed": F.lit("clash"), "__rank": F.lit(5), "first": F.lit("kept")})
+    want = passages_by_force(rows)
+    out = {x["doc_id"]: x for x in substring_dedup.without_copies(table).collect()}
+    assert {i: (x["text"], [tuple(y) for y in x["removed"]], x["n_removed"]) for i, x in out.items()} == {rows[k][0]: (t, s, len(s)) for k, (t, s) in want.items()}
+    assert out[4]["text"] == "here is and so on" and out[11]["text"] == "other" and out[5]["n_removed"] == out[6]["n_removed"] == 0 and out[9]["text"] == "own end"
+    assert sum(x["n_removed"] > 0 for x in out.values()) > 300 and out[4]["first"] == "kept" and out[4]["__rank"] == 5
+    assert substring_dedup.without_copies(docs(spark, [])).count() == 0
+
+
+def test_passages_of_rows_without_an_own_id(spark):
+    p, q = prose(50, 1), prose(50, 2)
+    rows = [(None, p), (None, f"{q} x"), (3, f"a {p}"), (3, f"b {p}"), (None, q), ((1 << 63) - 1, f"last {q}"), (5, q), (5, q)]
+    out = [(x["doc_id"], x["text"]) for x in substring_dedup.without_copies(docs(spark, rows)).collect()]
+    assert len(out) == 8 and sum(p in t for _, t in out) == 1 and sum(q in t for _, t in out) == 1
+    assert [t for i, t in out if i == 5 and t] == [q] and {t for i, t in out if i == 3} in ({f"a {p}", "b "}, {"a ", f"b {p}"})
+    assert sorted(t for i, t in out if i is None) == ["", "", "x"] and [t for i, t in out if i == (1 << 63) - 1] == ["last "]
 
 
 def near_by_force(rows):

@@ -8,33 +8,11 @@ import tiktoken
 
 import corpus_pipeline
 from graphloom.llm import bpe
+from test_operators import passages_by_force
 
 SF = "/root/testdata/sf0.001"
 
 
-def units(lines):
-    """Every run of lines that has eight words or more but not without its first or not without its last, as (lines, text)."""
-    full = [(k, w) for k, x in enumerate(lines) if (w := x.lower().split())]
-    count = lambda part: sum(len(w) for _, w in part)
-    for a in range(len(full)):
-        for b in range(a + 1, min(len(full), a + 8) + 1):
-            part = full[a:b]
-            forward, back = len(part[0][1]) < 8 and count(part[:-1]) < 8, len(part[-1][1]) < 8 and count(part[1:]) < 8
-            if count(part) >= 8 and (b == a + 1 or forward or back):
-                yield [k for k, _ in part], tuple(" ".join(w) for _, w in part)
-
-
-def without_lines(rows):
-    first, out = {}, {}
-    for d, t in rows:
-        lines, gone = t.split("\n"), set()
-        for at, text in units(lines):
-            e, last = first.setdefault(text, (d, at[-1]))
-            gone |= {k for k in at if e != d or k > last}
-        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
 def holds(text, items):
     bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     w = text.lower().split()
@@ -60,7 +38,8 @@ def test_run(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     path, pattern = bpe.default_vocabulary()
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ByteBPE(path, pattern).rank, special_tokens={})
-    lined = without_lines(rows)
+    cut = passages_by_force(rows)
+    lined = {d: cut[k][0] for k, (d, _) in enumerate(rows)}
     want = {d: len(known.encode_ordinary(t)) for d, t in lined.items() if not holds(t, items)}
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == want
