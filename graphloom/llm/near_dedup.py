@@ -12,8 +12,10 @@ Neighbours in such an order share the longest prefixes, and documents of similar
 3. Then all trees are read again, with what is known: regions of one component are done. In larger regions a component is stood for
    by the documents with most links, and by those beside documents of other components, which are their longest-prefix neighbours.
    Blocks are compared as before, so that what is left over meets the centres of the groups near it.
-4. What blocks left out is made good: in every region larger than a block that still has several components, each document outside the
-   region's main component is compared with the whole region, tile by tile. A region's main component is never compared with itself.
+4. What blocks left out is made good: in every region larger than a block that still has several components, documents go that have so
+   many shingles of their own that they can't be similar to another one; each other document outside the region's main component is
+   compared with what is left of the region, tile by tile. A region's main component is never compared with itself. Regions of very many
+   documents are met at deeper prefixes.
 
 Links are confirmed on full sets only (100 * intersection >= 75 * union), so no pair is linked wrongly; with 24 trees of depth three a
 pair at the least similarity meets in a region with probability 1 - 2e-6, a more similar one with higher.
@@ -41,6 +43,10 @@ from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, HashCache, Workspa
 TREES, STEP, DEPTH, FIRST = 24, 3, 6, 4
 #: Most documents and (beyond two documents) shingles of a block.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Most documents of a tile, and of a region that is met at its depth; a region of more is met at deeper prefixes.
+TILE, DENSE = 1024, 1 << 14
+#: Rows of the orders that one sort partition holds, about.
+SORT_ROWS = 500_000
 #: Documents that stand for a component in a large region, by links.
 PIVOTS = 6
 
@@ -113,11 +119,15 @@ def _sorted_partition(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.n
     return table, shared
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+def in_order(rows: DataFrame, n_rows: int) -> DataFrame:
+    """The orders of all trees, dealt so that no partition gets many more than ``SORT_ROWS`` rows."""
+    by = ("tree", "key", "rep")
+    parts = -(-n_rows // SORT_ROWS)
+    dealt = rows.repartitionByRange(parts, *by) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by)
 
 
-def region_rows(rows: DataFrame) -> DataFrame:
+def region_rows(rows: DataFrame, n_rows: int) -> DataFrame:
     """Those rows of the orders that share a prefix with a neighbour. A run at a partition's edge may go on in the next, so its rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +139,7 @@ def region_rows(rows: DataFrame) -> DataFrame:
         keep[0] = keep[-1] = True
         yield from table.filter(pa.array(keep)).to_batches()
 
-    return in_order(rows).mapInArrow(run, "tree int, key binary, rep long, n long")
+    return in_order(rows, n_rows).mapInArrow(run, "tree int, key binary, rep long, n long")
 
 
 def _blocks(start: int, end: int, shared: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
@@ -178,7 +188,7 @@ def _standing(comp: np.ndarray, deg: np.ndarray) -> np.ndarray:
     return keep
 
 
-def block_rows(rows: DataFrame) -> DataFrame:
+def block_rows(rows: DataFrame, n_rows: int) -> DataFrame:
     """Rows (tree, block, rep, comp) of rows (tree, key, rep, n, comp, deg): regions of several components, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,27 +217,54 @@ def block_rows(rows: DataFrame) -> DataFrame:
             at = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(tree[at]), pa.array(np.concatenate(blocks)), pa.array(rep[at]), pa.array(comp[at])], ["tree", "block", "rep", "comp"])
 
-    return in_order(rows).mapInArrow(run, "tree int, block long, rep long, comp long")
+    return in_order(rows, n_rows).mapInArrow(run, "tree int, block long, rep long, comp long")
 
 
-def remaining(rows: DataFrame) -> DataFrame:
+def unshared(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (rep, own) of rows (rep): how many shingles of its set none of the other documents has (left out where there are none)."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sizes = np.asarray(pc.binary_length(batch.column(1)), np.int64) // 8
+            shingles = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(shingles)], ["rep", "g"])
+
+    each = sets.join(reps.hint("shuffle_hash"), "rep", "left_semi").mapInArrow(unpacked, "rep long, g long")
+    return each.groupBy("g").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def remaining(rows: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Rows (tree, block, rep, comp, asks) of rows (tree, key, rep, n, comp): the tiles of regions that blocks can't hold whole.
 
-    ``asks`` tells the documents outside the region's main component; each of them shares one tile with every document of the region.
-    Regions are met by parts of their documents, so that a region of most rows is no single join key.
+    A document that could reach ``percent`` with none of the others goes first: a shingle that no other document of these regions has is
+    in no intersection, and in every union. ``asks`` tells the documents outside the region's main component; each of them shares one
+    tile with every document of the region that is left. Regions of more than ``DENSE`` documents are met at the next deeper prefix, as
+    far as ``DEPTH``. Regions are met by parts of their documents, so that a region of most rows is no single join key.
     """
     parts = 64
-    named = rows.select("tree", F.substring("key", 1, 4 * STEP).alias("region"), "rep", "n", "comp")
-    held = named.groupBy("tree", "region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    large = (
-        held.groupBy("tree", "region")
-        .agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", F.col("n").alias("of"), (-F.col("comp")).alias("main"))).alias("most"))
-        .where((F.col("m") > F.col("most.m")) & ((F.col("m") > BLOCK) | (F.col("n") > BLOCK_SHINGLES)))
-    )
-    pieces = lambda m, n: F.ceil(F.greatest(m / (BLOCK / 2), n / (BLOCK_SHINGLES / 2))).cast("int")
-    large = large.select("tree", "region", (-F.col("most.main")).alias("main"), pieces(F.col("m"), F.col("n")).alias("wide"), pieces(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.of")).alias("high"))
-    large = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    here = named.withColumn("h", F.xxhash64("rep")).withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).join(large, ["tree", "region", "part"])
+    named = rows.select("tree", "key", F.substring("key", 1, 4 * STEP).alias("region"), "rep", "n", "comp").withColumn("h", F.xxhash64("rep")).withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+
+    def mixed_regions(of: DataFrame) -> DataFrame:
+        held = of.groupBy("tree", "region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        most = F.max(F.struct("m", F.col("n").alias("of"), (-F.col("comp")).alias("main"))).alias("most")
+        found = held.groupBy("tree", "region").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), most).where(F.col("m") > F.col("most.m"))
+        return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    large = mixed_regions(named).where((F.col("m") > BLOCK) | (F.col("n") > BLOCK_SHINGLES)).select("tree", "region", "part")
+    there = space.table(named.join(large, ["tree", "region", "part"], "left_semi"), "large")
+    alone = unshared(there.select("rep").distinct(), sets)
+    left = space.table(there.join(alone, "rep", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own"), "comparable")
+    for depth in range(STEP + 1, DEPTH + 1):
+        dense = left.groupBy("tree", "region").count().where(F.col("count") > DENSE)
+        if dense.isEmpty():
+            break
+        dense = dense.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        region = F.when(F.col("count").isNull(), F.col("region")).otherwise(F.substring("key", 1, 4 * depth)).alias("region")
+        left = space.table(left.join(dense, ["tree", "region", "part"], "left").select("tree", "key", region, "rep", "n", "comp", "h", "part"), "deeper")
+    pieces = lambda m, n: F.ceil(F.greatest(m / TILE, n / BLOCK_SHINGLES)).cast("int")
+    tiled = mixed_regions(left)
+    tiled = tiled.select("tree", "region", "part", (-F.col("most.main")).alias("main"), pieces(F.col("m"), F.col("n")).alias("wide"), pieces(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.of")).alias("high"))
+    here = left.join(tiled, ["tree", "region", "part"])
     place = F.xxhash64(F.col("h"), F.lit(1))
     all_tiles = here.withColumns({"x": F.pmod(place, "wide").cast("int"), "y": F.explode(F.expr("sequence(0, high - 1)")), "asks": F.lit(False)})
     asked = here.where("comp <> main").withColumns({"y": F.pmod(place, "high").cast("int"), "x": F.explode(F.expr("sequence(0, wide - 1)")), "asks": F.lit(True)})
@@ -315,7 +352,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = every.where("digest is not null and doc_id is not null")
     reps = space.table(classes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
 
-    near = space.table(region_rows(tree_rows(reps)), "regions")
+    near = space.table(region_rows(tree_rows(reps), TREES * reps.count()), "regions")
+    n_near = near.count()
     involved = near.select("rep").distinct().withColumnRenamed("rep", "doc_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,15 +369,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = space.table(built.where(F.length("set") > 0), "sets")
 
     first = near.where(F.col("tree") < FIRST).select("*", F.col("rep").alias("comp"), F.lit(0).cast("long").alias("deg"))
-    found = space.table(links_of(block_rows(first), sets, percent), "links")
+    found = space.table(links_of(block_rows(first, n_near), sets, percent), "links")
     known = space.table(components(found, space), "components")
     degree = found.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("deg"))
     again = near.join(known, "rep", "left").join(degree, "rep", "left").select("tree", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
-    more = links_of(block_rows(again), sets, percent)
+    more = links_of(block_rows(again, n_near), sets, percent)
     all_links = space.table(found.unionByName(more).unionByName(known.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))), "links")
     final = space.table(components(all_links, space), "components")
     placed = near.join(final, "rep", "left").select("tree", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    rest = space.table(links_of(remaining(placed), sets, percent), "links")
+    rest = space.table(links_of(remaining(placed, sets, percent, space), sets, percent), "links")
     if not rest.isEmpty():
         joined = final.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
         final = space.table(components(joined.unionByName(rest), space), "components")

@@ -250,13 +250,33 @@ def test_remaining(spark, monkeypatch):
     space = Workspace(spark, "test")
     texts = docs(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
     reps = space.table(near_dedup.signed(texts, 5), "signed").select(F.col("doc_id").alias("rep"), "sig", F.col("n_shingles").alias("n"))
-    near = space.table(near_dedup.region_rows(near_dedup.tree_rows(reps)), "regions")
+    near = space.table(near_dedup.region_rows(near_dedup.tree_rows(reps), 24 * len(rows)), "regions")
     sets = spark.createDataFrame([(i, near_dedup.shingle_set(HashCache().of(t.encode().split())).tobytes()) for i, t in rows], "rep long, set binary")
     monkeypatch.setattr(near_dedup, "BLOCK", 1)  # every region is a large one, and every tile small
-    links = near_dedup.links_of(near_dedup.remaining(near.withColumn("comp", F.col("rep"))), sets, 75)
-    comp = {r["rep"]: r["comp"] for r in near_dedup.components(links, space).collect()}
-    assert sorted((str(i), n, str(comp.get(int(i), int(i)))) for i, n, _ in want) == want
-    assert near_dedup.remaining(near.withColumn("comp", F.lit(1).cast("long"))).count() == 0
+    for tile, dense in ((1, 1 << 14), (3, 1 << 14), (2, 40)):
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        monkeypatch.setattr(near_dedup, "DENSE", dense)
+        links = near_dedup.links_of(near_dedup.remaining(near.withColumn("comp", F.col("rep")), sets, 75, space), sets, 75)
+        comp = {r["rep"]: r["comp"] for r in near_dedup.components(links, space).collect()}
+        assert sorted((str(i), n, str(comp.get(int(i), int(i)))) for i, n, _ in want) == want
+    assert near_dedup.remaining(near.withColumn("comp", F.lit(1).cast("long")), sets, 75, space).count() == 0
+
+
+def test_recall(spark):
+    """Pairs from the least similarity on, alone in their regions: those found against exact pairs."""
+    rows = []
+    for k in range(400):
+        one = words(200, 5000 + k)
+        two = list(one)
+        for p in range(10, 10 + 28 * (k % 6), 28):
+            two[p] = "changed"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    rows.append((9999, " ".join(words(400_000, 3))))
+    want = near_by_force(rows)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    linked = {i for i, _, c in want if i != c}
+    assert len(linked) > 250 and {i for i, _, c in got if i != c} <= linked
+    assert sum(x in got for x in want if x[0] in linked) >= 0.99 * len(linked)
 
 
 def test_components(spark):
