@@ -12,10 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of a shingle, and the least similarity (in hundredths) of near duplicates.
 SHINGLE_WORDS = 5
 NEAR_PERCENT = 75
+#: Most keys whose rows are joined by a broadcast because they are so many.
+HOT = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,6 +64,18 @@ class Workspace:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def joined_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
+    """The inner join of ``rows`` with ``groups``, which has one row for each key and the number of ``rows`` with it in ``count``.
+
+    Keys with more than a ``HOT``-th of all ``n_rows`` (256 rows at least) are fewer than ``HOT``: they are broadcast and their rows are
+    not shuffled. So no task gets more than that share of one key, however uneven the keys are.
+    """
+    many = max(256, n_rows // HOT)
+    hot = F.broadcast(groups.where(F.col(count) > many).drop(count))
+    rest = groups.where(F.col(count) <= many).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, upper and lower case taken as equal."""
     taken = {c.lower() for c in df.columns}

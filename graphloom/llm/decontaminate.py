@@ -10,23 +10,22 @@ by document and item; where all of them would not do for the threshold, the pair
 those from the document's start that end with one, are compared: a window that begins otherwise can be moved on to the next shared
 shingle without loss, as it only drops words that the item doesn't hold, so the best window is among them.
 
-The index is broadcast in parts of about ``INDEX_ROWS`` rows (of known width), however large the benchmark is; one item's rows are in one part.
+The documents are read once. An index of ``INDEX_ROWS`` rows at most (of known width) is broadcast to them; for a larger one the documents' shingles are
+shuffled to it by their hash.
 
 Words are runs without ASCII white space, lower-cased. Items of fewer than 5 words have no shingle and match nothing.
-Defined cases: null and empty texts have no shingles; null ids of items count as an item (null never joins: they are given -1); documents with null or
+Defined cases: null and empty texts have no shingles; null ids of items count as one item of a null id (counted in n_items, not listed in item_ids); documents with null or
 repeated ids are each kept or dropped by their id's hits, null ids by none; empty tables work; further columns go along.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, Workspace
 
-#: Rows of the index that are broadcast at once; one takes about 100 bytes.
+#: Most rows of an index that is broadcast; one takes about 100 bytes.
 INDEX_ROWS = 400_000
 _WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -52,7 +51,7 @@ def item_index(items: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFra
 
     ``times`` is how often the item has the shingle, ``n`` the number of its shingles, ``total`` their weight.
     """
-    base = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("item_id"), word_array(F.col(text_col)).alias("words")).where(F.size("words") >= SHINGLE_WORDS)
+    base = items.select(F.col(id_col).cast("long").alias("item_id"), word_array(F.col(text_col)).alias("words")).where(F.size("words") >= SHINGLE_WORDS)
     base = base.withColumn("item", F.xxhash64("words")).withColumn("n_words", F.size("words"))
     each = with_shingles(base.select("item", "n_words", "words").dropDuplicates(["item"]), "words").groupBy("item", "n_words", "g").agg(F.count("*").cast("int").alias("times"))
     rarity = each.groupBy("g").agg((1.0 / F.count("*")).alias("weight"))
@@ -91,14 +90,8 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     ids, index = space.table(ids, "items"), space.table(index, "index")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text"), word_array(F.col(text_col)).alias("words")).where("doc_id is not null")
     grams = with_shingles(texts.withColumn("n_doc", F.size("words")), "words")
-    parts = -(-index.count() // INDEX_ROWS)
-    found = []
-    for p in range(parts):
-        part = index if parts == 1 else index.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p)
-        found.append(grams.join(F.broadcast(part), "g"))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
-    close = similarities(space.table(reduce(DataFrame.unionByName, found), "places"), percent).join(ids, "item")
+    found = grams.join(F.broadcast(index) if index.count() <= INDEX_ROWS else index.hint("merge"), "g")
+    close = similarities(space.table(found, "places"), percent).join(ids, "item")
     return close.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

@@ -9,7 +9,10 @@ A packed row has its ids as a little-endian matrix row padded with the end-of-do
 positions (0 again at each segment's start; padding is a segment of its own that restarts too) and, for every segment, its document
 and where the segment starts in the document's ids.
 
-Defined cases: null and empty texts have no ids and no segment; a null id packs with a null document; repeated rows pack each; an empty
+``write_matrices`` writes packed rows as flat matrices; ``read_matrices`` reads them.
+
+Defined cases: null and empty texts have no ids and no segment; a null id packs with a null document; repeated rows pack each; pieces of
+one length keep the order of their documents; a text of any length is split over as many rows as it needs (one task holds it); an empty
 table gives no rows; other columns are not read.
 """
 
@@ -23,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import encoder, slices
+from graphloom.llm.bpe import encoder
+from graphloom.llm.common import freed, slices
 
 ROW_TOKENS = 2048
 #: Most documents and tokens of a block.
@@ -92,6 +96,7 @@ def packed_rows(docs: DataFrame, path: str, pattern: str, *, row_tokens: int = R
         end = len(bpe.pieces) if end_id is None else end_id
         width = np.dtype(bpe.width)
         shard, made = TaskContext.get().partitionId(), 0
+        places = np.arange(row_tokens, dtype=width)
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
@@ -108,9 +113,9 @@ def packed_rows(docs: DataFrame, path: str, pattern: str, *, row_tokens: int = R
                     for d, start, n in pieces:
                         a = cu[-1]
                         ids[k, a : a + n] = held[d][1][start : start + n]
-                        positions[k, a : a + n] = np.arange(n)
+                        positions[k, a : a + n] = places[:n]
                         cu.append(a + n)
-                    positions[k, cu[-1] :] = np.arange(row_tokens - cu[-1])
+                    positions[k, cu[-1] :] = places[: row_tokens - cu[-1]]
                     columns["n_tokens"].append(cu[-1])
                     columns["doc_ids"].append([held[d][0] for d, _, _ in pieces])
                     columns["doc_starts"].append([start for _, start, _ in pieces])
@@ -132,16 +137,45 @@ def packed_rows(docs: DataFrame, path: str, pattern: str, *, row_tokens: int = R
                         tokens += len(raw) // width.itemsize
                     if len(held) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
                         yield from flush()
+        bpe.forget()
         yield from flush()
+        freed()
 
     schema = "shard int, row long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_lengths array<int>, ids binary, positions binary"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def write_matrices(packed: DataFrame, path: str) -> None:
-    """Writes the packed rows as files: ``ids`` and ``positions`` are fixed-width matrix rows in order of (shard, row) within each file."""
-    packed.write.parquet(path)
-
-
-def read_matrices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def write_matrices(packed: DataFrame, path: str, *, end_id: int, width: str = "<u2") -> None:
+    """Writes packed rows to a folder: ``rows`` (a table of shard, row, n_tokens and the segments) and flat files ``ids`` and ``positions``.
+
+    A flat file holds one shard's rows in order and nothing else: little-endian ids (or positions) of a row and then ``end_id``, so row n is
+    found by its place. Spark's text writer makes them, with that last column as its line separator, so they go wherever Spark writes.
+    """
+    packed.drop("ids", "positions").write.parquet(f"{path}/rows")
+    ordered = packed.repartition("shard").sortWithinPartitions("shard", "row")
+    last = np.array([end_id], width).tobytes().decode("latin-1")
+    for name in ("ids", "positions"):
+        rows = ordered.select("shard", F.col(name).cast("string").alias("value"))
+        rows.write.partitionBy("shard").option("lineSep", last).option("encoding", "ISO-8859-1").text(f"{path}/{name}")
+
+
+def read_matrices(spark: SparkSession, path: str, *, row_tokens: int = ROW_TOKENS, width: str = "<u2") -> DataFrame:
+    """The packed rows of such a folder."""
+    size = row_tokens * np.dtype(width).itemsize
+    step = size + np.dtype(width).itemsize
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = content.as_buffer()
+                if len(raw) % step:
+                    raise ValueError("a matrix ends inside a row")
+                for at in range(0, len(raw) // step, 512):
+                    rows = range(at, min(at + 512, len(raw) // step))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), pa.array(rows, pa.int64()), pa.array([raw[r * step : r * step + size].to_pybytes() for r in rows], pa.binary())], ["shard", "row", "value"])
+
+    out = spark.read.parquet(f"{path}/rows")
+    for name in ("ids", "positions"):
+        files = spark.read.format("binaryFile").load(f"{path}/{name}").select("shard", "content")
+        out = out.join(files.mapInArrow(cut, "shard int, row long, value binary").withColumnRenamed("value", name), ["shard", "row"])
+    return out

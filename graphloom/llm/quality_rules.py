@@ -9,7 +9,9 @@ Fitting reads at most ``FIT_ROWS`` labelled documents, those first in the order
 cover every document.
 
 Defined cases: a null text is empty and has zero statistics; a null id keeps its row and verdict; labels that are null, absent or of
-one class give an empty list, which keeps all that passes the base rule; repeated rows are judged each; other columns stay untouched.
+one class give an empty list, which keeps all that passes the base rule; repeated rows are judged each; equal values never part a
+threshold; a text of any length is one row of one task; an empty table gives no rows. Input columns named like an output
+(``__base_failed``, ``__rule``, ``__kept`` and ``stats_col``) are replaced, all others stay untouched.
 """
 
 from __future__ import annotations

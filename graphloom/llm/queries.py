@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, url_filter, warc
+from graphloom.llm import bpe, decontaminate, near_dedup, packing, quality_rules, sharding, stages, substring_dedup, token_counts, url_filter, warc
 from graphloom.llm.common import Workspace
 
 SHARDS = 16
@@ -35,8 +35,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "warc")
     path = space.path("archives")
-    warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    records = warc.with_revisits(warc.read_archives(spark, path, keep_payload=False, space=space))
+    warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path, space=space)
+    records = warc.with_revisits(warc.read_archives(spark, path, keep_payload=False, space=space), space)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -70,27 +70,16 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes flat files of the documents' ids, scans them for separators, and puts the documents' ids beside the counts.
-
-    The n-th file comes from the n-th partition of the scan, in its order; a file with another number of documents raises an error.
-    """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    path, pattern = bpe.default_vocabulary()
+    """Writes flat files of the documents' ids, scans them for separators, and puts the documents' ids beside the counts."""
     space = Workspace(spark, "counts")
     flat = space.path("flat")
-    token_counts.write_flat(docs, flat, path, pattern, end_id=50_256)
-    found = token_counts.scan_files(spark, flat, end_id=50_256).withColumn("part", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int"))
-    row = F.monotonically_increasing_id()
-    ids = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND((1 << 33) - 1).alias("ordinal"))
-    both = found.join(ids.withColumn("there", F.lit(True)), ["part", "ordinal"], "full_outer")
-    fits = F.when(F.col("there").isNull() | F.col("complete").isNull() | ~F.col("complete"), F.raise_error(F.lit("a flat file doesn't hold its partition's documents")).cast("long")).otherwise(F.col("n_tokens"))
-    return both.select("doc_id", fits.alias("n_tokens"), F.col("part").alias("file_number"), "ordinal", "start")
+    token_counts.write_flat(read(spark, sf_dir, "documents"), flat, *bpe.default_vocabulary(), end_id=50_256)
+    found = token_counts.document_counts(spark, flat, end_id=50_256, space=space)
+    return found.select("doc_id", "n_tokens", F.col("part").alias("file_number"), F.col("at").alias("ordinal"), "start")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

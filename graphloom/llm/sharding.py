@@ -9,7 +9,8 @@
 The driver holds a count per partition and per cell, never rows; no task holds more than a partition or a cell.
 
 Defined cases: a null text has size 1 and the checksum of an empty one; null and repeated ids are rows like others; an empty table
-gives an empty result; further columns go along under their own names, and clash with nothing, as internal names start with ``__``.
+gives an empty result; texts of any length go along. Input columns named ``shard`` or ``slot`` are replaced, all others go along (internal
+names are chosen so that they clash with none).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import Workspace
+from graphloom.llm.common import Workspace, unused_name
 
 CELL_ROWS = 500_000
 
@@ -42,32 +43,34 @@ def shuffled_shards(rows: DataFrame, shards: int, *, seed: int = 17, space: Work
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     spark = rows.sparkSession
     space = space or Workspace(spark, "shards")
+    rows = rows.drop("shard", "slot")
     kept = rows.columns
+    row, part, upto_, at, cell, start = (unused_name(rows, n) for n in ("row", "part", "upto", "at", "cell", "start"))
     # A row's id holds its partition above bit 33 and its place below.
-    placed = space.table(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33).cast("int")), "rows")
-    counts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    placed = space.table(rows.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33).cast("int")), "rows")
+    counts = sorted((r[part], r["n"]) for r in placed.groupBy(part).agg(F.count("*").alias("n")).collect())
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     upto = np.cumsum(matrix, axis=1)
-    schema = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__upto", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(part, T.IntegerType()), T.StructField(upto_, T.ArrayType(T.LongType()))])
     sends = spark.createDataFrame([(p, upto[i].tolist()) for i, (p, _) in enumerate(counts)], schema)
 
-    local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed), "__part", "__row"), "__row")
-    dealt = placed.withColumn("__at", F.row_number().over(local) - 1).join(sends, "__part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("__upto", lambda u: u <= F.col("__at"))))
+    local = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed), part, row), row)
+    dealt = placed.withColumn(at, F.row_number().over(local) - 1).join(sends, part)
+    dealt = dealt.withColumn("shard", F.size(F.filter(upto_, lambda u: u <= F.col(at))))
 
     total = sum(n for _, n in counts)
     cells = max(1, -(-total // (shards * CELL_ROWS)), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    dealt = dealt.withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed + 1), "__row"), F.lit(cells)).cast("int"))
-    dealt = space.table(dealt.select(*kept, "shard", "__row", "__cell"), "dealt")
-    sizes = {(r["shard"], r["__cell"]): r["n"] for r in dealt.groupBy("shard", "__cell").agg(F.count("*").alias("n")).collect()}
+    dealt = dealt.withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 1), row), F.lit(cells)).cast("int"))
+    dealt = space.table(dealt.select(*kept, "shard", row, cell), "dealt")
+    sizes = {(r["shard"], r[cell]): r["n"] for r in dealt.groupBy("shard", cell).agg(F.count("*").alias("n")).collect()}
     starts = []
     for s in range(shards):
-        at = 0
+        upto_here = 0
         for c in range(cells):
-            starts.append((s, c, at))
-            at += sizes.get((s, c), 0)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("__cell", T.IntegerType()), T.StructField("__start", T.LongType())])
+            starts.append((s, c, upto_here))
+            upto_here += sizes.get((s, c), 0)
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField(cell, T.IntegerType()), T.StructField(start, T.LongType())])
     offsets = spark.createDataFrame(starts, schema)
-    again = Window.partitionBy("shard", "__cell").orderBy(F.xxhash64(F.lit(seed + 2), "__row"), "__row")
-    out = dealt.withColumn("__at", F.row_number().over(again) - 1).join(offsets, ["shard", "__cell"])
-    return out.select(*kept, "shard", (F.col("__start") + F.col("__at")).cast("long").alias("slot"))
+    again = Window.partitionBy("shard", cell).orderBy(F.xxhash64(F.lit(seed + 2), row), row)
+    out = dealt.withColumn(at, F.row_number().over(again) - 1).join(offsets, ["shard", cell])
+    return out.select(*kept, "shard", (F.col(start) + F.col(at)).cast("long").alias("slot"))

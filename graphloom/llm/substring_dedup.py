@@ -7,15 +7,15 @@ documents. Of all units with one digest the earliest in the order (document id,
 fragments. Runs of copied fragments with ``PASSAGE_WORDS`` words or more together are removed, shorter ones are chance and stay. A removed
 run's fragments each stand in an earlier unit, so some earliest text of each is always kept.
 
-Digests are counted with a partial aggregate before the shuffle. Those that very many documents have (fewer than ``HOT`` by arithmetic, as
-each has more than a ``HOT``-th of all rows) are broadcast, the others are joined by digest, so no task gets more than a small share
-of the rows and no group's members are ever listed. Copies inside a document are settled where the document is read.
+Digests are counted with a partial aggregate before the shuffle. Those that very many documents have are
+broadcast, the others are joined by digest (see ``joined_by_key``), so no task gets more than a small share of the rows of one digest,
+and no group's members are ever listed. Copies inside a document are settled where the document is read.
 
 Offsets are in code points of the original text; a removed run goes with the white space after it, the rest keeps its order and bytes.
 
 Defined cases: a null text stays null, an empty one empty; a null id ranks behind all others; rows that repeat an id (or have none) rank by
 their text's hash, and equal ones in the order they are written in; a text of any length is one task's row; an empty table gives an empty
-result. Input columns named like an output (``removed``, ``n_removed``) are replaced, all others are kept.
+result. Input columns named like an output are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -29,12 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Workspace, unused_name
+from graphloom.llm.common import Workspace, joined_by_key, unused_name
 
 #: Least words of a unit, and of a run of copied fragments that goes. A passage whose edges lie inside sentences has fewer words in whole ones.
 UNIT_WORDS, PASSAGE_WORDS = 8, 40
-#: Digests that are broadcast, at most.
-HOT = 4096
 _WHITE = r"[\x20\x09-\x0D]"
 _CUT = regex.compile(rf"(?<=[.!?]){_WHITE}+|{_WHITE}+(?=\p{{Lu}})|[\x20\x09\x0B-\x0D]*\n{_WHITE}*")
 
@@ -132,18 +130,15 @@ def removals(texts: DataFrame, unit_words: int, space: Workspace) -> DataFrame:
     units = space.table(digest_rows(texts, unit_words), "units")
     each = units.where("hi is not null")
     shared = space.table(each.groupBy("hi", "lo").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "shared")
-    many = max(256, units.count() // HOT)
-    hot = F.broadcast(shared.where(F.col("n") > many).drop("n"))
-    rest = shared.where(F.col("n") <= many).drop("n")
-    later = each.join(hot, ["hi", "lo"]).unionByName(each.join(hot, ["hi", "lo"], "left_anti").join(rest, ["hi", "lo"])).where("rank > first").drop("first")
+    later = joined_by_key(each, shared, ["hi", "lo"], "n", units.count()).where("rank > first").drop("first")
     own = units.where("hi is null")
     return space.table(later.unionByName(own).groupBy("rank").agg(F.collect_set(F.struct("hi", "lo")).alias("digests")), "removals")
 
 
 def without_copies(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, passage_words: int = PASSAGE_WORDS, space: Workspace | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, passage_words: int = PASSAGE_WORDS, removed_col: str = "removed", number_col: str = "n_removed", space: Workspace | None = None
 ) -> DataFrame:
-    """``docs`` whose text has lost its copies, with n_removed (long) and removed (array of start and end of each)."""
+    """``docs`` whose text has lost its copies, with ``number_col`` (long) and ``removed_col`` (array of start and end of each)."""
     space = space or Workspace(docs.sparkSession, "passages")
     rank, gone, digests, cut = (unused_name(docs, n) for n in ("rank", "gone", "digests", "cut"))
     rows = ranked(docs, rank, id_col, text_col, space)
@@ -168,4 +163,4 @@ def without_copies(
     done = rows.join(lost.hint("shuffle_hash"), F.col(rank) == F.col(gone), "left").withColumn(cut, cut_out(F.col(text_col).cast("string"), F.col(digests)))
     text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.col(f"{cut}.text"))
     removed = F.coalesce(F.col(f"{cut}.removed"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return done.withColumns({text_col: text, "removed": removed}).withColumn("n_removed", F.size("removed").cast("long")).drop(rank, gone, digests, cut)
+    return done.withColumns({text_col: text, removed_col: removed}).withColumn(number_col, F.size(removed_col).cast("long")).drop(rank, gone, digests, cut)

@@ -6,9 +6,12 @@ separators' places. A document that crosses blocks is put together by a prefix s
 separators gives the documents' ordinals, and the running place of the last separator gives where an open document began.
 
 ``write_flat`` writes such files with Spark's text writer: a row is a document's ids, and the line separator is the separator id itself.
+The same pass writes the documents' ids beside them, so nothing is numbered again.
 
-Defined cases: a null or empty text is a document of no tokens; an empty file has none; tokens after a file's last separator are an
-unfinished document, given with ``complete`` false; a file with a part of an id at its end raises an error.
+Defined cases: a null or empty text is a document of no tokens, a null id stays null, repeated rows are each a document; an empty file or
+table has none; a text of any length is one row of one task; tokens after a file's last separator are an unfinished document, given with
+``complete`` false; a file with a part of an id at its end raises an error, as does one of 2 GiB or more (Spark's limit for ``binaryFile``;
+``write_flat`` begins a new file after ``FILE_ROWS`` documents); other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,29 +23,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import encoder, slices
+from graphloom.llm.bpe import encoder
+from graphloom.llm.common import Workspace, freed, slices
 
 BLOCK = 1 << 20
+#: Documents of a partition's file, at most.
+FILE_ROWS = 200_000
+
+
+def _separator(end_id: int, width: str) -> str:
+    return np.array([end_id], width).tobytes().decode("latin-1")
+
+
+def id_width(n_ids: int) -> str:
+    """The width of flat files with so many ids."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
 
 
 def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """One flat file of uint16 ids per partition, in the partition's row order."""
+    """Flat files of ids in ``kind=tokens``, one or more per partition, and in ``kind=ids`` each document's id and place in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary, pattern)
-        if bpe.width != "<u2" or end_id >= 1 << 16 or end_id < len(bpe.pieces):
-            raise ValueError("the ids and a separator beside them must fit into 16 bits")
+        width = id_width(end_id + 1)
+        if end_id < len(bpe.pieces):
+            raise ValueError("the separator is an id of the vocabulary")
+        at = 0
         for whole in batches:
-            for batch in slices(whole, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(bpe.encode_many(batch.column(0).to_pylist()), pa.binary())], ["value"])
+            for batch in slices(whole, 1):
+                tokens = bpe.encode_many(batch.column(1).to_pylist())
+                if width != bpe.width:
+                    tokens = [np.frombuffer(x, bpe.width).astype(width).tobytes() for x in tokens]
+                ids = [f"{at + k} {'' if d is None else d}".encode() for k, d in enumerate(batch.column(0).to_pylist())]
+                n = len(ids)
+                places = np.arange(at, at + n)
+                yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * n + ["ids"] * n), pa.array(np.concatenate([places, places])), pa.array(tokens + ids, pa.binary())], ["kind", "at", "value"])
+                at += n
+        bpe.forget()
+        freed()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, at long, value binary")
+    # Each task writes both files of its partition, in the documents' order.
+    lines = rows.sortWithinPartitions("kind", "at").select("kind", F.col("value").cast("string").alias("value"))
+    lines.write.partitionBy("kind").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(path)
+
+
+#: A written file's partition and its number among the partition's files.
+_PART, _FILE = r"part-(\d+)-[^/]*$", r"[-.]c(\d+)[^/]*$"
+
+
+def _numbered(rows: DataFrame, file: str) -> DataFrame:
+    number = lambda p: F.regexp_extract(file, p, 1).cast("int")
+    return rows.withColumns({"part": number(_PART), "file_number": number(_FILE)})
+
+
+def document_ids(spark: SparkSession, path: str, *, end_id: int) -> DataFrame:
+    """Rows (part, at, doc_id) of what ``write_flat`` wrote: which document stands where in its partition."""
+    lines = spark.read.option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(f"{path}/kind=ids")
+    both = F.split("value", " ")
+    return _numbered(lines.select("value", F.col("_metadata.file_path").alias("file")), "file").select("part", both[0].cast("long").alias("at"), F.nullif(both[1], F.lit("")).cast("long").alias("doc_id"))
+
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "value binary")
-    separator = np.array([end_id], "<u2").tobytes().decode("latin-1")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+def document_counts(spark: SparkSession, path: str, *, end_id: int, space: Workspace | None = None) -> DataFrame:
+    """Rows (doc_id, n_tokens, part, at, start) of what ``write_flat`` wrote; a document without tokens' file, or the other way round, raises an error."""
+    found = _numbered(scan_files(spark, f"{path}/kind=tokens", end_id=end_id, width=id_width(end_id + 1), space=space), "file")
+    at = (F.col("file_number") * FILE_ROWS + F.col("ordinal")).alias("at")
+    both = found.select("part", at, "start", "n_tokens", "complete").join(document_ids(spark, path, end_id=end_id).withColumn("there", F.lit(True)), ["part", "at"], "full_outer")
+    fits = F.when(F.col("there").isNull() | F.col("complete").isNull() | ~F.col("complete"), F.raise_error(F.lit("the flat files don't hold the documents written")).cast("long")).otherwise(F.col("n_tokens"))
+    return both.select("doc_id", fits.alias("n_tokens"), "part", "at", "start")
 
 
-def scan_files(spark: SparkSession, path: str, *, end_id: int, block: int = BLOCK, width: str = "<u2") -> DataFrame:
+def scan_files(spark: SparkSession, path: str, *, end_id: int, block: int = BLOCK, width: str = "<u2", space: Workspace | None = None) -> DataFrame:
     """Rows (file, ordinal, start, n_tokens, complete), one per document of the files in a folder."""
+    space = space or Workspace(spark, "scan")
     size = np.dtype(width).itemsize
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
     number = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((length - 1) div {block * size} as int)"))))
@@ -59,16 +112,19 @@ def scan_files(spark: SparkSession, path: str, *, end_id: int, block: int = BLOC
                 places.append(np.flatnonzero(ids == end_id).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["file", "block", "n", "places"])
 
-    found = blocks.mapInArrow(search, "file string, block int, n long, places array<int>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.coalesce(F.sum("n").over(before), F.lit(0))
-    placed = found.withColumn("first", upto).withColumn("seps", F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)))
-    ends = F.when(F.size("places") > 0, F.col("first") + F.element_at("places", -1) + 1)
-    scanned = placed.withColumn("open", F.coalesce(F.max(ends).over(before), F.lit(0))).withColumn("last", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
+    found = space.table(blocks.mapInArrow(search, "file string, block int, n long, places array<int>"), "blocks")
+    # The prefix scan sees three numbers of a block, not its separators: so a file of any length is little to it.
+    each = Window.partitionBy("file").orderBy("block")
+    before = each.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    told = found.select("file", "block", "n", F.size("places").alias("k"), F.element_at(F.concat("places", F.array(F.lit(-1))), F.greatest(F.size("places"), F.lit(1))).alias("last"))
+    placed = told.withColumns({"first": first, "seps": F.coalesce(F.sum("k").over(before), F.lit(0))}).withColumn("ends", F.when(F.col("k") > 0, F.col("first") + F.col("last") + 1))
+    scanned = placed.withColumns({"open": F.coalesce(F.max("ends").over(before), F.lit(0)), "final": F.lead("block").over(each).isNull()})
     # Inside a block, a document runs from the separator before it (or where it was open) to its own; after the last block, what is left is unfinished.
-    each = scanned.select("file", "open", "first", "seps", "places", F.posexplode("places").alias("k", "place"))
-    start = F.when(F.col("k") > 0, F.col("first") + F.element_at("places", F.col("k")) + 1).otherwise(F.col("open"))
-    done = each.select("file", (F.col("seps") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("first") + F.col("place") - start).alias("n_tokens"), F.lit(True).alias("complete"))
-    tail = F.col("first") + F.col("n") - F.coalesce(ends, F.col("open"))
-    rest = scanned.where("last").select("file", (F.col("seps") + F.size("places")).alias("ordinal"), F.coalesce(ends, F.col("open")).alias("start"), tail.alias("n_tokens"), F.lit(False).alias("complete")).where("n_tokens > 0")
+    inside = found.select("file", "block", "places").join(scanned.where("k > 0").select("file", "block", "first", "seps", "open"), ["file", "block"])
+    inside = inside.select("file", "open", "first", "seps", "places", F.posexplode("places").alias("k", "place"))
+    start = F.when(F.col("k") > 0, F.col("first") + F.element_at("places", F.greatest(F.col("k"), F.lit(1))) + 1).otherwise(F.col("open"))
+    done = inside.select("file", (F.col("seps") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("first") + F.col("place") - start).alias("n_tokens"), F.lit(True).alias("complete"))
+    begun = F.coalesce("ends", "open")
+    rest = scanned.where("final").select("file", (F.col("seps") + F.col("k")).alias("ordinal"), begun.alias("start"), (F.col("first") + F.col("n") - begun).alias("n_tokens"), F.lit(False).alias("complete")).where("n_tokens > 0")
     return done.unionByName(rest)

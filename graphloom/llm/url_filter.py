@@ -6,12 +6,17 @@ beside it are neither letters nor digits of ASCII. One strict term rejects, as d
 Rules of a host and a path prefix come before the vocabulary: a rule fits its host and all its subdomains where the URL's path starts
 with the rule's; the longest wins, of equally long ones the first in the alphabet.
 
+The vocabulary is two lists of terms, or a table of terms and weights (``vocabulary``): terms of weight ``STRICT_WEIGHT`` or more are strict.
+It goes to every task, so its size is checked (``MOST_TERMS``).
+
 Defined cases: a null URL or one without ``://`` has an empty host and path; a null URL has no hits and is allowed; repeated rows are
-judged each; a null id stays null; other columns are not read.
+judged each; a null id stays null; an empty URL is judged like one without ``://``; a URL of any length is searched whole in one pass; empty terms
+are left out, a term in both lists is strict; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,14 +30,29 @@ SOFT = ("bet", "bets", "bonus", "cheap", "free", "hot", "jackpot", "loan", "nude
 SOFT_HITS = 2
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
+#: Weight from which a term is strict; most terms of a vocabulary.
+STRICT_WEIGHT, MOST_TERMS = 1.0, 1_000_000
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+def vocabulary(terms: DataFrame, *, term_col: str = "term", weight_col: str = "weight") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The strict and the soft terms of a table, A-Z lower-cased, by their greatest weight; terms of no or no positive weight are left out."""
+    lower = F.translate(term_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = terms.select(lower.alias("term"), F.col(weight_col).cast("double").alias("weight")).where("term <> '' and weight > 0")
+    rows = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    strict = sorted(r["term"] for r in rows if r["weight"] >= STRICT_WEIGHT)
+    return tuple(strict), tuple(sorted(r["term"] for r in rows if r["weight"] < STRICT_WEIGHT))
+
+
+@functools.lru_cache(maxsize=2)
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for terms, weight in ((soft, 1), (strict, 2)):
-        for term in terms:
+        for term in filter(None, terms):
             found.add_word(term.translate(_LOWER), (term.translate(_LOWER), weight))
     found.make_automaton()
     return found

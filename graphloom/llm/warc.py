@@ -11,8 +11,13 @@ Reading: each archive is cut into records by their lengths. Whole records are de
 they are grouped by their origin, ordered by segment number, joined, and checked against the total length and for gaps. Then the chunked
 framing is decoded and the payload held against its digest.
 
+Keys of very many rows (an empty payload that most pages share) are joined by a broadcast (see ``joined_by_key``).
+
 Defined cases: a null payload is an empty one; a null id loses to any other and revisits it (a group of null ids only is responses);
-repeated rows of the winning id are all responses; missing, surplus or damaged segments raise an error; other columns are not read.
+repeated rows of the winning id are all responses; a null URL is an empty one; one with white space, control characters or more than
+``LINE`` bytes stands in a header of its own in base64, one over ``LONG_URL`` bytes is named by its SHA-1; a payload of any length is cut into segments;
+missing, surplus or damaged segments raise an error; an empty table gives empty archives, which read as no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Workspace
+from graphloom.llm.common import Workspace, joined_by_key
 
 SEGMENT = 1 << 20
 CHUNK = 1 << 16
 #: Bytes of compressed records that are written at once, and in one archive.
 BUNDLE, ARCHIVE = 4 << 20, 32 << 20
+#: Most bytes of a URL in its plain header, and in any; bytes that are inflated at once.
+LINE, LONG_URL, STEP = 1 << 13, 4 << 20, 1 << 16
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -81,11 +88,22 @@ def member(raw: bytes) -> bytes:
     return gzip.compress(raw, 1, mtime=0)
 
 
+def url_fields(url: str) -> list[tuple[str, str]]:
+    """The headers that hold a URL as it is."""
+    raw = url.encode()
+    if len(raw) > LONG_URL:
+        return [("WARC-Target-URI", f"urn:sha1:{base32_sha1(raw)}")]
+    plain = "".join(url.split())
+    if plain == url and url.isprintable() and len(raw) <= LINE:
+        return [("WARC-Target-URI", url)]
+    return [("WARC-Target-URI", f"urn:sha1:{base32_sha1(raw)}"), ("X-Target-URI-Base64", base64.b64encode(raw).decode())]
+
+
 def page_records(page_id: int | None, url: str, payload: bytes, winner: int | None, serial: str, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page; ``winner`` is the id that it revisits, or None."""
     name = uuid.UUID(bytes=hashlib.md5(f"{serial}/{page_id}".encode()).digest())
     own, digest = f"<urn:uuid:{name}>", f"sha1:{base32_sha1(payload)}"
-    fields = [("WARC-Date", _DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), *([("X-Page-ID", str(page_id))] if page_id is not None else [])]
+    fields = [("WARC-Date", _DATE), *url_fields(url), ("WARC-Payload-Digest", digest), *([("X-Page-ID", str(page_id))] if page_id is not None else [])]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if winner is not None:
@@ -102,13 +120,14 @@ def page_records(page_id: int | None, url: str, payload: bytes, winner: int | No
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(name, str(k))}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *total], part)
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT, space: Workspace | None = None) -> None:
     """Writes archives of ``ARCHIVE`` bytes and a few records at most to the folder ``path``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    digests = rows.select("page_id", F.sha1("payload").alias("digest"))
+    space = space or Workspace(pages.sparkSession, "warc")
+    digests = space.table(rows.select("page_id", F.sha1("payload").alias("digest")), "digests")
     groups = digests.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
     # Only the losers of equal payloads: a page that isn't here is a response. The payloads are shuffled once, by id, and not sorted.
-    losers = digests.join(groups, "digest").where("page_id is null or page_id <> winner").groupBy("page_id", "digest").agg(F.max("winner").alias("winner"))
+    losers = joined_by_key(digests, groups, ["digest"], "n", digests.count()).where("page_id is null or page_id <> winner").groupBy("page_id", "digest").agg(F.max("winner").alias("winner"))
     marked = rows.withColumn("digest", F.sha1("payload")).join(losers.withColumnRenamed("page_id", "loser").withColumnRenamed("digest", "d").hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("loser")) & (F.col("digest") == F.col("d")), "left")
     lean = marked.select("page_id", "url", "winner", "payload")
 
@@ -119,7 +138,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             size = 0
             for page_id, url, winner, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at += 1
-                for raw in page_records(page_id, " ".join(url.split()), payload, winner, f"{path}/{task}/{at}", segment):
+                for raw in page_records(page_id, url, payload, winner, f"{path}/{task}/{at}", segment):
                     out.append(member(raw))
                     size += len(out[-1])
                     if size > BUNDLE:
@@ -136,14 +155,17 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
 
 def members_of(raw: bytes) -> Iterator[bytes]:
-    """The records of one archive."""
-    view = memoryview(raw)
-    while len(view):
-        z = zlib.decompressobj(31)
-        yield z.decompress(view)
-        if not z.eof:
-            raise ValueError("an archive ends inside a record")
-        view = view[len(view) - len(z.unused_data) :]
+    """The records of one archive; what follows a record is never copied further than ``STEP`` bytes."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + STEP]
+            if not len(piece):
+                raise ValueError("an archive ends inside a record")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -162,8 +184,6 @@ def http_payload(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-
-
 def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True, space: Workspace | None = None) -> DataFrame:
     """Rows (record_id, page_id, url, record_type, refers_to, payload_digest, payload_bytes[, payload]) of the archives in a folder.
 
@@ -185,7 +205,8 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True,
                 for raw in members_of(content.as_buffer()):
                     f, block = parsed(raw)
                     number = lambda k, f=f: int(f[k]) if k in f else None
-                    meta = (f["WARC-Record-ID"], number("X-Page-ID"), f.get("WARC-Target-URI"), f["WARC-Type"], number("X-Refers-To-Page-ID"))
+                    url = base64.b64decode(f["X-Target-URI-Base64"]).decode() if "X-Target-URI-Base64" in f else f.get("WARC-Target-URI")
+                    meta = (f["WARC-Record-ID"], number("X-Page-ID"), url, f["WARC-Type"], number("X-Refers-To-Page-ID"))
                     stated = f.get("WARC-Payload-Digest")
                     if "WARC-Segment-Number" in f:
                         rows.append((*meta, stated, None, None, f.get("WARC-Segment-Origin-ID", meta[0]), int(f["WARC-Segment-Number"]), number("WARC-Segment-Total-Length"), block))
@@ -225,8 +246,14 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True,
     return found if keep_payload else found.drop("payload")
 
 
-def with_revisits(records: DataFrame) -> DataFrame:
-    """``records`` whose revisits have the payload length of the page that they refer to (and have verified that it has the same digest)."""
-    first = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest")).agg(F.max("payload_bytes").alias("__bytes"))
-    out = records.join(first, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
-    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).drop("__page", "__digest", "__bytes")
+def with_revisits(records: DataFrame, space: Workspace | None = None) -> DataFrame:
+    """``records`` whose revisits have the payload length of the page that they refer to, if a response of that page has the same digest."""
+    space = space or Workspace(records.sparkSession, "warc")
+    keys = ["__page", "__digest"]
+    slim = space.table(records.drop("payload"), "slim")
+    first = slim.where("record_type = 'response'").groupBy(F.col("page_id").alias(keys[0]), F.col("payload_digest").alias(keys[1])).agg(F.max("payload_bytes").alias("__bytes"))
+    again = slim.where("record_type = 'revisit' and refers_to is not null and payload_digest is not null").withColumns({keys[0]: F.col("refers_to"), keys[1]: F.col("payload_digest")})
+    groups = space.table(again.groupBy(*keys).agg(F.count("*").alias("__n")).join(first, keys, "left"), "revisited")
+    told = joined_by_key(again, groups, keys, "__n", slim.count()).withColumn("payload_bytes", F.col("__bytes")).select(*slim.columns)
+    rest = (records if "payload" in records.columns else slim).where("not (record_type = 'revisit' and refers_to is not null and payload_digest is not null)")
+    return rest.unionByName(told, allowMissingColumns=True)

@@ -6,8 +6,7 @@ from collections import Counter
 import pytest
 import tiktoken
 
-import corpus_pipeline
-from graphloom.llm import bpe
+from graphloom.llm import bpe, stages
 from test_operators import passages_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +31,7 @@ def holds(text, items):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for stage in (corpus_pipeline.quality, corpus_pipeline.near):
+    for stage in (stages.quality, stages.near):
         docs = stage(spark, docs, SF)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -41,6 +40,6 @@ def test_run(spark):
     cut = passages_by_force(rows)
     lined = {d: cut[k][0] for k, (d, _) in enumerate(rows)}
     want = {d: len(known.encode_ordinary(t)) for d, t in lined.items() if not holds(t, items)}
-    out = corpus_pipeline.run(spark, SF)
+    out = stages.run(spark, SF)
     assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == want
     assert 0 < len(want) < len(lined) and lined != dict(rows)
