@@ -1,53 +1,5 @@
-"""A corpus pipeline of the training-data operators; every stage's result is written and read again."""
+"""The corpus pipeline: its stages, the SQL of its rows (none), and a run over the documents. The stages are in ``graphloom.llm.stages``."""
 
-from __future__ import annotations
+from graphloom.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from graphloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
-from graphloom.llm.common import Workspace
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned rules keep."""
-    model = quality_rules.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judged(docs, model).where("__kept").select(*docs.columns)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    space = Workspace(spark, "pipeline-near")
-    found = near_dedup.near_duplicates(docs, space=space)
-    gone = space.table(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds."""
-    out = substring_dedup.without_copies(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
-
-
-def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
-    return bpe.encode_frame(docs, *bpe.default_vocabulary(), keep_ids=False)
-
-
-STAGES = [("quality rules", quality), ("near duplicates", near), ("substring dedup", repeats), ("decontamination", leaks), ("byte BPE", tokens)]
-
-#: A learned decision list and a tokenizer are no SQL; tests hold run()'s line removal, decontamination and token counts against brute-force versions on sf0.001.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = space.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
