@@ -29,6 +29,8 @@ from graphloom.llm.common import Workspace, freed, slices
 BLOCK = 1 << 20
 #: Documents of a partition's file, at most.
 FILE_ROWS = 200_000
+#: The folders of what ``write_flat`` writes. Numbers, as the writer would sort by a text column again.
+TOKENS, IDS = 0, 1
 
 
 def _separator(end_id: int, width: str) -> str:
@@ -41,7 +43,7 @@ def id_width(n_ids: int) -> str:
 
 
 def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Flat files of ids in ``kind=tokens``, one or more per partition, and in ``kind=ids`` each document's id and place in its partition."""
+    """Flat files of ids in ``kind=0``, one or more per partition, and in ``kind=1`` each document's id and place in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary, pattern)
@@ -57,19 +59,19 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, end
                 ids = [f"{at + k} {'' if d is None else d}".encode() for k, d in enumerate(batch.column(0).to_pylist())]
                 n = len(ids)
                 places = np.arange(at, at + n)
-                yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * n + ["ids"] * n), pa.array(np.concatenate([places, places])), pa.array(tokens + ids, pa.binary())], ["kind", "at", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([TOKENS] * n + [IDS] * n, pa.int32()), pa.array(np.concatenate([places, places])), pa.array(tokens + ids, pa.binary())], ["kind", "at", "value"])
                 at += n
         bpe.forget()
         freed()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, at long, value binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, at long, value binary")
     # Each task writes both files of its partition, in the documents' order.
     lines = rows.sortWithinPartitions("kind", "at").select("kind", F.col("value").cast("string").alias("value"))
     lines.write.partitionBy("kind").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(path)
 
 
 #: A written file's partition and its number among the partition's files.
-_PART, _FILE = r"part-(\d+)-[^/]*$", r"[-.]c(\d+)[^/]*$"
+_PART, _FILE = r"/part-(\d+)-[^/]*$", r"\.c(\d+)[^/]*$"
 
 
 def _numbered(rows: DataFrame, file: str) -> DataFrame:
@@ -79,14 +81,14 @@ def _numbered(rows: DataFrame, file: str) -> DataFrame:
 
 def document_ids(spark: SparkSession, path: str, *, end_id: int) -> DataFrame:
     """Rows (part, at, doc_id) of what ``write_flat`` wrote: which document stands where in its partition."""
-    lines = spark.read.option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(f"{path}/kind=ids")
+    lines = spark.read.option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(f"{path}/kind={IDS}")
     both = F.split("value", " ")
     return _numbered(lines.select("value", F.col("_metadata.file_path").alias("file")), "file").select("part", both[0].cast("long").alias("at"), F.nullif(both[1], F.lit("")).cast("long").alias("doc_id"))
 
 
 def document_counts(spark: SparkSession, path: str, *, end_id: int, space: Workspace | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, part, at, start) of what ``write_flat`` wrote; a document without tokens' file, or the other way round, raises an error."""
-    found = _numbered(scan_files(spark, f"{path}/kind=tokens", end_id=end_id, width=id_width(end_id + 1), space=space), "file")
+    found = _numbered(scan_files(spark, f"{path}/kind={TOKENS}", end_id=end_id, width=id_width(end_id + 1), space=space), "file")
     at = (F.col("file_number") * FILE_ROWS + F.col("ordinal")).alias("at")
     both = found.select("part", at, "start", "n_tokens", "complete").join(document_ids(spark, path, end_id=end_id).withColumn("there", F.lit(True)), ["part", "at"], "full_outer")
     fits = F.when(F.col("there").isNull() | F.col("complete").isNull() | ~F.col("complete"), F.raise_error(F.lit("the flat files don't hold the documents written")).cast("long")).otherwise(F.col("n_tokens"))

@@ -412,7 +412,7 @@ def test_counts(spark):
     token_counts.write_flat(table, path, PATH, PATTERN, end_id=50256)
     want = [len(own.ids(own.encode(t))) for t in texts]
     for block in (1, 7, 64, 1 << 20):
-        got = token_counts.scan_files(spark, f"{path}/kind=tokens", end_id=50256, block=block).orderBy("ordinal").collect()
+        got = token_counts.scan_files(spark, f"{path}/kind={token_counts.TOKENS}", end_id=50256, block=block).orderBy("ordinal").collect()
         assert [r["n_tokens"] for r in got] == want and all(r["complete"] for r in got)
         assert [r["start"] for r in got] == [sum(want[:k]) + k for k in range(len(want))]
     with pytest.raises(Exception, match="separator"):
@@ -434,6 +434,13 @@ def test_counts_beside_ids(spark, monkeypatch):
     token_counts.write_flat(docs(spark, []).coalesce(1), path, PATH, PATTERN, end_id=50256)
 
 
+def test_file_numbers(spark):
+    """A written file's name holds a random part, which can look like a number itself."""
+    names = [f"file:/x/part-7/kind=0/part-0000{k}-c{k}4e-c05a-4f.c00{k}.txt" for k in range(3)]
+    got = token_counts._numbered(spark.createDataFrame([(n,) for n in names], "file string"), "file").orderBy("part").collect()
+    assert [(r["part"], r["file_number"]) for r in got] == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_scan_of_foreign_files(spark, tmp_path):
     for name, ids in (("a", []), ("b", [50256, 1, 50256, 2, 3]), ("c", [50256])):
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
