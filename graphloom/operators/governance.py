@@ -37,16 +37,17 @@ def directory_tags(files: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(top, leaf): workspaces that import and aren't imported, with those that are imported and don't; few of either.
+    """(top, leaves): workspaces that import and aren't imported, each with those that are imported and don't import, as one sorted list.
 
-    None if fewer than ``LAYER`` workspaces import others.
+    None if fewer than ``LAYER`` workspaces import others. The list is of workspaces, which a repository names one by one.
     """
     a, b = (files.select(F.col("file_id").alias(f"__{s}"), F.col("workspace").alias(f"{s}_ws")) for s in ("src", "dst"))
     pairs = edges.join(a, F.col("src") == F.col("__src")).join(b, F.col("dst") == F.col("__dst")).where("src_ws <> dst_ws").select("src_ws", "dst_ws", "src").distinct()
     sources, targets = pairs.select(F.col("src_ws").alias("w")).distinct(), pairs.select(F.col("dst_ws").alias("w")).distinct()
     tops, leaves = sources.join(targets, "w", "left_anti").select(F.col("w").alias("top")), targets.join(sources, "w", "left_anti").select(F.col("w").alias("leaf"))
     enough = sources.agg(F.count("*").alias("__n")).where(F.col("__n") >= LAYER).drop("__n")
-    return tops.join(leaves, F.col("top") != F.col("leaf")).crossJoin(enough)
+    listed = leaves.agg(F.array_sort(F.collect_list("leaf")).alias("leaves")).where(F.size("leaves") > 0)
+    return tops.crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(enough))  # one row each
 
 
 def hotspots(edges: DataFrame, files: DataFrame, *, n: int = HOTSPOTS) -> DataFrame:

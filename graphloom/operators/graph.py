@@ -1,32 +1,109 @@
 """Graph operators: reachability, shortest proofs, closures, strong components.
 
-All are semi-naive fixpoints of joins: a round joins only what is new with the edges, and is written, so plans stay short. Ids may be of any
-type. Edges may hold parallel edges and loops.
+All are fixpoints of joins. A round follows several steps from what the last one found, in one job, and is written with its count; what
+was found before is a few tables that are put together now and then. So neither plans nor the files read grow with the rounds. Ids may be of
+any type. Edges may hold parallel edges and loops.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.tables import Rounds
 
+#: Steps that a round follows, and from few rows, where a round's own cost counts most; tables of what was found that are put together.
+STEPS, STEPS_OF_FEW, FEW_ROWS, PARTS = 4, 10, 100_000, 4
+#: Most nodes for which components are found through all pairs, 64 of them to a row.
+FEW_NODES = 4096
+
+
+def _stride(rows: int) -> int:
+    return STEPS if rows > FEW_ROWS else STEPS_OF_FEW
+
+
+def fixpoint(rounds: Rounds, start: DataFrame, step: Callable[[DataFrame, Column, Column], DataFrame], keys: list[str], *, extra: str | None = None, max_hops: int | None = None) -> DataFrame:
+    """``start`` and all that ``step`` makes of it, each row of ``keys`` once, with ``hop``, the steps that it takes.
+
+    ``step`` gets rows of ``keys`` (and the column ``extra``, of which the least is kept among those of fewest steps) and ``hop``, the condition of
+    the rows to go on from, and the next hop. It returns all the rows and what comes of those, so that steps follow each other in one plan.
+    """
+    names = [*keys, *([extra] if extra else [])]
+    value = F.struct("hop", *([extra] if extra else []))
+    least = lambda rows: rows.groupBy(*keys).agg(F.min(value).alias("__v")).select(*keys, "__v.*")
+    front, n = rounds.counted(least(start.select(*names).withColumn("hop", F.lit(0))))
+    seen, hop = [front], 0
+    while n and (max_hops is None or hop < max_hops):
+        end = hop + _stride(n) if max_hops is None else min(hop + _stride(n), max_hops)
+        ahead = front
+        for k in range(hop, end):
+            ahead = least(step(ahead, F.col("hop") == k, F.lit(k + 1)).select(*names, "hop"))
+        old = reduce(DataFrame.unionByName, seen).select(*[F.col(c).alias(f"__{c}") for c in keys])
+        new = ahead.where(F.col("hop") > hop).join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left_anti")
+        hop = end
+        # What took fewer steps than this round's has been followed in it already.
+        table, n = rounds.counted(new, F.col("hop") == hop)
+        front = table.where(F.col("hop") == hop)
+        seen.append(table)
+        if len(seen) > PARTS:
+            merged = rounds.table(reduce(DataFrame.unionByName, seen))
+            front = merged.where(F.col("hop") == hop)
+            rounds.drop(*seen)
+            seen = [merged]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _followed(edge: DataFrame, rows: DataFrame, now: Column, **following: Column) -> DataFrame:
+    """``rows`` and those behind an edge from the rows for which ``now`` holds; ``following`` tells what changes in these."""
+    met = rows.join(edge, (F.col("node") == F.col("__src")) & now, "left")
+    behind = F.when(F.col("__dst").isNotNull(), F.struct(*[following.get(c, F.col(c)).alias(c) for c in rows.columns]))
+    return met.select(F.explode(F.array_compact(F.array(F.struct(*rows.columns), behind))).alias("__e")).select("__e.*")
+
+
+def _steps(rounds: Rounds, edges: DataFrame) -> DataFrame:
+    return rounds.table(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
+
 
 def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None) -> DataFrame:
-    """``seeds`` has ``node`` and any label columns; returns (labels, node, hop) of what each label's seeds reach, the seeds at hop 0."""
+    """``seeds`` has ``node`` and any label columns; returns (labels, node, hop) of what each label's seeds reach, the seeds at hop 0.
+
+    One row per label and node: for many labels over one graph see ``reach_sets``.
+    """
     rounds = Rounds(edges.sparkSession)
     labels = [c for c in seeds.columns if c != "node"]
-    steps = rounds.table(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
-    front = rounds.table(seeds.select(*labels, "node").distinct().withColumn("hop", F.lit(0)))
-    seen, hop = front, 0
-    while not front.isEmpty() and (max_hops is None or hop < max_hops):
-        hop += 1
-        found = front.join(steps, F.col("node") == F.col("__src")).select(*labels, F.col("__dst").alias("node")).distinct()
-        old = seen.select(*[F.col(c).alias(f"__{c}") for c in (*labels, "node")])
-        fresh = found.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*labels, "node")], "left_anti")
-        front = rounds.table(fresh.withColumn("hop", F.lit(hop)))
-        seen = seen.unionByName(front)
-    return seen
+    edge = _steps(rounds, edges)
+    step = lambda rows, now, then: _followed(edge, rows, now, node=F.col("__dst"), hop=then)
+    return fixpoint(rounds, seeds, step, [*labels, "node"], max_hops=max_hops).select(*labels, "node", "hop")
+
+
+def reach_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(label, node) of what each label's seeds (label, node) reach, the seeds included.
+
+    A node holds the labels that reach it as bits, 64 to a row, so a round moves a 64th of the pairs, and or-ing them is a partial aggregate.
+    """
+    spark = edges.sparkSession
+    rounds = Rounds(spark)
+    edge = _steps(rounds, edges)
+    number = F.monotonically_increasing_id()
+    labels = rounds.table(seeds.select("label").distinct().select("label", number.alias("k")))
+    low = F.col("k").bitwiseAND((1 << 33) - 1)
+    labels = labels.select("label", (F.shiftright("k", 33) * (1 << 27) + F.shiftright(low, 6)).alias("word"), low.bitwiseAND(63).cast("int").alias("bit"))
+    own = seeds.distinct().join(labels.withColumnRenamed("label", "__l"), F.col("label").eqNullSafe(F.col("__l")))
+    own = own.groupBy("node", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    state, n = rounds.counted(own.withColumn("fresh", F.col("bits")))
+    while n:
+        ahead = state.where("fresh <> 0").select("node", "word", "fresh")
+        for _ in range(_stride(n)):
+            ahead = _followed(edge, ahead, F.lit(True), node=F.col("__dst")).groupBy("node", "word").agg(F.bit_or("fresh").alias("fresh"))
+        both = state.drop("fresh").join(ahead.withColumnRenamed("fresh", "found"), ["node", "word"], "full_outer").select("node", "word", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("found", F.lit(0)).alias("found"))
+        last = state
+        state, n = rounds.counted(both.select("node", "word", F.expr("bits | found").alias("bits"), F.expr("found & ~bits").alias("fresh")), F.col("fresh") != 0)
+        rounds.drop(last)
+    bits = state.select("node", "word", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")).alias("bit"))
+    return bits.join(labels, ["word", "bit"]).select("label", "node")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -36,52 +113,74 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def shortest_proofs(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """(node, hop, path): a shortest path from any seed, of several the least by its nodes in order."""
     rounds = Rounds(edges.sparkSession)
-    steps = rounds.table(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
-    front = rounds.table(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.array("node").alias("path")))
-    seen, hop = front, 0
-    while not front.isEmpty() and (max_hops is None or hop < max_hops):
-        hop += 1
-        found = front.join(steps, F.col("node") == F.col("__src")).select(F.col("__dst").alias("node"), F.concat("path", F.array("__dst")).alias("path"))
-        best = found.groupBy("node").agg(F.min("path").alias("path"))
-        fresh = best.join(seen.select(F.col("node").alias("__node")), F.col("node") == F.col("__node"), "left_anti")
-        front = rounds.table(fresh.select("node", F.lit(hop).alias("hop"), "path"))
-        seen = seen.unionByName(front)
-    return seen
+    edge = _steps(rounds, edges)
+    step = lambda rows, now, then: _followed(edge, rows, now, node=F.col("__dst"), path=F.concat("path", F.array("__dst")), hop=then)
+    start = seeds.select("node").distinct().withColumn("path", F.array("node"))
+    return fixpoint(rounds, start, step, ["node"], extra="path", max_hops=max_hops).select("node", "hop", "path")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (a, b) with a path of one edge or more from a to b, by doubling: as many rounds as the longest shortest path has bits."""
-    rounds = Rounds(edges.sparkSession)
-    pairs = rounds.table(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    size = pairs.count()
-    while True:
-        longer = pairs.toDF("a", "m").join(pairs.toDF("m", "b"), "m").select("a", "b")
-        pairs = rounds.table(pairs.unionByName(longer).distinct())
-        before, size = size, pairs.count()
-        if size == before:
-            return pairs
-
-
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges without those that can't lie on a cycle: ends without edges in or out are cut until none is left."""
+    """All (a, b) with a path of one edge or more from a to b."""
+    return reach_sets(edges, edges.select(F.col("src").alias("label"), F.col("dst").alias("node"))).select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
+def trimmed(edges: DataFrame, *, times: int = 4) -> DataFrame:
+    """Edges without many of those that can't lie on a cycle: ends without edges in or out are cut, so often at most."""
     rounds = Rounds(edges.sparkSession)
-    left = rounds.table(edges.select("src", "dst").where("src <> dst").distinct())
-    size = left.count()
-    while size:
+    left, size = rounds.counted(edges.select("src", "dst").where("src <> dst").distinct())
+    for _ in range(times):
         ins, outs = left.select(F.col("dst").alias("__in")).distinct(), left.select(F.col("src").alias("__out")).distinct()
-        left = rounds.table(left.join(ins, F.col("src") == F.col("__in"), "left_semi").join(outs, F.col("dst") == F.col("__out"), "left_semi"))
-        before, size = size, left.count()
-        if size == before:
+        last, before = left, size
+        left, size = rounds.counted(left.join(ins, F.col("src") == F.col("__in"), "left_semi").join(outs, F.col("dst") == F.col("__out"), "left_semi"))
+        rounds.drop(last)
+        if size in (0, before):
             break
     return left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes on cycles of two nodes or more, named by the least node that they reach and that reaches them."""
-    pairs = closure(trimmed(edges))
-    back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = pairs.join(back, ["a", "b"])
-    return mutual.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+def least_labels(rounds: Rounds, edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches each node of ``edges`` (itself included)."""
+    edge = _steps(rounds, edges)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state, n = rounds.counted(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
+    while n:
+        ahead = state.where("fresh").select("node", "colour")
+        for _ in range(_stride(n)):
+            ahead = _followed(edge, ahead, F.lit(True), node=F.col("__dst")).groupBy("node").agg(F.min("colour").alias("colour"))
+        both = state.drop("fresh").join(ahead.withColumnRenamed("colour", "less"), "node", "left")
+        last = state
+        state, n = rounds.counted(both.select("node", F.least("colour", "less").alias("colour"), F.coalesce(F.col("less") < F.col("colour"), F.lit(False)).alias("fresh")), F.col("fresh"))
+        rounds.drop(last)
+    return state.select("node", "colour")
+
+
+def strong_components(edges: DataFrame, *, few: int = FEW_NODES) -> DataFrame:
+    """(node, component): nodes on cycles of two nodes or more, named by their component's least node.
+
+    Of few nodes, those that reach each other are paired. Otherwise nodes are coloured by the least node that reaches them: a colour's
+    component is what reaches that node within the colour. Components found are taken out, and the rest is trimmed and coloured again.
+    """
+    plain = edges.select("src", "dst").where("src <> dst").distinct()
+    if plain.select("src").distinct().count() <= few:
+        pairs = closure(plain)
+        mutual = pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+        return mutual.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    rounds = Rounds(edges.sparkSession)
+    left = trimmed(plain)
+    done = rounds.table(left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0))
+    while not left.isEmpty():
+        colours = least_labels(rounds, left)
+        a, b = colours.toDF("__a", "__ca"), colours.toDF("__b", "__cb")
+        inside = left.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b")).where("__ca = __cb").select("src", "dst")
+        roots = colours.where("node = colour").select("node")
+        back = reach(reversed_edges(inside), roots).select("node")
+        found = rounds.table(back.join(colours, "node").select("node", F.col("colour").alias("component")))
+        several = found.groupBy("component").count().where("count > 1").select("component")
+        done = rounds.table(done.unionByName(found.join(several, "component", "left_semi").select("node", "component")))
+        gone = found.select(F.col("node").alias("__g"))
+        rest = left.join(gone, F.col("src") == F.col("__g"), "left_anti").join(gone, F.col("dst") == F.col("__g"), "left_anti")
+        left = trimmed(rest)
+    return done
 
 
 def cycle_chains(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -90,15 +189,15 @@ def cycle_chains(edges: DataFrame, components: DataFrame) -> DataFrame:
     inside = components.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
     steps = edges.select("src", "dst").where("src <> dst").distinct().join(inside, F.col("src") == F.col("__n")).select("src", "dst", F.col("__c").alias("c"))
     steps = rounds.table(steps.join(inside.toDF("n2", "c2"), (F.col("dst") == F.col("n2")) & (F.col("c") == F.col("c2"))).select("src", "dst", "c").toDF("__src", "__dst", "__c"))
-    front = rounds.table(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("chain")))
+    front, n = rounds.counted(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("chain")))
     seen, done = front.select("component", "node"), None
-    while not front.isEmpty():
+    while n:
         found = front.join(steps, (F.col("node") == F.col("__src")) & (F.col("component") == F.col("__c"))).select("component", F.col("__dst").alias("node"), F.concat("chain", F.array("__dst")).alias("chain"))
         best = rounds.table(found.groupBy("component", "node").agg(F.min("chain").alias("chain")))
         closed = best.where("node = component").select("component", F.size("chain").alias("length"), "chain")
         done = closed if done is None else done.unionByName(closed.join(done.select(F.col("component").alias("__d")), F.col("component") == F.col("__d"), "left_anti"))
         done = rounds.table(done)
         fresh = best.join(done.select(F.col("component").alias("__d")), F.col("component") == F.col("__d"), "left_anti").join(seen.toDF("__c", "__n"), (F.col("component") == F.col("__c")) & (F.col("node") == F.col("__n")), "left_anti")
-        front = rounds.table(fresh)
+        front, n = rounds.counted(fresh)
         seen = seen.unionByName(front.select("component", "node"))
     return done

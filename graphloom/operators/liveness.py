@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import fixpoint
 from graphloom.operators.tables import Rounds
 
 
@@ -21,21 +22,22 @@ def demand(imports: DataFrame, reexports: DataFrame, reachable: DataFrame, entri
     if entries is not None:
         both = F.explode(F.array(F.lit(False), F.lit(True))).alias("is_type")
         first = first.unionByName(entries.select("file", both, F.lit("*").alias("name")))
-    front = seen = rounds.table(first.distinct())
-    links = rounds.table(reexports.join(there, F.col("reexporter") == F.col("__r"), "left_semi").select("reexporter", "source", "original", "exported", "is_star", F.col("is_type").alias("__type")))
-    while not front.isEmpty():
-        met = front.join(links, (F.col("file") == F.col("reexporter")) & (F.col("is_type") == F.col("__type")))
-        star = met.where("is_star and exported = '*'").select(F.col("source").alias("file"), "is_type", "name")
-        wanted = met.where("name = '*' or name = exported")
-        named = wanted.where("not is_star").select(F.col("source").alias("file"), "is_type", F.col("original").alias("name"))
-        found = star.unionByName(named)
-        if member_refs is not None:
-            spaces = wanted.where("is_star and exported <> '*'").join(member_refs.toDF("__f", "__alias", "__member"), (F.col("file") == F.col("__f")) & (F.col("exported") == F.col("__alias")))
-            found = found.unionByName(spaces.select(F.col("source").alias("file"), "is_type", F.col("__member").alias("name")))
-        old = seen.toDF("__file", "__t", "__name")
-        front = rounds.table(found.distinct().join(old, (F.col("file") == F.col("__file")) & (F.col("is_type") == F.col("__t")) & (F.col("name") == F.col("__name")), "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
+    links = rounds.table(reexports.join(there, F.col("reexporter") == F.col("__r"), "left_semi").select("reexporter", F.col("source").alias("__source"), "original", "exported", "is_star", F.col("is_type").alias("__type")))
+    refs = None if member_refs is None else member_refs.toDF("__f", "__alias", "__member")
+
+    def passed_on(rows: DataFrame, now: Column, then: Column) -> DataFrame:
+        met = rows.join(links, (F.col("file") == F.col("reexporter")) & (F.col("is_type") == F.col("__type")) & now, "left")
+        named = (F.col("name") == "*") | (F.col("name") == F.col("exported"))
+        star = F.col("is_star") & (F.col("exported") == "*")
+        through = F.when(star, F.col("name")).when(named & ~F.col("is_star"), F.col("original"))
+        if refs is not None:
+            met = met.join(refs, (F.col("file") == F.col("__f")) & (F.col("exported") == F.col("__alias")) & F.col("is_star") & ~star & named, "left")
+            through = F.coalesce(through, F.col("__member"))
+        own = F.struct("file", "is_type", "name", "hop")
+        behind = F.when(through.isNotNull(), F.struct(F.col("__source").alias("file"), "is_type", through.alias("name"), then.alias("hop")))
+        return met.select(F.explode(F.array_compact(F.array(own, behind))).alias("__e")).select("__e.*")
+
+    return fixpoint(rounds, first, passed_on, ["file", "is_type", "name"]).drop("hop")
 
 
 def live_exports(exports: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.globs import any_glob
-from graphloom.operators.graph import reach, reversed_edges
+from graphloom.operators.graph import reach_sets, reversed_edges
 
 # Labels of edge kinds.
 KIND_LABELS = {
@@ -89,7 +89,7 @@ def violations(edges: DataFrame, contexts: DataFrame, rules: list[Forbidden]) ->
         if not wanted:
             continue
         seeds = contexts.select(F.col("node"), F.explode(F.array_compact(F.array(*[F.when(F.col("path").rlike(any_glob(list(g))), F.lit(label)) for label, g in wanted]))).alias("label"))
-        labelled = reach(graph, seeds.select("label", "node")).groupBy("node").agg(F.collect_set("label").alias(direction))
+        labelled = reach_sets(graph, seeds.select("label", "node")).groupBy("node").agg(F.collect_set("label").alias(direction))
         for side, key in (("from", "src"), ("to", "dst")):
             own = labelled.select(F.col("node").alias("__n"), F.col(direction).alias(f"{side}_{direction}"))
             rows = rows.join(own, F.col(key) == F.col("__n"), "left").drop("__n")

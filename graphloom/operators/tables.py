@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Rounds:
@@ -21,7 +22,21 @@ class Rounds:
         self.spark, self.root, self.n = spark, f"{folder}/graphloom/{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame) -> DataFrame:
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame, count: Column | None = None) -> tuple[DataFrame, int]:
+        """The written table, and how many rows it has (of those that ``count`` holds for); the write itself counts them."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count_if(F.lit(True) if count is None else count).alias("n")).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.graphloom_path = path
+        return out, seen.get["n"]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes written tables that nothing reads any more."""
+        jvm = self.spark._jvm
+        for table in tables:
+            at = jvm.org.apache.hadoop.fs.Path(table.graphloom_path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

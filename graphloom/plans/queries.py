@@ -89,12 +89,17 @@ def _brand_targets(c: Canon) -> DataFrame:
     k AS (SELECT r.t AS target, string_agg(DISTINCT kind, ',' ORDER BY kind) AS ks FROM r JOIN entries e ON e.file_id = r.n GROUP BY r.t)
     SELECT target, files, packages, coalesce(ks, '') AS entry_kinds FROM a LEFT JOIN k USING (target)""", ("files", "edges", "entries"))
 def impact_targets(c: Canon) -> DataFrame:
-    reached = graph.reach(graph.reversed_edges(c["edges"]), _brand_targets(c)).select("target", "node")
-    return A.impact(reached, c["files"], c["entries"])
+    reached = graph.reach_sets(graph.reversed_edges(c["edges"]), _brand_targets(c).withColumnRenamed("target", "label"))
+    return A.impact(reached.withColumnRenamed("label", "target"), c["files"], c["entries"])
 
 
-@query(_SEEDS + """d(n, h, p) AS (SELECT DISTINCT n, 0, [n] FROM seeds UNION ALL SELECT e.dst, h + 1, list_append(p, e.dst) FROM d JOIN edges e ON e.src = d.n WHERE h < 12 AND NOT list_contains(p, e.dst))
-    SELECT n AS node, CAST(h AS BIGINT) AS hop, array_to_string(p, '>') AS path FROM d WHERE h > 0 AND n NOT IN (SELECT n FROM seeds) QUALIFY row_number() OVER (PARTITION BY n ORDER BY h, p) = 1""", ("edges", "entries"))
+# Levels first, each all nodes that the one before makes new; then least paths from level to level.
+@query(_SEEDS + """lv(h, front, seen) AS (SELECT 0, list(DISTINCT n), list(DISTINCT n) FROM seeds
+      UNION ALL SELECT h + 1, new, list_concat(seen, new) FROM (SELECT h, any_value(seen) AS seen, list(DISTINCT e.dst) FILTER (NOT list_contains(seen, e.dst)) AS new FROM lv JOIN edges e ON list_contains(front, e.src) GROUP BY h) WHERE len(new) > 0),
+    pl AS (SELECT h, unnest(front) AS n FROM lv),
+    st AS (SELECT DISTINCT a.h, a.n AS src, b.n AS dst FROM edges e JOIN pl a ON a.n = e.src JOIN pl b ON b.n = e.dst AND b.h = a.h + 1),
+    d(n, h, p) AS (SELECT n, 0, [n] FROM pl WHERE h = 0 UNION ALL SELECT dst, h + 1, min(p) FROM (SELECT st.dst, d.h, list_append(d.p, st.dst) AS p FROM d JOIN st ON st.src = d.n AND st.h = d.h) GROUP BY dst, h)
+    SELECT n AS node, CAST(h AS BIGINT) AS hop, array_to_string(p, '>') AS path FROM d WHERE h > 0""", ("edges", "entries"))
 def shortest_proof(c: Canon) -> DataFrame:
     found = graph.shortest_proofs(c["edges"], seeds(c)).where("hop > 0")
     return found.select("node", F.col("hop").cast("long").alias("hop"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
@@ -102,7 +107,7 @@ def shortest_proof(c: Canon) -> DataFrame:
 
 @query("r(k, n) AS (SELECT DISTINCT kind, file_id FROM entries UNION SELECT r.k, e.dst FROM r JOIN edges e ON e.src = r.n) SELECT n AS node, string_agg(DISTINCT k, ',' ORDER BY k) AS kinds FROM r GROUP BY n".replace("r(k", " r(k"), ("edges", "entries"))
 def entry_kind_labels(c: Canon) -> DataFrame:
-    found = graph.reach(c["edges"], c["entries"].select(F.col("kind").alias("label"), F.col("file_id").alias("node")))
+    found = graph.reach_sets(c["edges"], c["entries"].select(F.col("kind").alias("label"), F.col("file_id").alias("node")))
     return found.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("kinds"))
 
 
@@ -190,9 +195,10 @@ def unlisted_deps(c: Canon) -> DataFrame:
     return A.unlisted_dependencies(c["declared"], c["used"])
 
 
-@query(_REACH + "s AS (SELECT 1) SELECT package, count(*) AS files FROM files GROUP BY package HAVING NOT bool_or(file_id IN (SELECT n FROM r WHERE n % 40 = 0))", ("files", "edges", "entries"))
+# Packages of a brand's files of one size: brands as a whole are all reached.
+@query(_REACH + "s AS (SELECT 1) SELECT concat(package, '-', p_size) AS package, count(*) AS files FROM files GROUP BY 1 HAVING NOT bool_or(file_id IN (SELECT n FROM r))", ("files", "edges", "entries"))
 def unused_packages(c: Canon) -> DataFrame:
-    return A.unused_packages(c["files"], graph.reach(c["edges"], seeds(c)))
+    return A.unused_packages(c["files"].withColumn("package", F.concat_ws("-", "package", "p_size")), graph.reach(c["edges"], seeds(c)))
 
 
 TEAMS = [("team-b", "promo/src/**"), ("team-a", "**/brand-1/*.ts")]
@@ -227,7 +233,7 @@ def owner_hotspots(c: Canon) -> DataFrame:
 
 
 def _contexts(c: Canon) -> DataFrame:
-    kinds = graph.reach(c["edges"], c["entries"].select(F.col("kind").alias("label"), F.col("profile"), F.col("file_id").alias("node"))).groupBy(F.col("node").alias("__n")).agg(F.collect_set("label").alias("entry_kinds"), F.collect_set("profile").alias("profiles"))
+    kinds = graph.reach_sets(c["edges"], c["entries"].select(F.struct("kind", "profile").alias("label"), F.col("file_id").alias("node"))).groupBy(F.col("node").alias("__n")).agg(F.collect_set("label.kind").alias("entry_kinds"), F.collect_set("label.profile").alias("profiles"))
     base = c["files"].select(F.col("file_id").alias("node"), F.col("rel_path").alias("path"), "workspace", "package", F.array(F.concat(F.lit("ws:"), F.col("workspace"))).alias("tags"))
     return base.join(kinds, F.col("node") == F.col("__n"), "left").drop("__n")
 
@@ -401,11 +407,13 @@ def dir_tags(c: Canon) -> DataFrame:
     return G.directory_tags(c["files"])
 
 
-@query("""x AS (SELECT DISTINCT a.package AS s, b.package AS d FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst WHERE a.package <> b.package AND src % 9 = 0),
-    t AS (SELECT DISTINCT s FROM x WHERE s NOT IN (SELECT d FROM x)), l AS (SELECT DISTINCT d FROM x WHERE d NOT IN (SELECT s FROM x)) SELECT s AS top, d AS leaf FROM t CROSS JOIN l""", _RT)
+# Groups of a brand's files of one size: of whole brands none is top or leaf.
+@query("""g AS (SELECT file_id, concat(package, '-', p_size) AS w FROM files), x AS (SELECT DISTINCT a.w AS s, b.w AS d FROM edges JOIN g a ON a.file_id = src JOIN g b ON b.file_id = dst WHERE a.w <> b.w),
+    t AS (SELECT DISTINCT s FROM x WHERE s NOT IN (SELECT d FROM x)), l AS (SELECT DISTINCT d FROM x WHERE d NOT IN (SELECT s FROM x)),
+    k AS (SELECT 1 FROM x HAVING count(DISTINCT s) >= 3) SELECT s AS top, string_agg(d, ',' ORDER BY d) AS leaves FROM t CROSS JOIN l CROSS JOIN k GROUP BY s""", _RT)
 def layer_rules(c: Canon) -> DataFrame:
-    files = c["files"].drop("workspace").withColumnRenamed("package", "workspace")
-    return G.layers(c["edges"], files)
+    files = c["files"].select("file_id", F.concat_ws("-", "package", "p_size").alias("workspace"))
+    return G.layers(c["edges"], files).withColumn("leaves", F.array_join("leaves", ","))
 
 
 @query("""u AS (SELECT DISTINCT src, dst, (SELECT package FROM files WHERE file_id = src) <> (SELECT package FROM files WHERE file_id = dst) AS x FROM edges),
