@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import dead_code_candidate, finding_id, looks_like_package
+from graphloom.operators.fixes import ACTIONS
 
-#: What repairs a finding, by code.
-REMEDIES = {
-    "unused-file": "delete-file", "unused-export": "delete-export", "unused-type": "delete-export", "unused-dependency": "remove-dependency", "unlisted-dependency": "add-dependency",
-    "unused-package": "delete-package", "cycle": "break-cycle", "boundary-violation": "move-import", "ownership-cross-owner": "assign-owner", "ownership-unowned": "assign-owner",
-    "ownership-hotspot": "assign-owner", "unused-member": "remove-member", "duplicate-export": "merge-exports",
-}
+#: What settles a finding, by code; of other codes nothing is known to.
+REMEDIES = {code: action for codes, action, *_ in ACTIONS for code in codes}
 
 
 def findings(rows: DataFrame, code: Column | str, subject: Column, confidence: Column | str, *, rule: Column | None = None, severity: str = "warn") -> DataFrame:

@@ -190,13 +190,13 @@ def cycle_chains(edges: DataFrame, components: DataFrame) -> DataFrame:
     steps = edges.select("src", "dst").where("src <> dst").distinct().join(inside, F.col("src") == F.col("__n")).select("src", "dst", F.col("__c").alias("c"))
     steps = rounds.table(steps.join(inside.toDF("n2", "c2"), (F.col("dst") == F.col("n2")) & (F.col("c") == F.col("c2"))).select("src", "dst", "c").toDF("__src", "__dst", "__c"))
     front, n = rounds.counted(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("chain")))
-    seen, done = front.select("component", "node"), None
+    seen = front.select("component", "node")
+    done = rounds.table(front.select("component", F.size("chain").alias("length"), "chain").limit(0))
     while n:
         found = front.join(steps, (F.col("node") == F.col("__src")) & (F.col("component") == F.col("__c"))).select("component", F.col("__dst").alias("node"), F.concat("chain", F.array("__dst")).alias("chain"))
         best = rounds.table(found.groupBy("component", "node").agg(F.min("chain").alias("chain")))
         closed = best.where("node = component").select("component", F.size("chain").alias("length"), "chain")
-        done = closed if done is None else done.unionByName(closed.join(done.select(F.col("component").alias("__d")), F.col("component") == F.col("__d"), "left_anti"))
-        done = rounds.table(done)
+        done = rounds.table(done.unionByName(closed.join(done.select(F.col("component").alias("__d")), F.col("component") == F.col("__d"), "left_anti")))
         fresh = best.join(done.select(F.col("component").alias("__d")), F.col("component") == F.col("__d"), "left_anti").join(seen.toDF("__c", "__n"), (F.col("component") == F.col("__c")) & (F.col("node") == F.col("__n")), "left_anti")
         front, n = rounds.counted(fresh)
         seen = seen.unionByName(front.select("component", "node"))

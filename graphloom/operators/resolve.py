@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import dependency_name, unresolved_reason
 from graphloom.functions.globs import glob_regex
+from graphloom.operators.manifests import looked_up, manifest_maps, subpath
 
 # What is tried after a path, in order.
 SUFFIXES = ["", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".mdx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -44,6 +45,51 @@ def resolved(specifiers: DataFrame, files: DataFrame, *, aliases: list[tuple[str
     return out.withColumn("outcome", outcome).withColumn("dst_dep", F.when(F.col("outcome") == "ResolvedToDependency", dependency_name(spec))).withColumn("reason", F.when(F.col("outcome") == "Unresolved", unresolved_reason(spec)))
 
 
+# Where aliases come from, in order of precedence.
+ORIGINS = ["Manifest", "SubpathImports", "BrowserField", "TsconfigPaths", "Vite", "Webpack", "Babel", "FrameworkGenerated"]
+
+
+def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, aliases: DataFrame, *, externals: list[str] = (), ignored: list[str] = ()) -> DataFrame:
+    """``specifiers`` (src, specifier, root) with (dst_file, dst_dep, origin, outcome, reason).
+
+    root is the folder of the source's workspace. files: rel_path. manifests: root, name, main, exports, imports, browser. aliases: prefix, target, scope, origin.
+    Every strategy makes candidate paths by equi joins, each is tried with every suffix, and the first that exists wins: aliases by origin and length, the
+    ``#`` imports of the own manifest, paths relative to the source, the browser map, and packages of the repository (only through ``exports``
+    where they have any). What none finds and is bare is a dependency, unless it is of a package whose ``exports`` lacks it.
+    """
+    spec, rank = F.col("specifier"), F.create_map(*[x for i, o in enumerate(ORIGINS) for x in (F.lit(o), F.lit(i))])
+    rows = specifiers.select("src", "specifier", "root").distinct()
+    off = (F.coalesce(dependency_name(spec).isin(*externals), F.lit(False)) if externals else F.lit(False)) | (spec.rlike("|".join(glob_regex(g) for g in ignored)) if ignored else F.lit(False))
+    open_rows = rows.where(~off)
+    parts = F.split(spec, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    met = open_rows.select("*", F.explode(heads).alias("prefix")).join(aliases, "prefix").where("scope is null or scope = '' or src like concat(scope, '/%')")
+    own = lambda order, base, origin: F.struct(order.cast("int").alias("order"), base.alias("base"), origin.alias("origin"))
+    by_alias = met.select("src", "specifier", own(10 * F.coalesce(rank[F.col("origin")], F.lit(9)) - 1000 * F.length("prefix"), F.concat("target", F.substring(spec, F.length("prefix") + 1, 1 << 20)), F.col("origin")).alias("c"))
+    maps = manifest_maps(manifests.select(F.col("root").alias("workspace"), F.col("name").alias("package"), "exports", "imports", "browser"))
+    requests = open_rows.select("src", "specifier", F.col("root").alias("workspace"))
+    under = lambda root, path: F.concat_ws("/", F.when(root != "", root), path)
+    subpaths = looked_up(requests.where("specifier like '#%'"), maps, "imports").where("target is not null").select("src", "specifier", own(F.lit(10), under(F.col("workspace"), F.col("target")), F.lit("SubpathImports")).alias("c"))
+    shims = looked_up(requests, maps, "browser").where("target is not null").select("src", "specifier", own(F.lit(30), under(F.col("workspace"), F.col("target")), F.lit("BrowserField")).alias("c"))
+    near = open_rows.where("specifier like '.%'").select("src", "specifier", own(F.lit(20), F.concat_ws("/", F.regexp_replace("src", r"/?[^/]*$", ""), spec), F.lit(None).cast("string")).alias("c"))
+    packages = manifests.where("name is not null").select(F.col("name").alias("dep"), F.col("root").alias("workspace"), "main", F.col("exports").isNotNull().alias("closed"))
+    asked = open_rows.withColumn("dep", dependency_name(spec)).join(packages, "dep").select("src", F.col("specifier").alias("asked"), "workspace", "main", "closed", subpath(spec, F.col("dep")).alias("specifier"))
+    shown = looked_up(asked, maps, "exports")
+    plain = F.when(F.col("specifier") == ".", F.coalesce("main", F.lit(""))).otherwise(F.col("specifier"))
+    inside = shown.select("src", F.col("asked").alias("specifier"), own(F.lit(40), under(F.col("workspace"), F.when(F.col("closed"), F.col("target")).otherwise(plain)), F.lit("Manifest")).alias("c"), (F.col("closed") & ~F.col("defined")).alias("miss"))
+    tried = reduce(DataFrame.unionByName, [by_alias, subpaths, near, shims, inside.where("not miss").drop("miss")]).where("c.base is not null")
+    paths = tried.select("src", "specifier", "c.order", "c.origin", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(normalised(F.col("c.base")), s))).alias("probe", "path"))
+    hits = paths.join(files.select(F.col("rel_path").alias("path")).distinct(), "path")
+    best = hits.groupBy(F.col("src").alias("__s"), F.col("specifier").alias("__p")).agg(F.min_by(F.struct("path", "origin"), F.struct("order", "probe", "path")).alias("__hit"))
+    missed = inside.where("miss").select(F.col("src").alias("__ms"), F.col("specifier").alias("__mp")).distinct()
+    out = rows.join(best, (F.col("src") == F.col("__s")) & (spec == F.col("__p")), "left").join(missed, (F.col("src") == F.col("__ms")) & (spec == F.col("__mp")), "left")
+    file = F.col("__hit.path")
+    outcome = F.when(off, "Externalized").when(file.isNotNull(), "ResolvedToFile").when(F.col("__ms").isNull() & ~spec.rlike(r"^[./#]"), "ResolvedToDependency").otherwise("Unresolved")
+    reason = F.when(outcome == "Externalized", "externalized").when(outcome != "Unresolved", None).when(F.col("__ms").isNotNull(), "workspace-exports-miss").otherwise(unresolved_reason(spec))
+    dep = F.when(outcome == "ResolvedToDependency", dependency_name(spec))
+    return out.select("src", "specifier", "root", file.alias("dst_file"), dep.alias("dst_dep"), F.col("__hit.origin").alias("origin"), outcome.alias("outcome"), reason.alias("reason"))
+
+
 def expanded_globs(patterns: DataFrame, files: DataFrame, globs: list[str], *, cap: int = 500) -> DataFrame:
     """Edges (src, glob, path) from patterns (src, glob) to files that the glob fits, less those that one of the source's ``!`` globs fits.
 

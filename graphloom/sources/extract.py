@@ -5,6 +5,7 @@ This is a documented subset without a parser: comments are taken out by a scanne
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ CALLS = [
     ("DynamicImport", re.compile(r"(?<![\w$.])import\(\s*['\"]([^'\"]+)['\"]")), ("RequireResolve", re.compile(r"(?<![\w$])require\.resolve\(\s*['\"]([^'\"]+)['\"]")),
     ("Require", re.compile(r"(?<![\w$.])require\(\s*['\"]([^'\"]+)['\"]")), ("ImportMetaResolve", re.compile(r"import\.meta\.resolve\(\s*['\"]([^'\"]+)['\"]")),
     ("UrlConstructor", re.compile(r"new\s+URL\(\s*['\"]([^'\"]+)['\"]\s*,\s*import\.meta\.url")),
-    ("RequireContext", re.compile(r"require\.context\(\s*['\"]([^'\"]+)['\"]")),
 ]
+_CONTEXT = re.compile(r"require\.context\(\s*['\"]([^'\"]+)['\"](?:\s*,\s*(true|false)(?:\s*,\s*/((?:\\.|[^/\\\n])+)/)?)?")
 _GLOB = re.compile(r"import\.meta\.glob\w*\(\s*(\[[^\]]*\]|['\"][^'\"]+['\"])")
 _IN_COMMENTS = [("TripleSlashFile", re.compile(r"^///\s*<reference\s+path=['\"]([^'\"]+)", re.M)), ("TripleSlashTypes", re.compile(r"^///\s*<reference\s+types=['\"]([^'\"]+)", re.M)), ("JsDocImport", re.compile(r"\*[^\n]*?import\(['\"]([^'\"]+)['\"]\)"))]
 _SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script>", re.S)
@@ -84,7 +85,8 @@ def facts(path: str, text: str) -> list[tuple]:
     rows: list[tuple] = []
     text, template = script_of(path, text)
     code = stripped(text)
-    line = lambda at: code.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect.bisect_left(breaks, at) + 1
 
     def names(body: str) -> Iterator[tuple[str, str, bool]]:
         for part in body.split(","):
@@ -113,6 +115,8 @@ def facts(path: str, text: str) -> list[tuple]:
     rows += [("export", None, "default", None, False, line(m.start())) for m in _DEFAULT.finditer(code) if m.start() not in declared]
     for kind, pattern in CALLS:
         rows += [(kind, m.group(1), None, None, False, line(m.start())) for m in pattern.finditer(code)]
+    # A folder's files: which of them (name, an expression over paths from the folder) and whether of its folders too (local).
+    rows += [("RequireContext", m.group(1), m.group(3) and m.group(3).replace("\\/", "/"), m.group(2), False, line(m.start())) for m in _CONTEXT.finditer(code)]
     for m in _GLOB.finditer(code):
         rows += [("ImportMetaGlob", g, None, None, False, line(m.start())) for g in re.findall(r"['\"]([^'\"]+)['\"]", m.group(1))]
     for kind, pattern in _IN_COMMENTS:

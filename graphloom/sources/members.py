@@ -7,6 +7,7 @@ only behind ``;`` or ``}``.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -93,7 +94,8 @@ def members(path: str, text: str) -> list[tuple]:
     code = stripped(script)
     plain = blanked(code)
     lines = script.split("\n")
-    line = lambda at: code.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect.bisect_left(breaks, at) + 1
 
     def public(at: int) -> bool:
         k = at - 2
