@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(set(entry.plans.ORACLES) & {"unused_files", "unused_exports", "owner_map", "rule_kinds", "safe_delete", "pkg_coupling", "parity_grouping_sets", "resolve_priority", "hierarchy_impact", "page_specifiers", "structure_tags", "framework_tags", "role_tags", "fence_packages", "exports_lookup", "exports_wildcard_files", "fix_plan"})
+NAMES = sorted(entry.plans.ORACLES)
 
 
 def rows(columns, data):

@@ -8,13 +8,13 @@ def tables(spark, edges, entries, packages):
     return {
         "edges": spark.createDataFrame([(a, b, "StaticImportValue") for a, b in edges], "src long, dst long, kind string"),
         "entries": spark.createDataFrame([(n, "main", "production") for n in entries], "file_id long, kind string, profile string"),
-        "files": spark.createDataFrame([(n, p, "w", f"{p}/{n}.ts") for n, p in packages], "file_id long, package string, workspace string, rel_path string"),
+        "files": spark.createDataFrame([(n, p, "w", f"{p}/{n}.ts", 1) for n, p in packages], "file_id long, package string, workspace string, rel_path string, p_size int"),
     }
 
 
 def test_unused_packages(spark):
     c = tables(spark, [(1, 2), (2, 3), (5, 4)], [1], [(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "c")])
-    assert [tuple(r) for r in queries.unused_packages(c).select("package", "files").collect()] == [("c", 2)]
+    assert [tuple(r) for r in queries.unused_packages(c).select("package", "files").collect()] == [("c-1", 2)]  # the query parts packages by size
 
 
 def test_shortest_proof(spark):
@@ -30,6 +30,6 @@ def test_shortest_proof(spark):
 
 def test_layer_rules(spark):
     files = [(k, p) for k, p in enumerate("abcdef", 1)]
-    got = lambda edges: sorted(tuple(r) for r in queries.layer_rules(tables(spark, edges, [], files)).select("top", "leaf").collect())
-    assert got([(1, 2), (2, 3), (4, 3), (5, 6), (6, 5)]) == [("a", "c"), ("d", "c")]
+    got = lambda edges: sorted(tuple(r) for r in queries.layer_rules(tables(spark, edges, [], files)).select("top", "leaves").collect())
+    assert got([(1, 2), (2, 3), (4, 3), (5, 6), (6, 5)]) == [("a-1", "c-1"), ("d-1", "c-1")]
     assert got([(1, 2), (4, 3)]) == []  # two workspaces import
