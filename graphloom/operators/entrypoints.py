@@ -65,11 +65,11 @@ def with_sources(named: DataFrame, files: DataFrame) -> DataFrame:
     return there.groupBy(*named.columns).agg(F.min_by("path", "__k").alias("path"))
 
 
-def detected(files: DataFrame, manifests: DataFrame, scripts: DataFrame, *, include: list[str] = (), include_tests: bool = False, include_stories: bool = False) -> DataFrame:
+def detected(files: DataFrame, manifests: DataFrame, scripts: DataFrame, *, include: list[str] = (), include_tests: bool = False, include_stories: bool = False, frameworks: DataFrame | None = None) -> DataFrame:
     """Rows (path, kind, profile) of all entry points; the first detector that names a path tells its kind.
 
-    files: rel_path. manifests: root and their fields. scripts: root, path (from the root), profile. Those of roles that aren't code of their own, and tests
-    and stories unless asked for, are left out; what the configuration includes always stays.
+    files: rel_path. manifests: root and their fields. scripts: root, path (from the root), profile. frameworks: path, kind, profile. Those of roles that aren't code of their own, and tests
+    and stories unless asked for, are left out; what the configuration includes or a framework brings always stays.
     """
     mine = files.select("rel_path")
     explicit = mine.where(F.col("rel_path").rlike(any_glob(list(include)))).select(F.col("rel_path").alias("path"), F.lit("explicit-config").alias("kind"), F.lit("both").alias("profile"))
@@ -79,8 +79,8 @@ def detected(files: DataFrame, manifests: DataFrame, scripts: DataFrame, *, incl
     usual = names.select(below_root(F.col("root"), F.col("file")).alias("path")).join(mine.toDF("path"), "path", "left_semi").select("path", F.lit("convention").alias("kind"), F.lit("production").alias("profile"))
     role = file_role(F.col("path"))
     barred = [*EXCLUDED, *([] if include_tests else ["test"]), *([] if include_stories else ["story"])]
-    found = merged_entries([explicit, named, run, usual])
-    return found.where((F.col("kind") == "explicit-config") | ~role.isin(*barred))
+    found = merged_entries([explicit, named, run, usual, *([frameworks] if frameworks is not None else [])])
+    return found.where(F.col("kind").isin("explicit-config", "framework-pack") | ~role.isin(*barred))
 
 
 def entry_graph(entries: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:

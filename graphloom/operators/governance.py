@@ -68,6 +68,12 @@ def ownership_hints(edges: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("folder").agg(F.count("*").alias("edges")).where(F.col("edges") >= OWNER_HINT)
 
 
+def unowned_directories(files: DataFrame, *, least: int = OWNER_HINT) -> DataFrame:
+    """(directory, files) of the top folders that have so many files without an owner. files: rel_path, owner."""
+    rows = files.where("owner is null").select(directory(F.col("rel_path"), 1).alias("directory")).where("directory is not null")
+    return rows.groupBy("directory").agg(F.count("*").alias("files")).where(F.col("files") >= least)
+
+
 def parity_scores(results: DataFrame) -> DataFrame:
     """Cases and passes overall, by family, by tool: (family, tool, level, cases, passed, score)."""
     agg = results.groupingSets([[], ["family"], ["tool"]], "family", "tool").agg(F.count("*").alias("cases"), F.count_if("ok").alias("passed"), F.grouping_id().alias("__g"))

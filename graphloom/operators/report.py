@@ -75,6 +75,25 @@ def deletion_order(safe: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy("indegree", "path")))  # a report: what one person deletes
 
 
+def recovered(deleted: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deleted paths (path) that the last path index (path, file_id) still knows, with their ids, and those that it doesn't."""
+    known = index.select(F.col("path").alias("__p"), "file_id").distinct()
+    return deleted.join(known, F.col("path") == F.col("__p")).drop("__p"), deleted.join(known, F.col("path") == F.col("__p"), "left_anti")
+
+
+def break_edges(chains: DataFrame) -> DataFrame:
+    """(component, position, src, dst): the steps of each cycle's chain, where it can be broken."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("chain") - 2), lambda k: F.struct(F.get("chain", k).alias("src"), F.get("chain", k + 1).alias("dst")))
+    return chains.where(F.size("chain") > 1).select("component", F.posexplode(pairs).alias("position", "__e")).select("component", "position", "__e.src", "__e.dst")
+
+
+def advice(found: DataFrame) -> DataFrame:
+    """(code, findings, blocking, text): what a review says of each kind of finding, most blocking ones first."""
+    rows = reviewed(found).groupBy("code").agg(F.count("*").alias("findings"), F.count_if(F.col("decision") == "blocking").alias("blocking"), F.sort_array(F.collect_list(F.struct("id", "subject")))[0]["subject"].alias("first"))
+    text = F.when(F.col("blocking") > 0, F.format_string("Settle %d of %d %s findings before merging, for instance `%s`.", "blocking", "findings", "code", "first")).otherwise(F.format_string("Look at %d %s findings, for instance `%s`.", "findings", "code", "first"))
+    return rows.select("code", "findings", "blocking", text.alias("text")).orderBy(F.col("blocking").desc(), "code")
+
+
 def ranked_actions(found: DataFrame) -> DataFrame:
     """One action per finding, in order of phase, confidence and id, with its rank inside its phase."""
     phase = F.when(F.col("code").isin("unused-file", "unused-package"), 1).when(F.col("code").startswith("unused"), 2).otherwise(3)

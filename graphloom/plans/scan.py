@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import dead_code_candidate, percent
-from graphloom.operators import analyzers, entrypoints, graph, liveness, report, resolve, rules
+from graphloom.operators import analyzers, entrypoints, frameworks, graph, liveness, report, resolve, rules
 from graphloom.operators.tables import Rounds
 from graphloom.sources import config, repo
 from graphloom.sources.extract import extracted, script_entries
@@ -36,6 +36,8 @@ class Scan:
     forbidden: tuple[rules.Forbidden, ...] = ()
     teams: tuple[tuple[str, str], ...] = ()
     externals: tuple[str, ...] = ()
+    packs: tuple[frameworks.Pack, ...] = frameworks.PACKS
+    toggles: dict[str, str] = field(default_factory=dict)
     glob_cap: int = 500
 
     @cached_property
@@ -126,7 +128,13 @@ class Scan:
     def entries(self) -> DataFrame:
         scripts = self.manifests.select("root", F.explode("scripts").alias("script", "command"))
         named = script_entries(scripts.withColumnRenamed("root", "workspace")).withColumnRenamed("workspace", "root")
-        return self.rounds.table(entrypoints.detected(self.files, self.manifests, named, include=list(self.include)))
+        brought = frameworks.framework_entries(self.frameworks, self.files, packs=self.packs)
+        return self.rounds.table(entrypoints.detected(self.files, self.manifests, named, include=list(self.include), frameworks=brought))
+
+    @cached_property
+    def frameworks(self) -> DataFrame:
+        """(root, framework, confidence, by_dependency, by_config) of the frameworks found."""
+        return self.rounds.table(frameworks.detections(self.files, self.manifests, packs=self.packs, toggles=self.toggles))
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -237,6 +245,24 @@ class Scan:
             parts.append(self.boundaries())
         return self.rounds.table(analyzers.with_remedy(reduce(DataFrame.unionByName, parts)).distinct())
 
+    def in_context(self) -> DataFrame:
+        """The findings with the frameworks of their workspaces."""
+        first = report.subject_path(F.substring_index("subject", " -> ", 1))
+        return frameworks.with_context(self.findings, self.frameworks, self.files, first)
+
+    def inventories(self) -> tuple[DataFrame, DataFrame]:
+        """Files (rel_path, role, workspace) and workspaces (workspace, root, files), both sorted."""
+        files = self.files.select("rel_path", "role", "workspace").orderBy("rel_path")
+        counted = self.files.groupBy("workspace").agg(F.count("*").alias("files"))
+        return files, self.workspaces.join(counted, "workspace", "left").select("workspace", "root", F.coalesce("files", F.lit(0)).alias("files")).orderBy("workspace")
+
+    def debug_resolve(self, specifier: str, source: str) -> str:
+        """How one specifier of one source resolves, in words."""
+        row = self.resolutions.where((F.col("specifier") == specifier) & (F.col("src") == source)).first()
+        if row is None:
+            return f"{source} has no specifier {specifier}"
+        return f"{specifier} from {source}: {row['outcome']} {row['dst_file'] or row['dst_dep'] or row['reason']}" + (f" by {row['origin']}" if row["origin"] else "")
+
     def summary(self) -> DataFrame:
         """Counts of findings beside files, edges and how many specifiers stay unresolved."""
         total = self.pressure.agg(F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.queries import query
+from graphloom.operators import frameworks, governance, report
+from graphloom.plans.queries import _FOUND, _OWNED, _found, _owned, query
 from graphloom.plans.scan import Scan
 from graphloom.sources.projections import Canon
 
@@ -86,3 +87,33 @@ def scan_findings(c: Canon) -> DataFrame:
     """A whole scan, less its cycles (``scc_users`` and ``cycle_lengths`` have their SQL)."""
     found = Scan(texts(c)).findings.where("code <> 'cycle'")
     return found.groupBy("code", "remedy").agg(F.count("*").alias("findings"))
+
+
+@query(_PATHS + """k AS (SELECT DISTINCT package, CAST(regexp_extract(package, '([0-9]+)$', 1) AS INT) AS n FROM files),
+    d AS (SELECT package, n, n % 5 = 0 AS dep, n % 2 = 0 AS cfg FROM k WHERE n % 5 = 0 OR n % 2 = 0)
+    SELECT concat('pkgs/', package) AS root, CASE WHEN dep AND cfg THEN 'exact' ELSE 'heuristic' END AS confidence,
+      (SELECT count(*) FROM files f WHERE f.package = d.package AND f.file_id % 3 = 0) + CASE WHEN cfg THEN 1 ELSE 0 END AS entries FROM d""", ("files",))
+def framework_files(c: Canon) -> DataFrame:
+    """Packages of every fifth number depend on a test framework, every second has its configuration; every third file is a test."""
+    number = F.regexp_extract("package", r"(\d+)$", 1).cast("int")
+    files = c["files"].select(F.concat(F.lit("pkgs/"), "package").alias("root"), number.alias("n"), "file_id")
+    packages = files.select("root", "n").distinct()
+    tests = files.select("root", F.concat(F.col("root"), F.lit("/src/f"), "file_id", F.when(F.col("file_id") % 3 == 0, ".test.ts").otherwise(".ts")).alias("rel_path"))
+    sources = tests.unionByName(packages.where("n % 2 = 0").select("root", F.concat(F.col("root"), F.lit("/vitest.config.ts")).alias("rel_path")))
+    dev = F.when(F.col("n") % 5 == 0, F.create_map(F.lit("vitest"), F.lit("1")))
+    manifests = packages.select("root", F.lit(None).cast("map<string,string>").alias("dependencies"), dev.alias("devDependencies"))
+    found = frameworks.detections(sources, manifests)
+    entries = frameworks.framework_entries(found, sources).withColumn("root", F.regexp_extract("path", "^(pkgs/[^/]*)/", 1))
+    return found.join(entries.groupBy("root").agg(F.count("*").alias("entries")), "root").select("root", "confidence", "entries")
+
+
+@query(_OWNED + "z AS (SELECT split_part(rel_path, '/', 1) AS directory, count(*) AS files FROM owned WHERE owner IS NULL AND contains(rel_path, '/') GROUP BY 1 HAVING count(*) >= 3) SELECT * FROM z", ("files",))
+def unowned_directories(c: Canon) -> DataFrame:
+    return governance.unowned_directories(_owned(c))
+
+
+@query(_FOUND + """z AS (SELECT code, count(*) AS findings, count(*) FILTER (confidence = 'high' AND severity <> 'info') AS blocking, arg_min(subject, id) AS first FROM found GROUP BY code)
+    SELECT code, findings, blocking, CASE WHEN blocking > 0 THEN concat('Settle ', blocking, ' of ', findings, ' ', code, ' findings before merging, for instance `', first, '`.')
+      ELSE concat('Look at ', findings, ' ', code, ' findings, for instance `', first, '`.') END AS text FROM z""", ("files", "edges"))
+def review_advice(c: Canon) -> DataFrame:
+    return report.advice(_found(c))

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from graphloom.operators import entrypoints, resolve, rules
+from graphloom.operators import entrypoints, frameworks, report, resolve, rules
 from graphloom.plans.scan import Scan
 from graphloom.sources import config, repo
 
@@ -132,3 +132,24 @@ def test_sinks_and_empty(spark, tmp_path):
         s.write("x", "xml")
     empty = Scan(spark.createDataFrame([], "rel_path string, text string"))
     assert empty.findings.count() == 0 and empty.exit_code() == 0 and empty.dot().count() == 2
+
+
+def test_frameworks(spark):
+    files = {"package.json": {"name": "app", "devDependencies": {"vitest": "1"}}, "w/package.json": {"name": "w", "dependencies": {"next": "1"}}, "src/a.test.ts": "import './util';", "src/util.ts": "", "vitest.config.ts": "", "w/app/x/page.tsx": "", "w/lib/y.ts": "", "w/middleware.ts": ""}
+    s = scan(spark, files)
+    assert {(r["root"], r["framework"], r["confidence"]) for r in s.frameworks.collect()} == {("", "vitest", "exact"), ("w", "next", "heuristic")}
+    assert {(r["path"], r["kind"], r["profile"]) for r in s.entries.collect()} == {("src/a.test.ts", "framework-pack", "development"), ("vitest.config.ts", "framework-pack", "development"), ("w/app/x/page.tsx", "framework-pack", "production"), ("w/middleware.ts", "framework-pack", "production")}
+    assert found(s, "unused-file") == {("unused-file", "w/lib/y.ts")}
+    assert [(r["subject"], r["frameworks"]) for r in s.in_context().where("code = 'unused-file'").collect()] == [("w/lib/y.ts", ["next"])]
+    assert [r["note"] for r in frameworks.trust_notes(s.frameworks).collect()] == ["next was found by a dependency only"]
+    assert [tuple(r) for r in s.inventories()[1].collect()] == [("app", "", 3), ("w", "w", 3)]
+    assert s.debug_resolve("./util", "src/a.test.ts") == "./util from src/a.test.ts: ResolvedToFile src/util.ts" and "no specifier" in s.debug_resolve("x", "y")
+    off = scan(spark, files, toggles={"vitest": "off", "astro": "on"})
+    assert {(r["root"], r["framework"]) for r in off.frameworks.collect()} == {("w", "next"), ("", "astro"), ("w", "astro")}
+
+
+def test_reports(spark):
+    chains = spark.createDataFrame([("a", ["a", "b", "c", "a"]), ("x", ["x"])], "component string, chain array<string>")
+    assert [tuple(r) for r in report.break_edges(chains).collect()] == [("a", 0, "a", "b"), ("a", 1, "b", "c"), ("a", 2, "c", "a")]
+    back, lost = report.recovered(spark.createDataFrame([("a",), ("z",)], "path string"), spark.createDataFrame([("a", 7), ("b", 8)], "path string, file_id long"))
+    assert [tuple(r) for r in back.collect()] == [("a", 7)] and [r["path"] for r in lost.collect()] == ["z"]
