@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, near_dedup, packing, quality_rules, sharding, stages, substring_dedup, token_counts, url_filter, warc
+from graphloom.llm import bpe, conversations, decontaminate, near_dedup, packing, quality_rules, sharding, stages, substring_dedup, token_counts, toxicity, url_filter, vector_codes, warc
 from graphloom.llm.common import Workspace
 
 SHARDS = 16
@@ -78,12 +79,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.col("part").alias("file_number"), F.col("at").alias("ordinal"), "start")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, model)
+    worst = F.reduce("__toxicity.offending", F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), F.lit(-1.0).alias("score")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+    return out.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), F.col("__toxicity.score").alias("score"), (F.col("__toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("__toxicity.n_sentences").alias("n_sentences"),
+        F.size("__toxicity.offending").cast("long").alias("n_offending"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repaired(conversations.damaged(rows))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = Workspace(spark, "vectors")
+    found, books = vector_codes.compressed(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), space=space)
+    out = vector_codes.with_label_error(found, space)
+    digest = books.digest() if books else hashlib.sha256(b"").hexdigest()
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_warc, op4_url_filter, op5_packing, op6_line_dedup, op7_near_duplicates, op8_byte_bpe, op9_shards, op10_token_counts, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_warc, op4_url_filter, op5_packing, op6_line_dedup, op7_near_duplicates, op8_byte_bpe, op9_shards, op10_token_counts, op11_toxicity, op12_conversations, op13_vector_codes, pipeline)
 }
 
 _TERMS = lambda terms: " + ".join(f"(CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN 1 ELSE 0 END)" for t in terms)
