@@ -35,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Workspace:
     """Written tables in the shared folder: they cut lineage and outlive lost executors."""
 

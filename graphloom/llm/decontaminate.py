@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, Workspace
+from graphloom.llm.common import NEAR_PERCENT, SHINGLE_WORDS, Workspace, unused_name
 
 #: Most rows of an index that is broadcast; one takes about 100 bytes.
 INDEX_ROWS = 400_000
@@ -103,6 +103,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
     """``docs`` less the documents that hold an item; null ids stay."""
+    name = unused_name(docs, "leak")
     space = space or Workspace(docs.sparkSession, "leaks")
-    found = space.table(leaks(docs, items, id_col=id_col, text_col=text_col, space=space).select(F.col("doc_id").alias("__leak")), "leaks")
-    return docs.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__leak"), "left_anti")
+    found = space.table(leaks(docs, items, id_col=id_col, text_col=text_col, space=space).select(F.col("doc_id").alias(name)), "leaks")
+    return docs.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder
-from graphloom.llm.common import freed, slices
+from graphloom.llm.common import Workspace, freed, slices
 
 ROW_TOKENS = 2048
 #: Most documents and tokens of a block.
@@ -151,12 +151,16 @@ def write_matrices(packed: DataFrame, path: str, *, end_id: int, width: str = "<
     A flat file holds one shard's rows in order and nothing else: little-endian ids (or positions) of a row and then ``end_id``, so row n is
     found by its place. Spark's text writer makes them, with that last column as its line separator, so they go wherever Spark writes.
     """
-    packed.drop("ids", "positions").write.parquet(f"{path}/rows")
-    ordered = packed.repartition("shard").sortWithinPartitions("shard", "row")
+    # Written once: packing twice could split the documents otherwise.
+    space = Workspace(packed.sparkSession, "matrices")
+    whole = space.table(packed, "packed")
+    whole.drop("ids", "positions").write.parquet(f"{path}/rows")
+    ordered = whole.repartition("shard").sortWithinPartitions("shard", "row")
     last = np.array([end_id], width).tobytes().decode("latin-1")
     for name in ("ids", "positions"):
         rows = ordered.select("shard", F.col(name).cast("string").alias("value"))
         rows.write.partitionBy("shard").option("lineSep", last).option("encoding", "ISO-8859-1").text(f"{path}/{name}")
+    space.drop(whole)
 
 
 def read_matrices(spark: SparkSession, path: str, *, row_tokens: int = ROW_TOKENS, width: str = "<u2") -> DataFrame:
@@ -176,6 +180,9 @@ def read_matrices(spark: SparkSession, path: str, *, row_tokens: int = ROW_TOKEN
 
     out = spark.read.parquet(f"{path}/rows")
     for name in ("ids", "positions"):
+        if out.isEmpty():  # then no file was written
+            out = out.withColumn(name, F.lit(None).cast("binary"))
+            continue
         files = spark.read.format("binaryFile").load(f"{path}/{name}").select("shard", "content")
         out = out.join(files.mapInArrow(cut, "shard int, row long, value binary").withColumnRenamed("value", name), ["shard", "row"])
     return out

@@ -76,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = space.path("flat")
     token_counts.write_flat(read(spark, sf_dir, "documents"), flat, *bpe.default_vocabulary(), end_id=50_256)
     found = token_counts.document_counts(spark, flat, end_id=50_256, space=space)
-    return found.select("doc_id", "n_tokens", F.col("part").alias("file_number"), F.col("at").alias("ordinal"), "start")
+    return found.select("doc_id", "n_tokens", F.col("part").alias("file_number"), "piece", F.col("at").alias("ordinal"), "start")
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. The rows are written once with their partition and their place in it, so every later read sees the same partitions.
 2. The driver gets one count per partition and draws how many rows each partition sends to each shard: row by row a multivariate
-   hypergeometric draw from what the shards still need. Column sums are the shard sizes, equal to within one row.
+   hypergeometric draw from what the shards still need, one shard after the other, for counts of any size. Column sums are the shard sizes, equal to within one row.
 3. Every partition is permuted by itself and cut by its row of the matrix; that is the exchange.
 4. Each shard is permuted again: rows fall into cells at random, cells are permuted by themselves, and cell counts give the offsets.
 
@@ -25,6 +25,32 @@ from graphloom.llm.common import Workspace, unused_name
 CELL_ROWS = 500_000
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` items drawn from ``good`` and ``bad`` ones are good, for numbers of any size (numpy's own draw ends at 10^9).
+
+    Give every item a uniform number and look below t = n / (good + bad): the good and bad ones there are binomial, and what is missing
+    from ``n`` is a draw from the items above t, or what is too many a draw from those below. Each step leaves about the square root of
+    the draw before, until few are left to be drawn one by one. This is the exact law, whatever t is.
+    """
+    found, sign = 0, 1
+    while n > 24:
+        if 2 * n > good + bad:  # draw those that stay instead
+            found, sign, n = found + sign * good, -sign, good + bad - n
+            continue
+        t = n / (good + bad)
+        g, b = int(rng.binomial(good, t)), int(rng.binomial(bad, t))
+        found += sign * g
+        if g + b <= n:
+            good, bad, n = good - g, bad - b, n - g - b
+        else:
+            good, bad, n, sign = g, b, g + b - n, -sign
+    for _ in range(n):
+        hit = int(rng.integers(good + bad)) < good
+        found += sign * hit
+        good, bad = good - hit, bad - (not hit)
+    return found
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Rows each partition sends to each shard: exact margins, every assignment equally likely."""
     total = sum(counts)
@@ -33,9 +59,15 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     rng = np.random.default_rng(seed)
     rng.shuffle(need)
     out = np.zeros((len(counts), shards), np.int64)
+    left = total
     for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(need, n, method="marginals")
+        others, rest = left, n
+        for s in range(shards):
+            others -= int(need[s])
+            out[i, s] = hypergeometric(rng, int(need[s]), others, rest)
+            rest -= int(out[i, s])
         need -= out[i]
+        left -= n
     return out
 
 

@@ -16,15 +16,19 @@ from graphloom.llm.common import Workspace, unused_name
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned rules keep."""
     model = quality_rules.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judged(docs, model).where("__kept").select(*docs.columns)
+    made = ("__stats", "__base_failed", "__rule", "__kept")
+    aside = {c: unused_name(docs, f"aside{k}") for k, c in enumerate(docs.columns) if c.lower() in made}
+    kept = quality_rules.judged(docs.withColumnsRenamed(aside), model).where("__kept")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates."""
     space = Workspace(spark, "pipeline-near")
     found = near_dedup.near_duplicates(docs, space=space)
-    gone = space.table(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = unused_name(docs, "gone")
+    gone = space.table(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

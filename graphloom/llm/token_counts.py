@@ -11,7 +11,7 @@ The same pass writes the documents' ids beside them, so nothing is numbered agai
 Defined cases: a null or empty text is a document of no tokens, a null id stays null, repeated rows are each a document; an empty file or
 table has none; a text of any length is one row of one task; tokens after a file's last separator are an unfinished document, given with
 ``complete`` false; a file with a part of an id at its end raises an error, as does one of 2 GiB or more (Spark's limit for ``binaryFile``;
-``write_flat`` begins a new file after ``FILE_ROWS`` documents); other columns are not read.
+``write_flat`` begins a new file after ``FILE_BYTES``); other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder
-from graphloom.llm.common import Workspace, freed, slices
+from graphloom.llm.common import Workspace, exists, freed, slices
 
 BLOCK = 1 << 20
-#: Documents of a partition's file, at most.
-FILE_ROWS = 200_000
+#: Bytes of ids after which a partition's next file begins; a file ends with the slice of documents (about 4 MiB of text) that passes them.
+FILE_BYTES = 1 << 30
 #: The folders of what ``write_flat`` writes. Numbers, as the writer would sort by a text column again.
 TOKENS, IDS = 0, 1
 
@@ -50,7 +50,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, end
         width = id_width(end_id + 1)
         if end_id < len(bpe.pieces):
             raise ValueError("the separator is an id of the vocabulary")
-        at = 0
+        at = piece = filled = 0
         for whole in batches:
             for batch in slices(whole, 1):
                 tokens = bpe.encode_many(batch.column(1).to_pylist())
@@ -59,40 +59,44 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, end
                 ids = [f"{at + k} {'' if d is None else d}".encode() for k, d in enumerate(batch.column(0).to_pylist())]
                 n = len(ids)
                 places = np.arange(at, at + n)
-                yield pa.RecordBatch.from_arrays([pa.array([TOKENS] * n + [IDS] * n, pa.int32()), pa.array(np.concatenate([places, places])), pa.array(tokens + ids, pa.binary())], ["kind", "at", "value"])
-                at += n
+                yield pa.RecordBatch.from_arrays([pa.array([TOKENS] * n + [IDS] * n, pa.int32()), pa.array([piece] * 2 * n, pa.int32()), pa.array(np.concatenate([places, places])), pa.array(tokens + ids, pa.binary())], ["kind", "piece", "at", "value"])
+                at, filled = at + n, filled + sum(map(len, tokens)) + n * np.dtype(width).itemsize
+                if filled >= FILE_BYTES:
+                    at, filled, piece = 0, 0, piece + 1
         bpe.forget()
         freed()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, at long, value binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, piece int, at long, value binary")
     # Each task writes both files of its partition, in the documents' order.
-    lines = rows.sortWithinPartitions("kind", "at").select("kind", F.col("value").cast("string").alias("value"))
-    lines.write.partitionBy("kind").option("maxRecordsPerFile", FILE_ROWS).option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(path)
+    lines = rows.sortWithinPartitions("kind", "piece", "at").select("kind", "piece", F.col("value").cast("string").alias("value"))
+    lines.write.partitionBy("kind", "piece").option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(path)
 
 
 #: A written file's partition and its number among the partition's files.
-_PART, _FILE = r"/part-(\d+)-[^/]*$", r"\.c(\d+)[^/]*$"
+_PART, _PIECE = r"/part-(\d+)-[^/]*$", r"/piece=(\d+)/[^/]*$"
 
 
 def _numbered(rows: DataFrame, file: str) -> DataFrame:
     number = lambda p: F.regexp_extract(file, p, 1).cast("int")
-    return rows.withColumns({"part": number(_PART), "file_number": number(_FILE)})
+    return rows.withColumns({"part": number(_PART), "piece": number(_PIECE)})
 
 
 def document_ids(spark: SparkSession, path: str, *, end_id: int) -> DataFrame:
-    """Rows (part, at, doc_id) of what ``write_flat`` wrote: which document stands where in its partition."""
+    """Rows (part, piece, at, doc_id) of what ``write_flat`` wrote: which document stands where in its partition."""
     lines = spark.read.option("lineSep", _separator(end_id, id_width(end_id + 1))).option("encoding", "ISO-8859-1").text(f"{path}/kind={IDS}")
     both = F.split("value", " ")
-    return _numbered(lines.select("value", F.col("_metadata.file_path").alias("file")), "file").select("part", both[0].cast("long").alias("at"), F.nullif(both[1], F.lit("")).cast("long").alias("doc_id"))
+    return _numbered(lines.select("value", F.col("_metadata.file_path").alias("file")), "file").select("part", "piece", both[0].cast("long").alias("at"), F.nullif(both[1], F.lit("")).cast("long").alias("doc_id"))
 
 
 def document_counts(spark: SparkSession, path: str, *, end_id: int, space: Workspace | None = None) -> DataFrame:
-    """Rows (doc_id, n_tokens, part, at, start) of what ``write_flat`` wrote; a document without tokens' file, or the other way round, raises an error."""
+    """Rows (doc_id, n_tokens, part, piece, at, start) of what ``write_flat`` wrote; a document without tokens' file, or the other way round, raises an error."""
+    if not exists(spark, f"{path}/kind={TOKENS}"):
+        return spark.createDataFrame([], "doc_id long, n_tokens long, part int, piece int, at long, start long")
     found = _numbered(scan_files(spark, f"{path}/kind={TOKENS}", end_id=end_id, width=id_width(end_id + 1), space=space), "file")
-    at = (F.col("file_number") * FILE_ROWS + F.col("ordinal")).alias("at")
-    both = found.select("part", at, "start", "n_tokens", "complete").join(document_ids(spark, path, end_id=end_id).withColumn("there", F.lit(True)), ["part", "at"], "full_outer")
+    at = F.col("ordinal").cast("long").alias("at")
+    both = found.select("part", "piece", at, "start", "n_tokens", "complete").join(document_ids(spark, path, end_id=end_id).withColumn("there", F.lit(True)), ["part", "piece", "at"], "full_outer")
     fits = F.when(F.col("there").isNull() | F.col("complete").isNull() | ~F.col("complete"), F.raise_error(F.lit("the flat files don't hold the documents written")).cast("long")).otherwise(F.col("n_tokens"))
-    return both.select("doc_id", fits.alias("n_tokens"), "part", "at", "start")
+    return both.select("doc_id", fits.alias("n_tokens"), "part", "piece", "at", "start")
 
 
 def scan_files(spark: SparkSession, path: str, *, end_id: int, block: int = BLOCK, width: str = "<u2", space: Workspace | None = None) -> DataFrame:

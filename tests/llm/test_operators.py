@@ -376,11 +376,25 @@ def test_shards(spark):
     counts = out.groupby("shard").size()
     assert len(out) == 1005 and counts.max() - counts.min() <= 1 and len(counts) == 16
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    large = [10**10, 3, 0, 7 * 10**9 + 1, 10**11]
+    matrix = sharding.communication_matrix(large, 16, 3)
+    assert matrix.sum(axis=1).tolist() == large and np.ptp(matrix.sum(axis=0)) <= 1 and matrix.min() >= 0
+    assert np.abs(matrix[0] - 10**10 / 16).max() < 6 * (10**10 / 16) ** 0.5
     matrix = sharding.communication_matrix([10, 0, 500, 495], 16, 3)
     assert matrix.sum(axis=1).tolist() == [10, 0, 500, 495] and set(matrix.sum(axis=0)) <= {62, 63}
     assert sharding.shuffled_shards(rows.limit(0), 16).count() == 0
 
 
+def test_hypergeometric_draws_have_their_law():
+    rng = np.random.default_rng(11)
+    for good, bad, n in ((40, 60, 30), (40, 60, 75), (5, 200, 100), (300, 20, 40), (3, 4, 7), (0, 9, 4), (9, 0, 30 - 22), (1000, 1000, 900)):
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(6000)], minlength=n + 1)
+        want = np.bincount(np.random.default_rng(12).hypergeometric(good, bad, n, 200_000), minlength=n + 1) / 200_000 * 6000
+        some = want > 5
+        assert got[want == 0].sum() <= 6
+        assert ((got - want)[some] ** 2 / want[some]).sum() < some.sum() + 5 * (2 * some.sum()) ** 0.5 + 5
+
+
 def test_shards_of_clashing_columns(spark):
     table = docs(spark, [*((k, t) for k, t in enumerate(ODD)), (1, "again"), (1, "again"), (None, None)]).withColumns({"shard": F.lit("x"), "Slot": F.lit("y"), "__row": F.lit(1), "__part": F.lit(2), "__at": F.lit(3), "__cell": F.lit(4), "__upto": F.lit(5), "__start": F.lit(6)})
     out = sharding.shuffled_shards(table.repartition(4), 3).collect()
@@ -420,7 +434,9 @@ def test_counts(spark):
 
 
 def test_counts_beside_ids(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "FILE_ROWS", 3)
+    whole = token_counts.slices
+    monkeypatch.setattr(token_counts, "FILE_BYTES", 100)
+    monkeypatch.setattr(token_counts, "slices", lambda batch, column: whole(batch, column, 50))
     texts = [*ODD, "w " * 200_000, *(" ".join(words(n, n)) for n in (5, 400, 90))]
     rows = [*enumerate(texts), (3, texts[3]), (3, "another text"), (None, "no id"), (None, None)]
     own = bpe.ByteBPE(PATH, PATTERN)
@@ -429,16 +445,19 @@ def test_counts_beside_ids(spark, monkeypatch):
     for end in (50256, 70000):
         path = Workspace(spark, "test").path("flat")
         token_counts.write_flat(table.repartition(3), path, PATH, PATTERN, end_id=end)
-        assert Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.document_counts(spark, path, end_id=end).collect()) == want
+        found = token_counts.document_counts(spark, path, end_id=end).collect()
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == want
+        assert max(r["piece"] for r in found) >= 1
     path = Workspace(spark, "test").path("flat")
     token_counts.write_flat(docs(spark, []).coalesce(1), path, PATH, PATTERN, end_id=50256)
+    assert token_counts.document_counts(spark, path, end_id=50256).collect() == []
 
 
 def test_file_numbers(spark):
     """A written file's name holds a random part, which can look like a number itself."""
-    names = [f"file:/x/part-7/kind=0/part-0000{k}-c{k}4e-c05a-4f.c00{k}.txt" for k in range(3)]
+    names = [f"file:/x/part-7/kind=0/piece={k}/part-0000{k}-c{k}4e-c05a-4f.c00{k}.txt" for k in range(3)]
     got = token_counts._numbered(spark.createDataFrame([(n,) for n in names], "file string"), "file").orderBy("part").collect()
-    assert [(r["part"], r["file_number"]) for r in got] == [(0, 0), (1, 1), (2, 2)]
+    assert [(r["part"], r["piece"]) for r in got] == [(0, 0), (1, 1), (2, 2)]
 
 
 def test_scan_of_foreign_files(spark, tmp_path):

@@ -43,3 +43,38 @@ def test_run(spark):
     out = stages.run(spark, SF)
     assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == want
     assert 0 < len(want) < len(lined) and lined != dict(rows)
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """The smallest tables, their documents with columns whose names the stages could use themselves."""
+    from pyspark.sql import functions as F
+
+    folder = f"file://{tmp_path_factory.mktemp('odd')}"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    more = {c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in ("__gone", "__leak", "__kept", "__Rule", "__stats")}
+    spark.read.parquet(f"{SF}/documents.parquet").withColumns(more).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_keep_columns_of_clashing_names(spark, odd_folder):
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    names = docs.columns
+    for _, stage in stages.STAGES[:-1]:
+        docs = stage(spark, docs, odd_folder)
+        assert docs.columns == names
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names if c.startswith("__"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_on_empty_tables(spark, tmp_path_factory):
+    from graphloom.llm import queries
+
+    folder = f"file://{tmp_path_factory.mktemp('empty')}"
+    for name in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, folder).collect() == [], name
