@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import freed
 
 #: Most labelled documents of either label that a fit reads, and the most bytes of each.
-FIT_ROWS = 4_000
+FIT_ROWS = 3_000
 FIT_BYTES = 32_768
 FEATURES = 6_000
+#: Parts in which features are counted, one after the other, for the driver's memory.
+SLICES = 8
 #: Least documents that a feature must be in.
 LEAST = 3
 PREFIXES = (4, 5, 6)
@@ -67,20 +69,18 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
         at = stop.end()
 
 
-@dataclass
 class Bags:
-    """Examples of a fit: the words of all sentences in a row, where sentences and documents start, and labels."""
+    """Examples of a fit: numbers of the words of all sentences in a row, where sentences and documents start, and labels."""
 
-    words: list[str] = field(default_factory=list)
-    sentences: list[int] = field(default_factory=list)
-    documents: list[int] = field(default_factory=list)
-    labels: list[int] = field(default_factory=list)
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words, self.sentences, self.documents, self.labels = array("i"), array("l"), array("l"), array("l")
 
     def add(self, text: str, label: int) -> None:
-        first = len(self.sentences)
+        first, number = len(self.sentences), self.number
         for _, _, words in sentences(text):
             self.sentences.append(len(self.words))
-            self.words.extend(sorted(words))
+            self.words.extend([number.setdefault(w, len(number)) for w in sorted(words)])
         if len(self.sentences) > first:
             self.documents.append(first)
             self.labels.append(label)
@@ -101,11 +101,10 @@ class NoisyOr:
         labels = np.array(bags.labels, np.int64)
         if not len(labels) or not labels.any():
             return self
-        number: dict[str, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in bags.words), np.int64, len(bags.words))
+        number, ids = bags.number, np.array(bags.words, np.int32)
         starts = np.array(bags.sentences)
-        sentence = np.repeat(np.arange(len(starts)), np.diff([*bags.sentences, len(ids)]))
-        document = np.repeat(np.arange(len(labels)), np.diff([*bags.documents, len(starts)]))
+        sentence = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(ids)))
+        document = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(np.array(bags.documents), append=len(starts)))
         chosen = self._chosen(number, ids, document[sentence], labels)
         at = {f: k for k, f in enumerate(chosen)}
         pairs = [(w, at[f]) for word, w in number.items() for f in word_features(word) if f in at]
@@ -116,8 +115,7 @@ class NoisyOr:
         used = np.flatnonzero((last > first)[ids])  # words without a feature add nothing
         many = (last - first)[ids[used]]
         rows = np.repeat(sentence[used], many)
-        inside = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-        columns = of_feature[np.repeat(first[ids[used]], many) + inside]
+        columns = of_feature[_runs(first[ids[used]], many)].astype(np.int32)
         share = np.where(labels == 1, shares[1], shares[0]) / (shares[0] * (labels == 0).sum() + shares[1] * labels.sum())
         w, b, m, v = np.zeros(len(chosen)), -5.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         for t in range(1, rounds + 1):
@@ -137,18 +135,22 @@ class NoisyOr:
     @staticmethod
     def _chosen(number: dict[str, int], ids: np.ndarray, document: np.ndarray, labels: np.ndarray) -> list[str]:
         """The features whose presence tells most about the label (two-by-two G statistic)."""
-        both = np.unique(ids * len(labels) + document)
+        both = np.unique(ids.astype(np.int64) * len(labels) + document)
         names: dict[str, int] = {}
-        per_word = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in number]
-        many = np.array([len(p) for p in per_word], np.int64)
-        flat, start = np.concatenate([np.array(p, np.int64) for p in per_word]), np.cumsum(many) - many
-        word = both // len(labels)
-        n = many[word]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(flat[np.repeat(start[word], n) + inside] * len(labels) + np.repeat(both % len(labels), n))
-        feature, doc = pairs // len(labels), pairs % len(labels)
-        docs = np.bincount(feature, minlength=len(names)).astype(float)
-        bad = np.bincount(feature, labels[doc], len(names))
+        flat, many = array("i"), np.zeros(len(number), np.int32)
+        for k, word in enumerate(number):
+            own = [names.setdefault(f, len(names)) for f in word_features(word)]
+            flat.extend(own)
+            many[k] = len(own)
+        word, document = (both // len(labels)).astype(np.int32), (both % len(labels)).astype(np.int32)
+        start = np.cumsum(many) - many
+        feature, doc = np.array(flat, np.int32)[_runs(start[word], many[word])], np.repeat(document, many[word])
+        docs, bad = np.zeros(len(names)), np.zeros(len(names))
+        for part in range(SLICES):  # pairs of a feature and a document count once
+            mine = feature % SLICES == part
+            pairs = np.unique(feature[mine].astype(np.int64) * len(labels) + doc[mine])
+            docs += np.bincount(pairs // len(labels), minlength=len(names))
+            bad += np.bincount(pairs // len(labels), labels[pairs % len(labels)], len(names))
         clean, toxic = float((labels == 0).sum()), float(labels.sum())
         worth = np.zeros(len(names))
         for here, there, total in ((docs - bad, docs, clean), (bad, docs, toxic), (clean - docs + bad, len(labels) - docs, clean), (toxic - bad, len(labels) - docs, toxic)):
@@ -177,6 +179,12 @@ class NoisyOr:
         return score, count, (out or [worst]) if count and score >= least else []
 
 
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``many`` of them, all in a row."""
+    ends = np.cumsum(many, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + many, many)
+
+
 class WeightCache(dict):
     """Word to its weight; emptied when it holds ``most`` words."""
 
@@ -226,9 +234,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS
     table = rows.select("__id", "__label", "__text").toArrow().sort_by("__id")
     bags = Bags()
     got = Counter()
-    for label, text in zip(table.column("__label").to_pylist(), table.column("__text").to_pylist(), strict=True):
-        bags.add(text, label)
-        got[label] += 1
+    for label, text in zip(table.column("__label"), table.column("__text"), strict=True):
+        bags.add(text.as_py(), label.as_py())
+        got[label.as_py()] += 1
+    del table
     shares = tuple(totals.get(y, 0) / got[y] if got[y] else 1.0 for y in (0, 1))
     return NoisyOr().fit(bags, shares)
 
