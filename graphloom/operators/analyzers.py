@@ -12,11 +12,15 @@ from graphloom.operators.fixes import ACTIONS
 REMEDIES = {code: action for codes, action, *_ in ACTIONS for code in codes}
 
 
-def findings(rows: DataFrame, code: Column | str, subject: Column, confidence: Column | str, *, rule: Column | None = None, severity: str = "warn") -> DataFrame:
-    """Rows (id, code, severity, confidence, subject, rule_name)."""
+#: What a finding is about, by the first words of its code; others are their own category.
+CATEGORIES = {"ownership": "ownership-violation", "boundary": "boundary-violation", "cycle": "cycle", "unlisted": "unlisted-dependency"}
+
+
+def findings(rows: DataFrame, code: Column | str, subject: Column, confidence: Column | str, *, rule: Column | None = None, severity: str = "warn", evidence: Column | None = None) -> DataFrame:
+    """Rows (id, code, severity, confidence, subject, rule_name), and ``evidence`` if it is given."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     rule = F.lit(None).cast("string") if rule is None else rule
-    return rows.select(finding_id(lit(code), subject, F.coalesce(rule, F.lit(""))).alias("id"), lit(code).alias("code"), F.lit(severity).alias("severity"), lit(confidence).alias("confidence"), subject.alias("subject"), rule.alias("rule_name"))
+    return rows.select(finding_id(lit(code), subject, F.coalesce(rule, F.lit(""))).alias("id"), lit(code).alias("code"), F.lit(severity).alias("severity"), lit(confidence).alias("confidence"), subject.alias("subject"), rule.alias("rule_name"), *([evidence.alias("evidence")] if evidence is not None else []))
 
 
 def with_remedy(found: DataFrame) -> DataFrame:
@@ -42,6 +46,17 @@ def unused_files(files: DataFrame, reached: DataFrame, edges: DataFrame, pressur
     return findings(dead, "unused-file", F.col("rel_path"), file_confidence(F.col("own"), F.col("pct"), F.col("neighbour"), F.col("__in").isNull()))
 
 
+def export_confidence(is_type: Column, effective: Column, pct: Column, neighbour: Column, globbed: Column, wanted: Column) -> Column:
+    alone = (effective == 0) & (neighbour == 0) & ~wanted
+    low = is_type | (effective >= 5) | (pct > 15) | (neighbour >= 8)
+    return F.when(low, "low").when(globbed, "medium").when(alone & (pct <= 5), "high").otherwise("medium")
+
+
+def dependency_confidence(effective: Column, only_scripts: Column, dep_kind: Column) -> Column:
+    low = (effective > 8) | only_scripts | ((effective > 3) & (dep_kind == "peer dependency"))
+    return F.when(low, "low").otherwise("medium")
+
+
 def unused_dependencies(declared: DataFrame, used: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
     """Declared (workspace, dep, dep_kind) without a use in the workspace."""
     left = declared.join(used.select(F.col("workspace").alias("__w"), F.col("dep").alias("__d")).distinct(), (F.col("workspace") == F.col("__w")) & (F.col("dep") == F.col("__d")), "left_anti")
@@ -75,18 +90,19 @@ def impact(reached_by: DataFrame, files: DataFrame, entries: DataFrame) -> DataF
     return inside.join(kinds, F.col("target") == F.col("__t"), "left").select("target", "files", "packages", F.coalesce("entry_kinds", F.lit("")).alias("entry_kinds"))
 
 
-def owned(files: DataFrame, teams: list[tuple[str, str]], codeowners: list[tuple[str, str]]) -> DataFrame:
-    """``files`` with ``owner``: the first team by name whose glob fits, else the last fitting code owners' rule.
+def owned(files: DataFrame, teams: list[tuple[str, str]], codeowners: list[tuple[str, str]], packages: list[tuple[str, str]] = ()) -> DataFrame:
+    """``files`` with ``owner``: the first team by name whose glob or ``packages`` (team, name) fits, else the last fitting code owners' rule.
 
     The rules are few and known on the driver, so they become one expression: no join.
     """
     from graphloom.functions.globs import glob_regex, owner_glob
 
     path = F.col("rel_path")
-    tests = [(glob_regex(g), team) for team, g in sorted(teams)] + [(owner_glob(g), owner) for g, owner in reversed(codeowners)]
+    tests = sorted([(team, path.rlike(glob_regex(g))) for team, g in teams] + [(team, F.coalesce(F.col("package") == p, F.lit(False))) for team, p in packages], key=lambda t: t[0])
+    tests += [(owner, path.rlike(owner_glob(g))) for g, owner in reversed(codeowners)]
     out = F.lit(None).cast("string")
-    for pattern, owner in reversed(tests):
-        out = F.when(path.rlike(pattern), F.lit(owner)).otherwise(out)
+    for owner, fits in reversed(tests):
+        out = F.when(fits, F.lit(owner)).otherwise(out)
     return files.withColumn("owner", out)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.tables import Rounds
 
 #: Steps that a round follows, and from few rows, where a round's own cost counts most; tables of what was found that are put together.
-STEPS, STEPS_OF_FEW, FEW_ROWS, PARTS = 4, 6, 100_000, 4
+STEPS, STEPS_OF_FEW, FEW_ROWS, PARTS = 4, 3, 100_000, 4
 #: Most nodes for which components are found through all pairs, 64 of them to a row.
 FEW_NODES = 4096
 

@@ -89,7 +89,7 @@ def break_edges(chains: DataFrame) -> DataFrame:
 
 def advice(found: DataFrame) -> DataFrame:
     """(code, findings, blocking, text): what a review says of each kind of finding, most blocking ones first."""
-    rows = reviewed(found).groupBy("code").agg(F.count("*").alias("findings"), F.count_if(F.col("decision") == "blocking").alias("blocking"), F.sort_array(F.collect_list(F.struct("id", "subject")))[0]["subject"].alias("first"))
+    rows = reviewed(found).groupBy("code").agg(F.count("*").alias("findings"), F.count_if(F.col("decision") == "blocking").alias("blocking"), F.min(F.struct("id", "subject"))["subject"].alias("first"))
     text = F.when(F.col("blocking") > 0, F.format_string("Settle %d of %d %s findings before merging, for instance `%s`.", "blocking", "findings", "code", "first")).otherwise(F.format_string("Look at %d %s findings, for instance `%s`.", "findings", "code", "first"))
     return rows.select("code", "findings", "blocking", text.alias("text")).orderBy(F.col("blocking").desc(), "code")
 

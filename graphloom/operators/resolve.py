@@ -15,6 +15,19 @@ from graphloom.operators.manifests import looked_up, manifest_maps, subpath
 SUFFIXES = ["", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".mdx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
+# The endings of TypeScript sources that stand behind an imported JavaScript ending, tried before it.
+SOURCES_OF = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
+
+
+def probes(base: Column) -> Column:
+    """The paths that are tried for one, in order."""
+    stem = F.regexp_replace(base, r"\.[mc]?jsx?$", "")
+    swapped = F.array().cast("array<string>")
+    for ending, others in SOURCES_OF.items():
+        swapped = F.when(base.endswith(ending), F.array(*[F.concat(stem, F.lit(o)) for o in others])).otherwise(swapped)
+    return F.concat(swapped, F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(base, s)))
+
+
 def normalised(path: Column) -> Column:
     """A path without ``.`` and ``..`` segments."""
     step = lambda done, p: F.when((p == ".") | (p == ""), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
@@ -36,7 +49,7 @@ def resolved(specifiers: DataFrame, files: DataFrame, *, aliases: list[tuple[str
     candidates.append(F.when(spec.startswith("."), F.concat_ws("/", F.regexp_replace("src", r"/?[^/]*$", ""), spec)))
     tried = F.array_compact(F.array(*candidates))
     paths = rows.where(~external).select("src", "specifier", F.posexplode(tried).alias("strategy", "base"))
-    paths = paths.select("src", "specifier", "strategy", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(normalised(F.col("base")), s))).alias("probe", "path"))
+    paths = paths.select("src", "specifier", "strategy", F.posexplode(probes(normalised(F.col("base")))).alias("probe", "path"))
     hits = paths.join(files.select(F.col("rel_path").alias("path")).distinct(), "path")
     best = hits.groupBy(F.col("src").alias("__s"), F.col("specifier").alias("__p")).agg(F.min_by("path", F.struct("strategy", "probe")).alias("dst_file"))
     out = rows.join(best, (F.col("src") == F.col("__s")) & (F.col("specifier") == F.col("__p")), "left").drop("__s", "__p")
@@ -53,7 +66,7 @@ def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, alias
     """``specifiers`` (src, specifier, root) with (dst_file, dst_dep, origin, outcome, reason).
 
     root is the folder of the source's workspace. files: rel_path. manifests: root, name, main, exports, imports, browser. aliases: prefix, target, scope, origin.
-    Every strategy makes candidate paths by equi joins, each is tried with every suffix, and the first that exists wins: aliases by origin and length, the
+    Every strategy makes candidate paths by equi joins, each is tried with every suffix, and the first that exists wins: aliases by origin, then by length, the
     ``#`` imports of the own manifest, paths relative to the source, the browser map, and packages of the repository (only through ``exports``
     where they have any). What none finds and is bare is a dependency, unless it is of a package whose ``exports`` lacks it.
     """
@@ -65,7 +78,7 @@ def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, alias
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     met = open_rows.select("*", F.explode(heads).alias("prefix")).join(aliases, "prefix").where("scope is null or scope = '' or src like concat(scope, '/%')")
     own = lambda order, base, origin: F.struct(order.cast("int").alias("order"), base.alias("base"), origin.alias("origin"))
-    by_alias = met.select("src", "specifier", own(10 * F.coalesce(rank[F.col("origin")], F.lit(9)) - 1000 * F.length("prefix"), F.concat("target", F.substring(spec, F.length("prefix") + 1, 1 << 20)), F.col("origin")).alias("c"))
+    by_alias = met.select("src", "specifier", own(1000 * (F.coalesce(rank[F.col("origin")], F.lit(9)) - 10) - F.least(F.length("prefix"), F.lit(999)), F.concat("target", F.substring(spec, F.length("prefix") + 1, 1 << 20)), F.col("origin")).alias("c"))
     maps = manifest_maps(manifests.select(F.col("root").alias("workspace"), F.col("name").alias("package"), "exports", "imports", "browser"))
     requests = open_rows.select("src", "specifier", F.col("root").alias("workspace"))
     under = lambda root, path: F.concat_ws("/", F.when(root != "", root), path)
@@ -78,7 +91,7 @@ def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, alias
     plain = F.when(F.col("specifier") == ".", F.coalesce("main", F.lit(""))).otherwise(F.col("specifier"))
     inside = shown.select("src", F.col("asked").alias("specifier"), own(F.lit(40), under(F.col("workspace"), F.when(F.col("closed"), F.col("target")).otherwise(plain)), F.lit("Manifest")).alias("c"), (F.col("closed") & ~F.col("defined")).alias("miss"))
     tried = reduce(DataFrame.unionByName, [by_alias, subpaths, near, shims, inside.where("not miss").drop("miss")]).where("c.base is not null")
-    paths = tried.select("src", "specifier", "c.order", "c.origin", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(normalised(F.col("c.base")), s))).alias("probe", "path"))
+    paths = tried.select("src", "specifier", "c.order", "c.origin", F.posexplode(probes(normalised(F.col("c.base")))).alias("probe", "path"))
     hits = paths.join(files.select(F.col("rel_path").alias("path")).distinct(), "path")
     best = hits.groupBy(F.col("src").alias("__s"), F.col("specifier").alias("__p")).agg(F.min_by(F.struct("path", "origin"), F.struct("order", "probe", "path")).alias("__hit"))
     missed = inside.where("miss").select(F.col("src").alias("__ms"), F.col("specifier").alias("__mp")).distinct()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.columns import dead_code_candidate, percent
+from graphloom.functions.columns import DEVELOPMENT, NOT_DEAD, dead_code_candidate, percent
+from graphloom.functions.globs import any_glob
 from graphloom.operators import analyzers, entrypoints, frameworks, graph, liveness, report, resolve, rules
 from graphloom.operators.tables import Rounds
 from graphloom.sources import config, repo
@@ -18,6 +19,9 @@ from graphloom.sources.members import member_facts
 # The kind of edge that a fact makes (others are their own kind), and facts that use a module as a whole.
 EDGE_KINDS = {"side-effect": "SideEffectImport"}
 WHOLE = ["DynamicImport", "Require", "ImportEquals", "ImportMetaGlob", "RequireContext"]
+# Reasons for which a specifier can't be resolved at all, and folders whose sources import what isn't there.
+BENIGN = ["unsupported-specifier", "externalized"]
+MADE_UP = "__fixtures__|__mocks__|/__fixture__/|/fixtures/|/snapshots/|/test-files/"
 # Packages that come with the runtime.
 BUILT_IN = """assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net node
     os path perf_hooks process punycode querystring readline repl stream string_decoder sys test timers tls trace_events tty url util v8 vm wasi worker_threads zlib""".split()
@@ -31,10 +35,15 @@ class Scan:
     include: tuple[str, ...] = ()
     workspace_globs: tuple[str, ...] | None = None
     production: bool = False
+    profile: str = "both"
     include_entry_exports: bool = False
     exports_used_in_file: bool = True
     forbidden: tuple[rules.Forbidden, ...] = ()
     teams: tuple[tuple[str, str], ...] = ()
+    team_packages: tuple[tuple[str, str], ...] = ()
+    #: (glob over paths, tag) and (package, tag), for rules.
+    tags: tuple[tuple[str, str], ...] = ()
+    package_tags: tuple[tuple[str, str], ...] = ()
     externals: tuple[str, ...] = ()
     packs: tuple[frameworks.Pack, ...] = frameworks.PACKS
     toggles: dict[str, str] = field(default_factory=dict)
@@ -44,15 +53,20 @@ class Scan:
     def rounds(self) -> Rounds:
         return Rounds(self.rows.sparkSession)
 
-    @cached_property
-    def manifests(self) -> DataFrame:
-        return self.rounds.table(repo.manifests(self.rows))
+    @property
+    def active(self) -> str:
+        return "production" if self.production else self.profile
 
     @cached_property
     def workspaces(self) -> DataFrame:
-        if self.workspace_globs is None:
-            return self.manifests.select("root", F.coalesce("name", "root").alias("workspace"))
-        return config.discovered(self.manifests, list(self.workspace_globs))
+        """The root and what the workspace globs name: those given, or those that the repository itself has."""
+        globs = config.declared_globs(self.rows) if self.workspace_globs is None else list(self.workspace_globs)
+        return self.rounds.table(config.discovered(repo.manifests(self.rows), globs))
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        """Manifests of workspaces; those of fixtures and the like are none."""
+        return self.rounds.table(repo.manifests(self.rows).join(self.workspaces.select("root"), "root", "left_semi"))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -100,8 +114,8 @@ class Scan:
         inside = asked.withColumn("base", base).join(below, "base").withColumn("rest", F.concat(F.lit("."), F.expr("if(base = '', concat('/', path), substring(path, length(base) + 1))")))
         inside = inside.where(F.expr("rest rlike regex and (deep or not rest rlike '^[.]/.*/')")).select("src", "specifier", F.col("path").alias("dst_file"), F.lit("RequireContext").alias("kind"))
         kept = found.unionByName(inside).where("src <> dst_file").distinct()
-        by_path = F.sort_array(F.collect_list("dst_file"))
-        return kept.groupBy("src", "specifier", "kind").agg(F.slice(by_path, 1, self.glob_cap).alias("d")).select("src", "specifier", F.explode("d").alias("dst_file"), "kind")
+        place = F.row_number().over(Window.partitionBy("src", "specifier", "kind").orderBy("dst_file"))
+        return kept.withColumn("__k", place).where(F.col("__k") <= self.glob_cap).select("src", "specifier", "dst_file", "kind")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -138,12 +152,21 @@ class Scan:
 
     @cached_property
     def seeds(self) -> DataFrame:
-        rows = self.entries.where(F.col("profile").isin("production", "both")) if self.production else self.entries
+        rows = self.entries if self.active == "both" else self.entries.where(F.col("profile").isin(self.active, "both"))
         return rows.select(F.col("path").alias("node")).distinct()
 
+    @cached_property
+    def reached_as(self) -> DataFrame:
+        """(node, entry_kinds, profiles): from entry points of which kinds and profiles a file is reached, in the active profile; one fixpoint for all."""
+        rows = self.entries.join(self.seeds, F.col("path") == F.col("node"), "left_semi")
+        found = graph.reach_sets(self.file_edges, rows.select(F.struct("kind", "profile").alias("label"), F.col("path").alias("node")))
+        each = F.when(F.col("label.profile") == "both", F.array(F.lit("production"), F.lit("development"))).otherwise(F.array("label.profile"))
+        known = found.select("node", "label.kind", F.explode(each).alias("profile")).groupBy("node").agg(F.collect_set("kind").alias("entry_kinds"), F.collect_set("profile").alias("profiles"))
+        return self.rounds.table(known)
+
     @cached_property
     def reached(self) -> DataFrame:
-        return self.rounds.table(graph.reach(self.file_edges, self.seeds).select("node"))
+        return self.reached_as.select("node")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -167,8 +190,9 @@ class Scan:
 
     @cached_property
     def pressure(self) -> DataFrame:
-        """(file_id, unresolved, resolved) specifiers of each file."""
-        return self.resolutions.groupBy(F.col("src").alias("file_id")).agg(F.count_if(F.col("outcome") == "Unresolved").alias("unresolved"), F.count_if(F.col("outcome").startswith("Resolved")).alias("resolved"))
+        """(file_id, unresolved, resolved) specifiers of each file; those that can't be resolved by their nature don't count."""
+        lost = (F.col("outcome") == "Unresolved") & ~F.coalesce(F.col("reason").isin(*BENIGN), F.lit(False))
+        return self.rounds.table(self.resolutions.groupBy(F.col("src").alias("file_id")).agg(F.count_if(lost).alias("unresolved"), F.count_if(F.col("outcome").startswith("Resolved")).alias("resolved")))
 
     @cached_property
     def declared(self) -> DataFrame:
@@ -176,18 +200,40 @@ class Scan:
 
     @cached_property
     def used(self) -> DataFrame:
-        """(root, dep) of what sources, style sheets, extended configurations and script commands use; packages behind a configured alias are none of them."""
-        files = self.files.select(F.col("rel_path").alias("src"), "root")
-        code = self.links.where("dst_dep is not null and origin is null").select("src", F.col("dst_dep").alias("dep")).join(files, "src").select("root", "dep")
+        """(root, dep, production, development): what reached sources, configurations, style sheets and script commands use, and for which profile.
+
+        A file of a role that isn't code counts as development use whether it is reached or not; docs and test fixtures count for nothing. Packages behind a
+        configured alias are no packages.
+        """
+        files = self.files.where(~F.col("rel_path").startswith("docs/") & ~F.col("rel_path").rlike(MADE_UP)).select(F.col("rel_path").alias("src"), "root", "role")
+        near = self.reached_as.select(F.col("node").alias("__n"), "profiles")
+        apart = F.col("role").isin(*NOT_DEAD)
+        as_ = lambda p: F.coalesce(F.array_contains("profiles", p), F.lit(False))
+        asked = self.links.where("dst_dep is not null and origin is null").select("src", F.col("dst_dep").alias("dep")).distinct()
+        code = asked.join(files, "src").join(near, F.col("src") == F.col("__n"), "left")
+        code = code.select("root", "dep", (~apart & as_("production") & ~F.col("role").isin(*DEVELOPMENT)).alias("production"), (apart | as_("development")).alias("development"))
         home = repo.inventory(self.rows.select("rel_path"), self.workspaces).select("rel_path", "workspace").join(self.workspaces, "workspace").select("rel_path", "root")
-        styles = config.style_packages(self.rows).join(home, "rel_path").select("root", "dep")
+        of = lambda rows, production, development: rows.select("root", "dep", F.lit(production).alias("production"), F.lit(development).alias("development"))
+        styles = of(config.style_packages(self.rows).join(home, "rel_path"), True, False)
         commands = self.manifests.select("root", F.explode("scripts").alias("script", "command")).select("root", F.explode(F.split("command", r"[\s&|;]+")).alias("word"))
-        run = self.declared.join(commands, "root").where("dep = word or dep like concat('%/', word)").select("root", "dep")
-        return self.rounds.table(reduce(DataFrame.unionByName, [code, styles, config.extended_packages(self.rows), run]).distinct())
+        run = of(self.declared.join(commands, "root").where("word <> '' and (dep = word or endswith(dep, concat('/', word)))"), True, True)
+        rows = reduce(DataFrame.unionByName, [code, styles, of(config.extended_packages(self.rows), False, True), run])
+        return self.rounds.table(rows.groupBy("root", "dep").agg(F.bool_or("production").alias("production"), F.bool_or("development").alias("development")))
+
+    @cached_property
+    def globbed(self) -> DataFrame:
+        """(file) of the targets of expanded globs and contexts: that they live is a guess."""
+        return self.expanded.select(F.col("dst_file").alias("file")).distinct()
+
+    @cached_property
+    def total_pct(self) -> DataFrame:
+        """One row: the share of specifiers that stay unresolved."""
+        total = self.pressure.agg(F.coalesce(F.sum("unresolved"), F.lit(0)).alias("u"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("r"))
+        return total.select(percent(F.col("u"), F.col("u") + F.col("r")).alias("pct"))
 
     def unused_files(self) -> DataFrame:
         files = self.files.withColumn("file_id", F.col("rel_path"))
-        return analyzers.unused_files(files, self.reached, self.file_edges, self.pressure, production=self.production)
+        return analyzers.unused_files(files, self.reached, self.file_edges, self.pressure, production=self.active == "production")
 
     def unused_exports(self) -> DataFrame:
         exports = self.facts.where("kind = 'export' and name is not null").select(F.col("src").alias("file"), "name", "is_type").distinct()
@@ -195,55 +241,115 @@ class Scan:
         live = liveness.live_exports(there, self.wanted).select("file", "name")
         if self.exports_used_in_file:
             live = live.unionByName(self.members.where("kind = 'use'").select(F.col("rel_path").alias("file"), F.col("member").alias("name"))).distinct()
-        files = self.files.where(dead_code_candidate(F.col("role"), F.col("rel_path"), production=self.production)).select(F.col("rel_path").alias("file"))
+        files = self.files.where(dead_code_candidate(F.col("role"), F.col("rel_path"), production=self.active == "production")).select(F.col("rel_path").alias("file"))
         dead = there.join(live, ["file", "name"], "left_anti").join(files, "file", "left_semi")
         code = F.when(F.col("is_type"), "unused-type").otherwise("unused-export")
-        return analyzers.findings(dead, code, F.concat_ws("#", "file", "name"), "high")
+        own = self.pressure.where("unresolved > 0").select(F.col("file_id").alias("file"), "unresolved")
+        both = self.file_edges.where("src <> dst").select(F.col("src").alias("file"), F.col("dst").alias("near")).unionByName(self.file_edges.where("src <> dst").select(F.col("dst").alias("file"), F.col("src").alias("near"))).distinct()
+        near = both.join(own.toDF("near", "unresolved"), "near").groupBy("file").agg(F.sum("unresolved").alias("neighbour"))
+        asked = self.wanted.select("file").distinct().withColumn("wanted", F.lit(True))
+        rows = dead.join(own, "file", "left").join(near, "file", "left").join(asked, "file", "left").join(self.globbed.withColumn("globbed", F.lit(True)), "file", "left").crossJoin(F.broadcast(self.total_pct))  # one row
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        no = lambda c: F.coalesce(F.col(c), F.lit(False))
+        sure = analyzers.export_confidence(F.col("is_type"), zero("unresolved"), F.col("pct"), zero("neighbour"), no("globbed"), no("wanted"))
+        return analyzers.findings(rows, code, F.concat_ws("#", "file", "name"), sure)
 
     def unused_members(self) -> DataFrame:
-        own = self.members.where("kind = 'member' and not is_public and member_kind <> 'setter'").select(F.col("rel_path").alias("file"), "parent", "member")
+        own = self.members.where("kind = 'member' and not is_public and member_kind <> 'Setter'").select(F.col("rel_path").alias("file"), "parent", "member")
         through = self.links.where("kind = 'import' and dst_file is not null").select(F.col("src").alias("__i"), F.col("local").alias("alias"), F.col("dst_file").alias("file"), F.col("name").alias("parent"))
         refs = self.members.where("kind in ('read', 'write')").select(F.col("rel_path").alias("__i"), F.col("parent").alias("alias"), "member", F.col("kind").alias("access")).join(through, ["__i", "alias"])
         dead = liveness.unused_members(own, refs.select("file", "parent", "member", "access"))
-        return analyzers.findings(dead, "unused-member", F.concat(F.concat_ws("#", "file", "parent"), F.lit("."), "member"), "medium")
+        dead = dead.join(self.globbed.withColumn("globbed", F.lit(True)), "file", "left")
+        return analyzers.findings(dead, "unused-member", F.concat(F.concat_ws("#", "file", "parent"), F.lit("."), "member"), F.when(F.col("globbed"), "low").otherwise("medium"))
 
     def dependencies(self) -> tuple[DataFrame, DataFrame]:
         """Findings of declared packages that nothing uses, and of used ones that the workspace doesn't declare."""
         declared, used = (x.withColumnRenamed("root", "workspace") for x in (self.declared, self.used))
+        if self.active == "production":
+            declared_now, used_now = declared.where("dep_kind <> 'dev dependency'"), used.where("production")
+        else:
+            declared_now, used_now = declared, used.where("production or development")
         names = self.manifests.where("name is not null").select(F.col("name").alias("dep")).distinct()
         typed = F.col("dep").like("@types/%")
-        unused = analyzers.unused_dependencies(declared.where(~typed & (F.col("dep_kind") != "peer dependency")), used, names)
+        unused = analyzers.unused_dependencies(declared_now.where(~typed & (F.col("dep_kind") != "peer dependency")), used_now, names)
+        home = self.files.select(F.col("rel_path").alias("file_id"), F.col("root").alias("workspace"))
+        lost = self.pressure.join(home, "file_id").groupBy("workspace").agg(F.sum("unresolved").alias("unresolved"))
+        scripts = self.entries.join(home, F.col("path") == F.col("file_id")).groupBy("workspace").agg(F.bool_and(F.col("kind") == "package-script").alias("only_scripts"))
+        unused = unused.join(lost, "workspace", "left").join(scripts, "workspace", "left")
+        sure = analyzers.dependency_confidence(F.coalesce("unresolved", F.lit(0)), F.coalesce("only_scripts", F.lit(False)), F.col("dep_kind"))
         heads = self.aliases.select(F.col("prefix").alias("dep")).distinct()
-        missing = analyzers.unlisted_dependencies(declared, used).where(~F.col("dep").isin(*BUILT_IN)).join(names, "dep", "left_anti").join(heads, "dep", "left_anti")
+        missing = analyzers.unlisted_dependencies(declared, used.where("production or development")).where(~F.col("dep").isin(*BUILT_IN)).join(names, "dep", "left_anti").join(heads, "dep", "left_anti")
         at = F.concat_ws(":", F.when(F.col("workspace") != "", F.col("workspace")), "dep")
-        return analyzers.findings(unused, "unused-dependency", at, "high"), analyzers.findings(missing, "unlisted-dependency", at, "medium")
+        return analyzers.findings(unused, "unused-dependency", at, sure).distinct(), analyzers.findings(missing, "unlisted-dependency", at, "medium")
 
     def cycles(self) -> DataFrame:
-        """One finding a component: its shortest cycle through the least file, of low confidence if a generated file is in it; ``edges`` are where it could be broken."""
-        runs = self.file_edges.where("kind <> 'StaticImportType'")
-        chains = graph.cycle_chains(runs, graph.strong_components(runs)).where("length > 2")
+        """One finding a component, type imports included: its shortest cycle through the least file, of low confidence if a generated file is in it; the
+        evidence has the edges where it could be broken."""
+        chains = graph.cycle_chains(self.file_edges, graph.strong_components(self.file_edges)).where("length > 2")
         sure = F.when(F.exists("chain", lambda f: f.contains(".gen.") | f.contains(".generated.") | f.contains(".gen/")), "low").otherwise("high")
         shown = F.array_join("chain", " -> ")
-        return analyzers.findings(chains, "cycle", shown, sure)
+        edges = report.break_edges(chains).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "src", "dst"))), lambda e: F.concat(e["src"], F.lit(" -> "), e["dst"])).alias("edges"))  # a chain's
+        return analyzers.findings(chains.join(edges, "component"), "cycle", shown, sure, evidence=F.col("edges"))
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """(node, path, workspace, package, tags, profiles, entry_kinds) of files, as rules see them."""
+        near = self.reached_as.select(F.col("node").alias("__n"), "entry_kinds", F.when(F.size("profiles") > 0, F.concat("profiles", F.array(F.lit("all")))).otherwise(F.col("profiles")).alias("profiles"))
+        base = self.files.select(F.col("rel_path").alias("node"), F.col("rel_path").alias("path"), "workspace", F.col("workspace").alias("package")).join(near, F.col("node") == F.col("__n"), "left").drop("__n")
+        given = [F.when(F.col("path").rlike(any_glob([g])), F.lit(t)) for g, t in self.tags] + [F.when(F.col("package") == p, F.lit(t)) for p, t in self.package_tags]
+        kinds = F.transform(F.coalesce("entry_kinds", F.array().cast("array<string>")), lambda k: F.concat(F.lit("entrypoint-kind:"), k))
+        own = F.array_distinct(F.array_compact(F.array(*given))) if given else F.array().cast("array<string>")
+        return base.withColumn("tags", F.concat(own, kinds))
 
     def boundaries(self) -> DataFrame:
-        contexts = self.files.select(F.col("rel_path").alias("node"), F.col("rel_path").alias("path"), "workspace", F.col("workspace").alias("package"), F.array().cast("array<string>").alias("tags"))
-        found = rules.violations(self.file_edges, contexts, list(self.forbidden))
+        found = rules.violations(self.file_edges, self.contexts, list(self.forbidden))
         return analyzers.findings(found, "boundary-violation", F.col("subject"), "high", rule=F.col("rule"), severity="error")
 
     def ownership(self) -> DataFrame:
-        owners = [(pattern, owner) for pattern, names in config.owner_rules(self.rows) for owner in names[:1]]
-        files = analyzers.owned(self.files.withColumn("file_id", F.col("rel_path")), list(self.teams), owners)
-        found = analyzers.cross_owner(self.file_edges, files).select("src", "dst").distinct()
-        return analyzers.findings(found, "ownership-cross-owner", F.concat_ws(" -> ", "src", "dst"), "medium")
+        """Files that nobody owns, edges between owners, and files that two or more other owners import; nothing without teams and owners' rules."""
+        owners = [(pattern, " ".join(names)) for pattern, names in config.owner_rules(self.rows)]
+        if not (owners or self.teams or self.team_packages):
+            return analyzers.findings(self.files.limit(0), "ownership-unowned", F.col("rel_path"), "high")
+        named = self.files.withColumns({"file_id": F.col("rel_path"), "package": F.col("workspace")})
+        files = analyzers.owned(named, list(self.teams), owners, list(self.team_packages))
+        judged = ~F.col("role").isin(*NOT_DEAD) & ~F.col("rel_path").startswith("docs/")
+        unowned = analyzers.findings(files.where(judged & F.col("owner").isNull()), "ownership-unowned", F.col("rel_path"), "high")
+        from_judged = self.file_edges.join(files.where(judged).select(F.col("rel_path").alias("src")), "src", "left_semi")
+        crossing = self.rounds.table(analyzers.cross_owner(from_judged, files))
+        edges = analyzers.findings(crossing.select("src", "dst").distinct(), "ownership-cross-owner", F.concat_ws(" -> ", "src", "dst"), "high")
+        shared = analyzers.findings(analyzers.owner_hotspots(crossing), "ownership-hotspot", F.col("dst"), "high", severity="info")
+        return unowned.unionByName(edges).unionByName(shared)
+
+    def unused_packages(self) -> DataFrame:
+        """Workspaces with code or entry points of which no file is reached."""
+        files = self.files.where("workspace is not null").withColumns({"file_id": F.col("rel_path"), "package": F.col("workspace")})
+        candidate = ~F.col("role").isin(*NOT_DEAD) & ~F.col("rel_path").startswith("docs/")
+        if self.active == "production":
+            candidate &= ~F.col("role").isin(*DEVELOPMENT)
+        entered = files.join(self.seeds, F.col("rel_path") == F.col("node"), "left_semi")
+        dead = analyzers.unused_packages(files.where(candidate).unionByName(entered).distinct(), self.reached.join(files.where(candidate).select(F.col("rel_path").alias("node")), "node", "left_semi"))
+        return analyzers.findings(dead, "unused-package", F.col("package"), "medium")
+
+    def duplicate_exports(self) -> DataFrame:
+        passed = self.links.where("kind = 'reexport' and dst_file is not null").select(F.col("src").alias("reexporter"), F.col("dst_file").alias("source"), F.col("name").alias("original"), F.col("local").alias("exported"), (F.col("name") == "*").alias("is_star"))
+        found = analyzers.duplicate_exports(passed)
+        shown = F.transform("paths", lambda p: F.concat(p["reexporter"], F.lit(" exports it as "), p["exported"]))
+        return analyzers.findings(found.where("original <> '*'"), "duplicate-export", F.col("source"), "medium", evidence=F.concat(F.array("original"), shown))
 
     @cached_property
     def findings(self) -> DataFrame:
-        """(id, code, severity, confidence, subject, rule_name, remedy) of all analyzers."""
-        parts = [self.unused_files(), self.unused_exports(), self.unused_members(), *self.dependencies(), self.cycles(), self.ownership()]
+        """(id, code, severity, confidence, subject, rule_name, evidence, remedy, category, workspace) of all analyzers."""
+        parts = [self.unused_files(), self.unused_exports(), self.unused_members(), *self.dependencies(), self.unused_packages(), self.duplicate_exports(), self.cycles(), self.ownership()]
         if self.forbidden:
             parts.append(self.boundaries())
-        return self.rounds.table(analyzers.with_remedy(reduce(DataFrame.unionByName, parts)).distinct())
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        kind = F.substring_index("code", "-", 1)
+        category = F.col("code")
+        for first, name in analyzers.CATEGORIES.items():
+            category = F.when(kind == first, F.lit(name)).otherwise(category)
+        home = self.files.select(F.col("rel_path").alias("__path"), "workspace")
+        first = report.subject_path(F.substring_index("subject", " -> ", 1))
+        return self.rounds.table(analyzers.with_remedy(rows).distinct().withColumn("category", category).join(home, first == F.col("__path"), "left").drop("__path"))
 
     def in_context(self) -> DataFrame:
         """The findings with the frameworks of their workspaces."""

@@ -1,7 +1,8 @@
 """Scans of a repository written as texts, and the SQL that says the same of the tables it is written from.
 
-Files are sources whose text imports what their edges tell, in turn by relative paths, a tsconfig alias, the package's name (through ``exports`` in every
-second package) and ``#`` imports; two packages' manifests name a built file as their main one, and a script of a third names a source.
+Files are sources whose text imports what their edges tell, in turn by relative paths (every fifth with the ending of the built file), a tsconfig alias, the
+package's name (through ``exports`` in every second package) and ``#`` imports, or by a context that fits one file. Every fifth file is named by its manifest as a
+built file, two packages name another as their main one, and a script of a third names a source: about half of the files are reached.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ _PATH = "concat('pkgs/', {0}.package, '/src/f', {0}.file_id, '.ts')"
 _PATHS = f"p AS (SELECT f.file_id, f.package, {_PATH.format('f')} AS path FROM files f), "
 _EDGES = (
     _PATHS
-    + """x AS (SELECT a.path AS src, b.path AS dst, CASE kind WHEN 'RequireContext' THEN 'SideEffectImport' ELSE kind END AS kind
+    + """x AS (SELECT a.path AS src, b.path AS dst, kind
     FROM edges JOIN p a ON a.file_id = edges.src JOIN p b ON b.file_id = edges.dst), """
 )
-_ENTRIES = """en AS (SELECT path, 'package-main' AS kind, 'production' AS profile FROM p WHERE file_id IN (SELECT min(file_id) FROM files WHERE package IN ('brand-2', 'brand-3') GROUP BY package)
-    UNION ALL SELECT path, 'package-script', 'development' FROM p WHERE file_id = (SELECT max(file_id) FROM files WHERE package = 'brand-4')), """
+_MAIN = "(file_id % 5 = 0 OR file_id IN (SELECT min(file_id) FROM files WHERE package IN ('brand-2', 'brand-3') GROUP BY package))"
+_ENTRIES = f"""en AS (SELECT path, 'package-main' AS kind, 'production' AS profile FROM p WHERE {_MAIN}
+    UNION ALL SELECT path, 'package-script', 'development' FROM p WHERE file_id = (SELECT max(file_id) FROM files WHERE package = 'brand-4') AND NOT {_MAIN}), """
 _REACHED = "r(n) AS (SELECT path FROM en UNION SELECT x.dst FROM r JOIN x ON x.src = r.n), "
 _TABLES = ("files", "edges")
 
@@ -36,22 +38,23 @@ def texts(c: Canon) -> DataFrame:
     a, b = files.select(F.col("file_id").alias("__a"), F.col("package").alias("own")), files.select(F.col("file_id").alias("__b"), "package", "number")
     edges = c["edges"].join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b"))
     name, way = F.concat(F.lit("f"), F.col("dst").cast("string")), (F.col("src") + F.col("dst")) % 4
-    relative = F.concat(F.lit("../../"), "package", F.lit("/src/"), name)
+    relative = F.concat(F.lit("../../"), "package", F.lit("/src/"), name, F.when(F.col("dst") % 5 == 1, F.lit(".js")).otherwise(F.lit("")))
+    context = F.concat(F.lit("require.context('../../"), "package", F.lit("/src', false, /^\\.\\/"), name, F.lit("\\.ts$/);"))
     inside = F.concat(F.lit("@w/"), "package", F.when(F.col("number") % 2 == 0, "/s/").otherwise("/src/"), name)
     spec = F.when(way == 1, F.concat(F.lit("@/"), "package", F.lit("/src/"), name)).when(way == 2, inside).when((way == 3) & (F.col("own") == F.col("package")), F.concat(F.lit("#src/"), name)).otherwise(relative)
     said = lambda before, after: F.concat(F.lit(before), spec, F.lit(after))
     kind = F.col("kind")
-    line = F.when(kind == "StaticImportType", said("import type { T } from '", "';")).when(kind == "DynamicImport", said("const later = import('", "');")).when(kind == "RequireContext", said("import '", "';")).otherwise(said("import { a } from '", "';"))
+    line = F.when(kind == "StaticImportType", said("import type { T } from '", "';")).when(kind == "DynamicImport", said("const later = import('", "');")).when(kind == "RequireContext", context).otherwise(said("import { a } from '", "';"))
     bodies = edges.groupBy(F.col("src").alias("__s")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     sources = files.join(bodies, F.col("file_id") == F.col("__s"), "left").select(F.col("path").alias("rel_path"), F.concat_ws("\n", F.lit("// imports\n/* and exports */"), "body", F.lit(EXPORTED)).alias("text"))
-    ends = files.groupBy("package", "number").agg(F.min("file_id").alias("least"), F.max("file_id").alias("most"))
+    ends = files.groupBy("package", "number").agg(F.min("file_id").alias("least"), F.max("file_id").alias("most"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("file_id") % 5 == 0, F.format_string('"f%1$d": "./dist/esm/f%1$d.js"', "file_id")))), ", ").alias("bins"))
     main = F.when(F.col("package").isin("brand-2", "brand-3"), F.concat(F.lit(', "main": "./dist/esm/f'), "least", F.lit('.js"'))).otherwise("")
     script = F.when(F.col("package") == "brand-4", F.concat(F.lit(', "scripts": {"dev": "node --watch ./src/f'), "most", F.lit('.ts"}'))).otherwise("")
     exports = F.when(F.col("number") % 2 == 0, ', "exports": {"./s/*": {"import": "./src/*.ts"}}').otherwise("")
     # Exports make entry points of the files that they name; a pattern names none.
-    text = F.concat(F.lit('{"name": "@w/'), "package", F.lit('", "imports": {"#src/*": "./src/*.ts"}'), main, script, exports, F.lit("}"))
+    text = F.concat(F.lit('{"name": "@w/'), "package", F.lit('", "imports": {"#src/*": "./src/*.ts"}'), main, script, exports, F.lit(', "bin": {'), "bins", F.lit("}}"))
     packages = ends.select(F.concat(F.lit("pkgs/"), "package", F.lit("/package.json")).alias("rel_path"), text.alias("text"))
-    config = c.spark.createDataFrame([("package.json", '{"name": "all"}'), ("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./pkgs/*"]}, /* one alias */}}')], "rel_path string, text string")
+    config = c.spark.createDataFrame([("package.json", '{"name": "all", "workspaces": ["pkgs/*"]}'), ("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./pkgs/*"]}, /* one alias */}}')], "rel_path string, text string")
     return sources.unionByName(packages).unionByName(config)
 
 
@@ -71,22 +74,32 @@ def scan_unused_files(c: Canon) -> DataFrame:
     return Scan(texts(c)).unused_files().select("subject", "confidence")
 
 
-@query(_EDGES + _ENTRIES + _REACHED + """n(name, kind, code) AS (VALUES ('a', 'StaticImportValue', 'unused-export'), ('b', '-', 'unused-export'), ('T', 'StaticImportType', 'unused-type'))
-    SELECT code, concat(path, '#', name) AS subject FROM p CROSS JOIN n WHERE path IN (SELECT n FROM r) AND path NOT IN (SELECT path FROM en)
-      AND NOT EXISTS (SELECT 1 FROM x WHERE x.dst = path AND x.src IN (SELECT n FROM r) AND x.kind IN (n.kind, 'DynamicImport'))""", _TABLES)
+# What is left of a reached file's exports, and how sure it is: types are low, targets of contexts medium, the others high if nothing asks for the file.
+_EXPORTS = """n(name, kind) AS (VALUES ('a', 'StaticImportValue'), ('b', '-'), ('T', 'StaticImportType')),
+    ux AS (SELECT CASE name WHEN 'T' THEN 'unused-type' ELSE 'unused-export' END AS code, concat(path, '#', name) AS subject,
+        CASE WHEN name = 'T' THEN 'low' WHEN path IN (SELECT dst FROM x WHERE kind = 'RequireContext') THEN 'medium' WHEN path IN (SELECT dst FROM x WHERE src IN (SELECT n FROM r)) THEN 'medium' ELSE 'high' END AS confidence
+      FROM p CROSS JOIN n WHERE path IN (SELECT n FROM r) AND path NOT IN (SELECT path FROM en)
+        AND NOT EXISTS (SELECT 1 FROM x WHERE x.dst = path AND x.src IN (SELECT n FROM r) AND x.kind IN (n.kind, 'DynamicImport', 'RequireContext'))), """
+
+
+@query(_EDGES + _ENTRIES + _REACHED + _EXPORTS.rstrip(", ") + " SELECT code, subject, confidence FROM ux", _TABLES)
 def scan_unused_exports(c: Canon) -> DataFrame:
-    return Scan(texts(c)).unused_exports().select("code", "subject")
+    return Scan(texts(c)).unused_exports().select("code", "subject", "confidence")
+
+
+# Cycles: pairs that reach each other, and for each component the shortest walk from its least file back to it, of several the least.
+_CYCLES = """y AS (SELECT DISTINCT src, dst FROM x WHERE src <> dst), pr(a, b) AS (SELECT src, dst FROM y UNION SELECT pr.a, y.dst FROM pr JOIN y ON y.src = pr.b),
+    sc AS (SELECT u.a AS node, min(u.b) AS c FROM pr u JOIN pr v ON u.a = v.b AND u.b = v.a GROUP BY u.a),
+    ins AS (SELECT y.src, y.dst, s.c FROM y JOIN sc s ON s.node = y.src JOIN sc t ON t.node = y.dst AND t.c = s.c),
+    wk(c, n, l, w) AS (SELECT c, c, 0, [c] FROM (SELECT DISTINCT c FROM sc) UNION ALL SELECT c, dst, l + 1, min(w) FROM (SELECT wk.c, ins.dst, wk.l, list_append(wk.w, ins.dst) AS w FROM wk JOIN ins ON ins.c = wk.c AND ins.src = wk.n WHERE wk.l < 24 AND (wk.l = 0 OR wk.n <> wk.c)) GROUP BY c, dst, l),
+    cy AS (SELECT array_to_string(arg_min(w, l), ' -> ') AS subject FROM wk WHERE n = c AND l > 0 GROUP BY c), """
 
 
-@query(_EDGES + _ENTRIES + _REACHED + """n(name, kind) AS (VALUES ('a', 'StaticImportValue'), ('b', '-'), ('T', 'StaticImportType')),
-    f AS (SELECT 'unused-file' AS code, path AS subject FROM p WHERE path NOT IN (SELECT n FROM r) UNION ALL
-      SELECT CASE name WHEN 'T' THEN 'unused-type' ELSE 'unused-export' END, concat(path, '#', name) FROM p CROSS JOIN n WHERE path IN (SELECT n FROM r) AND path NOT IN (SELECT path FROM en)
-        AND NOT EXISTS (SELECT 1 FROM x WHERE x.dst = path AND x.src IN (SELECT n FROM r) AND x.kind IN (n.kind, 'DynamicImport')))
-    SELECT code, CASE code WHEN 'unused-file' THEN 'delete-file' ELSE 'delete-export' END AS remedy, count(*) AS findings FROM f GROUP BY 1, 2""", _TABLES)
+@query(_EDGES + _ENTRIES + _REACHED + _EXPORTS + _CYCLES.rstrip(", ") + """ SELECT 'unused-file' AS code, path AS subject, CASE WHEN path IN (SELECT dst FROM x) THEN 'medium' ELSE 'high' END AS confidence, 'delete-file' AS remedy FROM p WHERE path NOT IN (SELECT n FROM r)
+    UNION ALL SELECT code, subject, confidence, 'delete-export' FROM ux UNION ALL SELECT 'cycle', subject, 'high', 'break-cycle' FROM cy""", _TABLES)
 def scan_findings(c: Canon) -> DataFrame:
-    """A whole scan, less its cycles (``scc_users`` and ``cycle_lengths`` have their SQL)."""
-    found = Scan(texts(c)).findings.where("code <> 'cycle'")
-    return found.groupBy("code", "remedy").agg(F.count("*").alias("findings"))
+    """A whole scan: every finding with its confidence and remedy, cycles included."""
+    return Scan(texts(c)).findings.select("code", "subject", "confidence", "remedy")
 
 
 @query(_PATHS + """k AS (SELECT DISTINCT package, CAST(regexp_extract(package, '([0-9]+)$', 1) AS INT) AS n FROM files),

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import dependency_name
 from graphloom.functions.globs import any_glob
-from graphloom.sources.repo import without_comments
+from graphloom.sources.repo import STYLES, pnpm_packages, without_comments, workspace_globs
 
 # Configurations whose ``extends`` names packages, style sheets, and places of code owners' files in order.
 EXTENDING = ["tsconfig.json", "tsconfig.build.json", "tsconfig.app.json", "tsconfig.node.json", "tsconfig.lib.json"]
-STYLES = r"\.(css|scss|sass|less|styl)$"
 OWNER_FILES = ["CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS"]
 MARKERS = [".git", "pnpm-workspace.yaml", "package.json"]
 
@@ -45,6 +44,20 @@ def discovered(manifests: DataFrame, globs: list[str]) -> DataFrame:
     return manifests.where((F.col("root") == "") | inside).select("root", F.coalesce("name", "root").alias("workspace")).distinct()
 
 
+def declared_globs(rows: DataFrame) -> list[str]:
+    """The workspace globs that the repository itself names: those of pnpm, of the root manifest or of lerna."""
+    names = ["pnpm-workspace.yaml", "package.json", "lerna.json"]
+    found = {r["rel_path"]: r["text"] for r in rows.where(F.col("rel_path").isin(*names)).select("rel_path", "text").collect()}  # three rows at most
+
+    def listed(name: str, *keys: str) -> list[str]:
+        value = _json(found.get(name))
+        for key in keys:
+            value = value.get(key) if isinstance(value, dict) and key in value else value
+        return [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
+
+    return workspace_globs(pnpm_packages(found.get("pnpm-workspace.yaml") or ""), listed("package.json", "workspaces", "packages"), listed("lerna.json", "packages"))
+
+
 def owner_rules(rows: DataFrame) -> list[tuple[str, list[str]]]:
     """(pattern, owners) of the first code owners' file there is, of rows (rel_path, text)."""
     found = {r["rel_path"]: r["text"] for r in rows.where(F.col("rel_path").isin(*OWNER_FILES)).select("rel_path", "text").collect()}  # three rows at most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,76 @@ MANIFEST = "name string, version string, private boolean, main string, module st
 DEPENDENCY_MAPS = {"dependencies": "dependency", "devDependencies": "dev dependency", "peerDependencies": "peer dependency", "optionalDependencies": "optional dependency"}
 
 
+#: Names of which a walk reads contents.
+NAMES = "{*.ts,*.tsx,*.mts,*.cts,*.js,*.jsx,*.mjs,*.cjs,*.vue,*.svelte,*.astro,*.mdx,*.json,*.yaml,*.css,*.scss,*.sass,*.less,*.styl,CODEOWNERS,.gitignore}"
+
+
 def tracked(path: Column) -> Column:
     name = F.substring_index(path, "/", -1)
     return source_kind(path).isNotNull() | name.isin("package.json", "tsconfig.json", "tsconfig.base.json") | (name.endswith(".json") & (name.contains("config") | name.contains("schema")))
 
 
-def walk(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """Rows (rel_path, text) of a tree's tracked files."""
+# Files that are no sources, but tell of owners, styles, workspaces and what to leave out.
+AUXILIARY = ["CODEOWNERS", "pnpm-workspace.yaml", "lerna.json", "nx.json", "turbo.json", ".gitignore"]
+#: Hidden files that a walk looks for in every folder; others that are hidden, or lie in hidden folders, are no part of it.
+HIDDEN = (".gitignore", ".github/CODEOWNERS")
+STYLES = r"\.(css|scss|sass|less|styl)$"
+
+
+def auxiliary(path: Column) -> Column:
+    return F.substring_index(path, "/", -1).isin(*AUXILIARY) | path.rlike(STYLES)
+
+
+def hidden_files(spark: SparkSession, root: str, names: list[str], wanted: tuple[str, ...] = HIDDEN) -> list[tuple[str, str]]:
+    """(path, text) of the hidden files ``wanted`` in the folders above ``names``: rules for the walk itself, a few small files."""
+    base = root.rstrip("/")
+    cut = base.removeprefix("file://") + "/"
+    folders = {""}
+    for name in names:
+        at = name.rpartition(cut)[2].rpartition("/")[0]
+        while at and at not in folders:
+            folders.add(at)
+            at = at.rpartition("/")[0]
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = jvm.org.apache.hadoop.fs.Path
+    odd = {f for f in folders if re.search(r"[\\{}\[\]*?,^]", f)}  # a glob can't name these
+    plain, out = sorted(folders - odd), []
+    for file in wanted:
+        found = [at for f in sorted(odd) if fs.exists(at := path(f"{base}/{f}/{file}"))]
+        for k in range(0, len(plain), 200):
+            inside = ",".join(f"{f}/" if f else "./" for f in plain[k : k + 200])
+            found += [status.getPath() for status in fs.globStatus(path(f"{base}/{{{inside}}}{file}")) or []]
+        for at in found:
+            stream = fs.open(at)
+            out.append((at.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return sorted(set(out))
+
+
+def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, *, gitignore: bool = True) -> DataFrame:
+    """Rows (rel_path, text) of a tree's tracked and auxiliary files, less those that ``ignore`` or the tree's ``.gitignore`` files take out.
+
+    Only files of such names are listed with their contents; what is taken out is decided on paths and the texts of the ``.gitignore`` files.
+    """
     base = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", NAMES).load(root)
     rel = F.substring_index(F.col("path"), base.removeprefix("file://"), -1)
     rows = found.select(rel.alias("rel_path"), F.col("content").cast("string").alias("text"))
-    rows = rows.where(~F.col("rel_path").rlike(SKIPPED) & tracked(F.col("rel_path")))
-    return rows.where(~F.col("rel_path").rlike(any_glob(ignore))) if ignore else rows
+    # Spark reads no empty and no hidden files, but its own listing has the former, and tells the folders in which to look for the latter.
+    names = [unquote(f) for f in found.inputFiles()]
+    listed = spark.createDataFrame([(f,) for f in names], "path string").select(rel.alias("rel_path"))
+    rows = rows.unionByName(listed.join(rows.select("rel_path"), "rel_path", "left_anti").withColumn("text", F.lit("")))
+    hidden = hidden_files(spark, root, names)
+    rows = rows.unionByName(spark.createDataFrame(hidden, "path string, text string").select(rel.alias("rel_path"), "text"))
+    rows = rows.where(~F.col("rel_path").rlike(SKIPPED) & (tracked(F.col("rel_path")) | auxiliary(F.col("rel_path"))))
+    rows = rows.where(~F.col("rel_path").rlike(any_glob(ignore))) if ignore else rows
+    if gitignore:
+        from graphloom.sources.ignore import ignored, ignore_rules
+
+        out = ignored(rows.select("rel_path"), ignore_rules(rows.where(F.substring_index("rel_path", "/", -1) == ".gitignore")))
+        rows = rows.join(out, "rel_path", "left_anti")
+    return rows
 
 
 def inventory(rows: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def test_manifest_fields_are_entry_points(spark):
 
 def test_cascade(spark):
     files = {
-        "package.json": {"name": "root"}, "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./packages/a/src/*"], "@both/*": ["x/*"], /* c */ "exact": ["packages/b/index.ts"],}}}',
+        "package.json": {"name": "root", "workspaces": ["packages/*"]}, "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./packages/a/src/*"], "@both/*": ["x/*"], /* c */ "exact": ["packages/b/index.ts"],}}}',
         "packages/a/package.json": {"name": "@w/a", "imports": {"#s/*": "./src/*.ts", "#none": "./gone.ts"}, "browser": {"node-only": "./src/shim.ts"}},
         "packages/a/tsconfig.json": {"compilerOptions": {"paths": {"@both/*": ["./src/*"]}}},
         "packages/b/package.json": {"name": "@w/b", "exports": {".": "./index.ts", "./u/*": "./util/*.ts"}}, "packages/c/package.json": {"name": "plain", "main": "lib/start.ts"},
@@ -83,7 +83,7 @@ def test_cascade(spark):
 
 
 def test_dependencies(spark):
-    manifest = {"name": "app", "dependencies": {"used": "1", "idle": "1", "styled": "1", "@s/base": "1", "app2": "1"}, "devDependencies": {"vite": "1", "@types/node": "1", "idle-dev": "1"}, "peerDependencies": {"react": "1"}, "scripts": {"dev": "vite build"}}
+    manifest = {"name": "app", "workspaces": ["b"], "dependencies": {"used": "1", "idle": "1", "styled": "1", "@s/base": "1", "app2": "1"}, "devDependencies": {"vite": "1", "@types/node": "1", "idle-dev": "1"}, "peerDependencies": {"react": "1"}, "scripts": {"dev": "vite build"}}
     s = scan(spark, {"package.json": manifest, "b/package.json": {"name": "app2"}, "tsconfig.json": '{"extends": ["@s/base/tsconfig.json", "./own.json"]}', "src/main.ts": "import 'used/deep';\nimport fs from 'node:fs';\nimport path from 'path';\nimport x from 'missing';", "src/a.scss": "@use \"styled/x\";\n@import './local';\n@import 'https://x/y';"})
     assert found(s, "unused-dependency", "unlisted-dependency") == {("unused-dependency", "idle"), ("unused-dependency", "idle-dev"), ("unlisted-dependency", "missing")}
 
@@ -135,7 +135,7 @@ def test_sinks_and_empty(spark, tmp_path):
 
 
 def test_frameworks(spark):
-    files = {"package.json": {"name": "app", "devDependencies": {"vitest": "1"}}, "w/package.json": {"name": "w", "dependencies": {"next": "1"}}, "src/a.test.ts": "import './util';", "src/util.ts": "", "vitest.config.ts": "", "w/app/x/page.tsx": "", "w/lib/y.ts": "", "w/middleware.ts": ""}
+    files = {"package.json": {"name": "app", "workspaces": {"packages": ["w"]}, "devDependencies": {"vitest": "1"}}, "w/package.json": {"name": "w", "dependencies": {"next": "1"}}, "src/a.test.ts": "import './util';", "src/util.ts": "", "vitest.config.ts": "", "w/app/x/page.tsx": "", "w/lib/y.ts": "", "w/middleware.ts": ""}
     s = scan(spark, files)
     assert {(r["root"], r["framework"], r["confidence"]) for r in s.frameworks.collect()} == {("", "vitest", "exact"), ("w", "next", "heuristic")}
     assert {(r["path"], r["kind"], r["profile"]) for r in s.entries.collect()} == {("src/a.test.ts", "framework-pack", "development"), ("vitest.config.ts", "framework-pack", "development"), ("w/app/x/page.tsx", "framework-pack", "production"), ("w/middleware.ts", "framework-pack", "production")}
