@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import DEVELOPMENT, NOT_DEAD, dead_code_candidate, percent
 from graphloom.functions.globs import any_glob
-from graphloom.operators import analyzers, entrypoints, frameworks, graph, liveness, report, resolve, rules
+from graphloom.operators import adapters, analyzers, entrypoints, frameworks, graph, liveness, report, resolve, rules
 from graphloom.operators.tables import Rounds
 from graphloom.sources import config, repo
 from graphloom.sources.extract import extracted, script_entries
@@ -142,9 +142,16 @@ class Scan:
     def entries(self) -> DataFrame:
         scripts = self.manifests.select("root", F.explode("scripts").alias("script", "command"))
         named = script_entries(scripts.withColumnRenamed("root", "workspace")).withColumnRenamed("workspace", "root")
-        brought = frameworks.framework_entries(self.frameworks, self.files, packs=self.packs)
+        brought = frameworks.framework_entries(self.frameworks, self.files, packs=self.packs).select("path", "kind", "profile")
+        tools = self.config_inputs.where("kind in ('entry', 'setup')").select("root", F.regexp_replace("value", "^<rootDir>/", "").alias("file"), F.when(F.col("kind") == "entry", "production").otherwise("development").alias("profile"))
+        brought = brought.unionByName(entrypoints.with_sources(tools.distinct(), self.files).select("path", F.lit("framework-pack").alias("kind"), "profile"))
         return self.rounds.table(entrypoints.detected(self.files, self.manifests, named, include=list(self.include), frameworks=brought))
 
+    @cached_property
+    def config_inputs(self) -> DataFrame:
+        """(root, rel_path, tool, kind, key, value) of what configuration files of tools name."""
+        return self.rounds.table(adapters.config_inputs(self.rows))
+
     @cached_property
     def frameworks(self) -> DataFrame:
         """(root, framework, confidence, by_dependency, by_config) of the frameworks found."""
@@ -217,7 +224,8 @@ class Scan:
         styles = of(config.style_packages(self.rows).join(home, "rel_path"), True, False)
         commands = self.manifests.select("root", F.explode("scripts").alias("script", "command")).select("root", F.explode(F.split("command", r"[\s&|;]+")).alias("word"))
         run = of(self.declared.join(commands, "root").where("word <> '' and (dep = word or endswith(dep, concat('/', word)))"), True, True)
-        rows = reduce(DataFrame.unionByName, [code, styles, of(config.extended_packages(self.rows), False, True), run])
+        tools = of(adapters.packages(self.config_inputs), False, True)
+        rows = reduce(DataFrame.unionByName, [code, styles, of(config.extended_packages(self.rows), False, True), run, tools])
         return self.rounds.table(rows.groupBy("root", "dep").agg(F.bool_or("production").alias("production"), F.bool_or("development").alias("development")))
 
     @cached_property

@@ -27,9 +27,9 @@ def tracked(path: Column) -> Column:
 
 
 # Files that are no sources, but tell of owners, styles, workspaces and what to leave out.
-AUXILIARY = ["CODEOWNERS", "pnpm-workspace.yaml", "lerna.json", "nx.json", "turbo.json", ".gitignore"]
+AUXILIARY = ["CODEOWNERS", "pnpm-workspace.yaml", "lerna.json", "nx.json", "turbo.json", "angular.json", "project.json", "typedoc.json", "cypress.json", ".gitignore"]
 #: Hidden files that a walk looks for in every folder; others that are hidden, or lie in hidden folders, are no part of it.
-HIDDEN = (".gitignore", ".github/CODEOWNERS")
+HIDDEN = (".gitignore", ".github/CODEOWNERS", ".babelrc", ".babelrc.json", ".eslintrc", ".eslintrc.json", ".prettierrc", ".prettierrc.json", ".postcssrc.json", ".commitlintrc.json", ".lintstagedrc.json", ".swcrc", ".mocharc.json", ".parcelrc", ".changeset/config.json")
 STYLES = r"\.(css|scss|sass|less|styl)$"
 
 
@@ -79,7 +79,8 @@ def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, *, git
     rows = rows.unionByName(listed.join(rows.select("rel_path"), "rel_path", "left_anti").withColumn("text", F.lit("")))
     hidden = hidden_files(spark, root, names)
     rows = rows.unionByName(spark.createDataFrame(hidden, "path string, text string").select(rel.alias("rel_path"), "text"))
-    rows = rows.where(~F.col("rel_path").rlike(SKIPPED) & (tracked(F.col("rel_path")) | auxiliary(F.col("rel_path"))))
+    asked = tracked(F.col("rel_path")) | auxiliary(F.col("rel_path")) | F.substring_index("rel_path", "/", -1).isin([h.rpartition("/")[2] for h in HIDDEN])
+    rows = rows.where(~F.col("rel_path").rlike(SKIPPED) & asked)
     rows = rows.where(~F.col("rel_path").rlike(any_glob(ignore))) if ignore else rows
     if gitignore:
         from graphloom.sources.ignore import ignored, ignore_rules
