@@ -12,6 +12,7 @@ from graphloom.plans.scan_queries import texts
 from graphloom.sources.extract import extracted
 from graphloom.sources.ignore import ignore_rules, ignored
 from graphloom.sources.projections import Canon
+from graphloom.streaming.debounce import GENERATIONS, rebuild_when_quiet
 
 _RT = ("files", "edges")
 
@@ -69,3 +70,23 @@ def config_adapters(c: Canon) -> DataFrame:
     manifest = own.select(F.concat(root, F.lit("/package.json")).alias("rel_path"), F.to_json(F.struct(jest.alias("jest"), babel.alias("babel"), tsup.alias("tsup"))).alias("text"))
     mocha = own.where(even).select(F.concat(root, F.lit("/.mocharc.json")).alias("rel_path"), F.concat(F.lit("// tests\n"), F.to_json(F.struct(F.col("tests").alias("spec")))).alias("text"))
     return adapters.config_inputs(manifest.unionByName(mocha)).select("root", "tool", "kind", "value")
+
+
+@query("""SELECT root, generation, started, ended, paths FROM (
+      SELECT root, generation, min(m) AS started, max(m) AS ended, count(DISTINCT event_type) AS paths, max(now) AS now FROM (
+        SELECT *, CAST(sum(begins) OVER (PARTITION BY root ORDER BY m) AS BIGINT) AS generation FROM (
+          SELECT *, CASE WHEN m - lag(m) OVER (PARTITION BY root ORDER BY m) < 1200000000 THEN 0 ELSE 1 END AS begins, max(m // 1000) OVER () - 3600000 AS now
+          FROM (SELECT concat('repo-', user_id % 7) AS root, event_type, epoch_us(ts) AS m FROM events WHERE event_type <> 'purchase'))) GROUP BY root, generation)
+    WHERE (ended + 999) // 1000 + 1200000 <= now""")
+def change_generations(c: Canon) -> DataFrame:
+    """Events as a stream of changes of seven repositories: those that twenty quiet minutes have ended, as generations; an hour may be out of order."""
+    names = {"error": "a/package.json", "click": "tsconfig.base.json", "view": "src/a.ts", "signup": "CODEOWNERS", "purchase": "notes.txt"}
+    path = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+    events = c.spark.readStream.schema(c.read("events").schema).parquet(f"{c.sf_dir}/events*.parquet")
+    # Micros since 1970, whatever zone the session has.
+    at = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)))")
+    changes = events.select(F.concat(F.lit("repo-"), (F.col("user_id") % 7).cast("string")).alias("root"), path.alias("path"), at.alias("ts"))
+    root = Rounds(c.spark).root
+    rebuild_when_quiet(changes, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/generations/batch={n}"), f"{root}/stream", quiet_ms=1_200_000, late="1 hour").awaitTermination()
+    rows = c.spark.read.schema(GENERATIONS).parquet(f"{root}/generations")
+    return rows.groupBy("root", "generation", "started", "ended").agg(F.countDistinct("path").alias("paths"))
