@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.columns import dependency_name, unresolved_reason
 from graphloom.functions.globs import glob_regex
 from graphloom.operators.manifests import looked_up, manifest_maps, subpath
+from graphloom.operators.paths import canonical_paths
 
 # What is tried after a path, in order.
 SUFFIXES = ["", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".mdx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -62,13 +63,14 @@ def resolved(specifiers: DataFrame, files: DataFrame, *, aliases: list[tuple[str
 ORIGINS = ["Manifest", "SubpathImports", "BrowserField", "TsconfigPaths", "Vite", "Webpack", "Babel", "FrameworkGenerated"]
 
 
-def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, aliases: DataFrame, *, externals: list[str] = (), ignored: list[str] = ()) -> DataFrame:
+def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, aliases: DataFrame, *, externals: list[str] = (), ignored: list[str] = (), links: DataFrame | None = None) -> DataFrame:
     """``specifiers`` (src, specifier, root) with (dst_file, dst_dep, origin, outcome, reason).
 
     root is the folder of the source's workspace. files: rel_path. manifests: root, name, main, exports, imports, browser. aliases: prefix, target, scope, origin.
     Every strategy makes candidate paths by equi joins, each is tried with every suffix, and the first that exists wins: aliases by origin, then by length, the
     ``#`` imports of the own manifest, paths relative to the source, the browser map, and packages of the repository (only through ``exports``
-    where they have any). What none finds and is bare is a dependency, unless it is of a package whose ``exports`` lacks it.
+    where they have any). What none finds and is bare is a dependency, unless it is of a package whose ``exports`` lacks it. links: path, target of
+    symbolic links: a candidate is also tried where its path leads through them, after the path as it stands.
     """
     spec, rank = F.col("specifier"), F.create_map(*[x for i, o in enumerate(ORIGINS) for x in (F.lit(o), F.lit(i))])
     rows = specifiers.select("src", "specifier", "root").distinct()
@@ -91,9 +93,16 @@ def cascade(specifiers: DataFrame, files: DataFrame, manifests: DataFrame, alias
     plain = F.when(F.col("specifier") == ".", F.coalesce("main", F.lit(""))).otherwise(F.col("specifier"))
     inside = shown.select("src", F.col("asked").alias("specifier"), own(F.lit(40), under(F.col("workspace"), F.when(F.col("closed"), F.col("target")).otherwise(plain)), F.lit("Manifest")).alias("c"), (F.col("closed") & ~F.col("defined")).alias("miss"))
     tried = reduce(DataFrame.unionByName, [by_alias, subpaths, near, shims, inside.where("not miss").drop("miss")]).where("c.base is not null")
-    paths = tried.select("src", "specifier", "c.order", "c.origin", F.posexplode(probes(normalised(F.col("c.base")))).alias("probe", "path"))
+    bases = tried.select("src", "specifier", "c.order", "c.origin", normalised(F.col("c.base")).alias("base"), F.lit(0).alias("led"))
+    if links is not None:
+        led = canonical_paths(bases.select(F.col("base").alias("path")), links).where("outcome = 'linked'")
+        bases = bases.unionByName(bases.join(led, F.col("base") == F.col("path")).select("src", "specifier", "order", "origin", F.col("canonical").alias("base"), F.lit(1).alias("led")))
+    paths = bases.select("src", "specifier", "order", "origin", "led", F.posexplode(probes(F.col("base"))).alias("probe", "path"))
+    if links is not None:  # what is tried may itself be a link to a file
+        ends = canonical_paths(links.select("path"), links).where("outcome = 'linked'").select("path", "canonical")
+        paths = paths.unionByName(paths.join(ends, "path").select("src", "specifier", "order", "origin", F.lit(1).alias("led"), "probe", F.col("canonical").alias("path")))
     hits = paths.join(files.select(F.col("rel_path").alias("path")).distinct(), "path")
-    best = hits.groupBy(F.col("src").alias("__s"), F.col("specifier").alias("__p")).agg(F.min_by(F.struct("path", "origin"), F.struct("order", "probe", "path")).alias("__hit"))
+    best = hits.groupBy(F.col("src").alias("__s"), F.col("specifier").alias("__p")).agg(F.min_by(F.struct("path", "origin"), F.struct("order", "led", "probe", "path")).alias("__hit"))
     missed = inside.where("miss").select(F.col("src").alias("__ms"), F.col("specifier").alias("__mp")).distinct()
     out = rows.join(best, (F.col("src") == F.col("__s")) & (spec == F.col("__p")), "left").join(missed, (F.col("src") == F.col("__ms")) & (spec == F.col("__mp")), "left")
     file = F.col("__hit.path")

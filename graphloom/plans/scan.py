@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import DEVELOPMENT, NOT_DEAD, dead_code_candidate, percent
 from graphloom.functions.globs import any_glob
-from graphloom.operators import adapters, analyzers, entrypoints, frameworks, graph, liveness, report, resolve, rules
+from graphloom.operators import adapters, analyzers, chains, entrypoints, frameworks, graph, liveness, paths, report, resolve, rules
 from graphloom.operators.tables import Rounds
 from graphloom.sources import config, repo
 from graphloom.sources.extract import extracted, script_entries
@@ -48,6 +48,8 @@ class Scan:
     packs: tuple[frameworks.Pack, ...] = frameworks.PACKS
     toggles: dict[str, str] = field(default_factory=dict)
     glob_cap: int = 500
+    #: Symbolic links (path, target) that imports may pass, see ``repo.symlinks``.
+    symlinks: DataFrame | None = None
 
     @cached_property
     def rounds(self) -> Rounds:
@@ -99,7 +101,7 @@ class Scan:
     @cached_property
     def resolutions(self) -> DataFrame:
         asked = self.specifiers.join(self.files.select(F.col("rel_path").alias("src"), "root"), "src")
-        return self.rounds.table(resolve.cascade(asked, self.files, self.manifests, self.aliases, externals=list(self.externals)))
+        return self.rounds.table(resolve.cascade(asked, self.files, self.manifests, self.aliases, externals=list(self.externals), links=self.symlinks))
 
     @cached_property
     def expanded(self) -> DataFrame:
@@ -195,6 +197,19 @@ class Scan:
         spaces = reads.join(through, ["__i", "alias"]).select("file", F.col("exported").alias("alias"), "member").distinct()
         return liveness.demand(reduce(DataFrame.unionByName, [named, whole, typed]), passed, self.reached.withColumnRenamed("node", "file"), None if self.include_entry_exports else self.seeds.withColumnRenamed("node", "file"), spaces)
 
+    @cached_property
+    def origins(self) -> DataFrame:
+        """(file, name, origin, original, hops, cyclic) of names that files pass on, from another module at once or as an import that they export."""
+        there = self.links.where("dst_file is not null")
+        passed = there.where("kind = 'reexport'").select(F.col("src").alias("reexporter"), F.col("dst_file").alias("source"), F.col("name").alias("original"), F.col("local").alias("exported"))
+        shown = self.facts.where("kind = 'export' and local is not null").select(F.col("src").alias("reexporter"), F.col("name").alias("exported"), "local")
+        taken = there.where("kind = 'import'").select(F.col("src").alias("reexporter"), F.col("dst_file").alias("source"), F.col("name").alias("original"), "local")
+        return self.rounds.table(chains.export_origins(passed.unionByName(taken.join(shown, ["reexporter", "local"]).select(*passed.columns))))
+
+    def find(self, *names: str) -> DataFrame:
+        """(query, rel_path): the file that each name means, by its path or the end of it."""
+        return paths.suffix_lookup(self.rows.sparkSession.createDataFrame([(n,) for n in names], "query string"), self.files)
+
     @cached_property
     def pressure(self) -> DataFrame:
         """(file_id, unresolved, resolved) specifiers of each file; those that can't be resolved by their nature don't count."""
@@ -385,11 +400,15 @@ class Scan:
         return report.counts(self.findings).crossJoin(total).crossJoin(sizes)  # one row each
 
     def explain(self, name: str) -> tuple[DataFrame, DataFrame]:
-        """For a finding's id or subject, or a file: the shortest path from an entry point to its file, and the findings of that file."""
+        """For a finding's id or subject, or a file (by its path or the end of it): the shortest path from an entry point to its file, and the findings of that file."""
         named = self.findings.where((F.col("id") == name) | (F.col("subject") == name) | F.col("subject").startswith(name + "#"))
-        paths = named.select(report.subject_path(F.col("subject")).alias("node")).unionByName(self.files.where(F.col("rel_path") == name).select(F.col("rel_path").alias("node"))).distinct()
-        proof = graph.shortest_proofs(self.file_edges, self.seeds).join(paths, "node", "left_semi")
-        related = self.findings.join(paths, report.subject_path(F.col("subject")) == F.col("node"), "left_semi")
+        meant = self.rounds.table(named.select(report.subject_path(F.col("subject")).alias("node")).distinct())
+        if meant.isEmpty():
+            meant = self.find(name).where("rel_path is not null").select(F.col("rel_path").alias("node"))
+        else:
+            meant = meant.unionByName(self.files.where(F.col("rel_path") == name).select(F.col("rel_path").alias("node"))).distinct()
+        proof = graph.shortest_proofs(self.file_edges, self.seeds).join(meant, "node", "left_semi")
+        related = self.findings.join(meant, report.subject_path(F.col("subject")) == F.col("node"), "left_semi")
         return proof, related
 
     def dot(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from urllib.parse import unquote
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import file_role, source_kind
 from graphloom.functions.globs import any_glob
+from graphloom.operators.paths import canonical_paths
 
 SKIPPED = r"(^|/)(\.git|node_modules|target)/"
 MANIFEST = "name string, version string, private boolean, main string, module string, types string, typings string, bin string, browser string, workspaces string, exports string, imports string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>"
@@ -64,10 +66,24 @@ def hidden_files(spark: SparkSession, root: str, names: list[str], wanted: tuple
     return sorted(set(out))
 
 
-def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, *, gitignore: bool = True) -> DataFrame:
+def symlinks(spark: SparkSession, root: str) -> DataFrame:
+    """(path, target) of the symbolic links below a mounted folder, not followed; targets within the folder are relative to it or to their link. Object stores have none."""
+    base = os.path.realpath(root.removeprefix("file://"))
+    out = []
+    for folder, folders, names in os.walk(base):
+        for at in (os.path.join(folder, n) for n in [*folders, *names]):
+            if os.path.islink(at):
+                to, rel = os.readlink(at), os.path.relpath(at, base)
+                inside = os.path.isabs(to) and os.path.commonpath([base, os.path.normpath(to)]) == base
+                out.append((rel, os.path.relpath(to, os.path.dirname(at)) if inside else to))
+    return spark.createDataFrame(sorted(out), "path string, target string")
+
+
+def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, *, gitignore: bool = True, links: DataFrame | None = None) -> DataFrame:
     """Rows (rel_path, text) of a tree's tracked and auxiliary files, less those that ``ignore`` or the tree's ``.gitignore`` files take out.
 
     Only files of such names are listed with their contents; what is taken out is decided on paths and the texts of the ``.gitignore`` files.
+    Spark's listing follows links: with ``links`` (see ``symlinks``), what it found through them is left out, as it is another path of something else.
     """
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", NAMES).load(root)
@@ -82,6 +98,8 @@ def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, *, git
     asked = tracked(F.col("rel_path")) | auxiliary(F.col("rel_path")) | F.substring_index("rel_path", "/", -1).isin([h.rpartition("/")[2] for h in HIDDEN])
     rows = rows.where(~F.col("rel_path").rlike(SKIPPED) & asked)
     rows = rows.where(~F.col("rel_path").rlike(any_glob(ignore))) if ignore else rows
+    if links is not None:
+        rows = rows.join(canonical_paths(rows.select(F.col("rel_path").alias("path")), links).where("outcome <> 'plain'"), F.col("rel_path") == F.col("path"), "left_anti")
     if gitignore:
         from graphloom.sources.ignore import ignored, ignore_rules
 
