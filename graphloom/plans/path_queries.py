@@ -1,11 +1,11 @@
-"""Queries of paths and chains: origins of re-exported names, lookup by suffix, links, folders that changed."""
+"""Queries of paths, chains and expectations: origins of re-exported names, lookup by suffix, links, folders that changed, findings against what was expected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import chains, paths
+from graphloom.operators import chains, expectations, paths
 from graphloom.plans.queries import query
 from graphloom.sources.projections import Canon
 
@@ -75,3 +75,33 @@ def folder_changes(c: Canon) -> DataFrame:
     """Folders that differ after some files have changed, gone, and become folders."""
     sql = lambda text: c.spark.sql(text.replace("AS VARCHAR", "AS STRING").replace("FROM files", "FROM {files}"), files=c["files"])
     return paths.changed_folders(sql(_BEFORE), sql(_AFTER))
+
+
+_FOUND = "SELECT workspace AS case, 'unused-file' AS code, rel_path AS subject FROM files WHERE file_id % 3 <> 0 UNION ALL SELECT workspace, 'unused-file', rel_path FROM files WHERE file_id % 10 = 0"
+_WANTED = """SELECT workspace AS case, 'unused-file' AS code, rel_path AS subject FROM files WHERE file_id % 4 = 0 UNION ALL SELECT workspace, 'unused-file', rel_path FROM files WHERE file_id % 20 = 0
+    UNION ALL SELECT workspace, 'unused-file', concat(workspace, '/src/', package, '/*') FROM files WHERE file_id % 3 = 1 UNION ALL SELECT workspace, 'unused-file', '*' FROM files WHERE file_id % 5 = 0"""
+
+
+@query(f"""fo AS (SELECT "case", subject, count(*) AS n FROM ({_FOUND.replace(" case,", ' "case",')}) GROUP BY ALL), ex AS (SELECT "case", subject, count(*) AS n FROM ({_WANTED.replace(" case,", ' "case",')}) GROUP BY ALL),
+    e1 AS (SELECT coalesce(fo."case", ex."case") AS c, coalesce(fo.subject, ex.subject) AS s, coalesce(fo.n, 0) AS f, coalesce(ex.n, 0) AS e, least(f, e) AS met
+      FROM fo FULL JOIN (SELECT * FROM ex WHERE NOT contains(subject, '*')) ex ON fo."case" = ex."case" AND fo.subject = ex.subject),
+    l1 AS (SELECT c, regexp_replace(s, '/[^/]*$', '') AS d, sum(f - met) AS f FROM e1 GROUP BY ALL),
+    e2 AS (SELECT coalesce(c, "case") AS c, coalesce(f, 0) AS f, coalesce(n, 0) AS e, least(coalesce(f, 0), coalesce(n, 0)) AS met FROM l1 FULL JOIN (SELECT "case", left(subject, -2) AS folder, n FROM ex WHERE ends_with(subject, '/*')) w ON c = "case" AND d = folder),
+    l2 AS (SELECT c, sum(f - met) AS f FROM e2 GROUP BY c), e3 AS (SELECT c, f, coalesce(n, 0) AS e, least(f, coalesce(n, 0)) AS met FROM l2 LEFT JOIN (SELECT * FROM ex WHERE subject = '*') a ON c = "case"),
+    t AS (SELECT c, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(met) AS BIGINT) AS met FROM (SELECT c, e, met FROM e1 UNION ALL SELECT c, e, met FROM e2 UNION ALL SELECT c, e, met FROM e3) GROUP BY c),
+    x AS (SELECT c, CAST(f - met AS BIGINT) AS extra FROM e3)
+    SELECT t.c AS family, expected, met, expected - met AS missed, extra, round(100 * (0.7::DOUBLE * CASE WHEN expected > 0 THEN met / expected ELSE 1 END + 0.3::DOUBLE * CASE WHEN met + extra > 0 THEN met / (met + extra) ELSE 1 END), 4) AS score FROM t JOIN x ON x.c = t.c""", ("files",))
+def expected_findings(c: Canon) -> DataFrame:
+    """Findings against expectations of each workspace: some twice, some for a folder, some for anything."""
+    rows = lambda text: c.spark.sql(text.replace("FROM files", "FROM {files}"), files=c["files"])
+    return expectations.case_scores(*expectations.matched(rows(_WANTED), rows(_FOUND))).withColumnRenamed("case", "family")
+
+
+@query("""m AS (SELECT family, tool, CASE count(*) % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'partial' ELSE 'unsupported' END AS level, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) > 0.8 AS passed FROM parity GROUP BY family, tool)
+    SELECT family, upper(replace(tool, '-', '.')) AS name, level, passed, CASE WHEN level = 'supported' THEN NOT passed ELSE passed END AS stale FROM m""", ("parity",))
+def stale_claims(c: Canon) -> DataFrame:
+    """What is claimed of each tool's cases in a family against what they do; results write the tools' names their own way."""
+    share = F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)) > 0.8
+    cases = c["parity"].groupBy("family", F.col("tool").alias("name")).agg((F.count("*") % 3).alias("k"), share.alias("passed"))
+    level = F.when(F.col("k") == 0, "supported").when(F.col("k") == 1, "partial").otherwise("unsupported")
+    return expectations.stale_claims(cases.select("family", "name", level.alias("level")), cases.select("family", F.upper(F.translate("name", "-", ".")).alias("name"), "passed"))
