@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import DEVELOPMENT, NOT_DEAD, dead_code_candidate, percent
 from graphloom.functions.globs import any_glob
-from graphloom.operators import adapters, analyzers, chains, entrypoints, frameworks, graph, liveness, paths, report, resolve, rules
+from graphloom.operators import adapters, analyzers, chains, commands, entrypoints, exemptions, frameworks, graph, liveness, paths, report, resolve, rules
 from graphloom.operators.tables import Rounds
 from graphloom.sources import config, repo
-from graphloom.sources.extract import extracted, script_entries
+from graphloom.sources.extract import extracted
 from graphloom.sources.members import member_facts
 
 # The kind of edge that a fact makes (others are their own kind), and facts that use a module as a whole.
@@ -140,10 +140,14 @@ class Scan:
     def file_edges(self) -> DataFrame:
         return self.edges.where("dst not like 'ext:%'")
 
+    @cached_property
+    def commands(self) -> DataFrame:
+        """(root, script, command, programs, modules, arguments) of the simple commands of manifests' scripts."""
+        return self.rounds.table(commands.simple_commands(self.manifests.select("root", F.explode("scripts").alias("script", "command"))))
+
     @cached_property
     def entries(self) -> DataFrame:
-        scripts = self.manifests.select("root", F.explode("scripts").alias("script", "command"))
-        named = script_entries(scripts.withColumnRenamed("root", "workspace")).withColumnRenamed("workspace", "root")
+        named = commands.command_files(self.commands)
         brought = frameworks.framework_entries(self.frameworks, self.files, packs=self.packs).select("path", "kind", "profile")
         tools = self.config_inputs.where("kind in ('entry', 'setup')").select("root", F.regexp_replace("value", "^<rootDir>/", "").alias("file"), F.when(F.col("kind") == "entry", "production").otherwise("development").alias("profile"))
         brought = brought.unionByName(entrypoints.with_sources(tools.distinct(), self.files).select("path", F.lit("framework-pack").alias("kind"), "profile"))
@@ -237,8 +241,7 @@ class Scan:
         home = repo.inventory(self.rows.select("rel_path"), self.workspaces).select("rel_path", "workspace").join(self.workspaces, "workspace").select("rel_path", "root")
         of = lambda rows, production, development: rows.select("root", "dep", F.lit(production).alias("production"), F.lit(development).alias("development"))
         styles = of(config.style_packages(self.rows).join(home, "rel_path"), True, False)
-        commands = self.manifests.select("root", F.explode("scripts").alias("script", "command")).select("root", F.explode(F.split("command", r"[\s&|;]+")).alias("word"))
-        run = of(self.declared.join(commands, "root").where("word <> '' and (dep = word or endswith(dep, concat('/', word)))"), True, True)
+        run = of(commands.command_packages(self.commands, self.declared), True, True)
         tools = of(adapters.packages(self.config_inputs), False, True)
         rows = reduce(DataFrame.unionByName, [code, styles, of(config.extended_packages(self.rows), False, True), run, tools])
         return self.rounds.table(rows.groupBy("root", "dep").agg(F.bool_or("production").alias("production"), F.bool_or("development").alias("development")))
@@ -293,8 +296,8 @@ class Scan:
         else:
             declared_now, used_now = declared, used.where("production or development")
         names = self.manifests.where("name is not null").select(F.col("name").alias("dep")).distinct()
-        typed = F.col("dep").like("@types/%")
-        unused = analyzers.unused_dependencies(declared_now.where(~typed & (F.col("dep_kind") != "peer dependency")), used_now, names)
+        free = exemptions.exempt(self.declared).withColumnRenamed("root", "workspace")
+        unused = analyzers.unused_dependencies(declared_now.join(free, ["workspace", "dep"], "left_anti"), used_now, names)
         home = self.files.select(F.col("rel_path").alias("file_id"), F.col("root").alias("workspace"))
         lost = self.pressure.join(home, "file_id").groupBy("workspace").agg(F.sum("unresolved").alias("unresolved"))
         scripts = self.entries.join(home, F.col("path") == F.col("file_id")).groupBy("workspace").agg(F.bool_and(F.col("kind") == "package-script").alias("only_scripts"))

@@ -136,10 +136,3 @@ def extracted(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rel_path", "kind", "specifier", "name", "local", "is_type", "line"])
 
     return files.select("rel_path", "text").mapInArrow(run, f"rel_path string, {FACT}")
-
-
-def script_entries(scripts: DataFrame) -> DataFrame:
-    """Rows (workspace, script, path, profile) of files that script commands name. scripts: workspace, script, command."""
-    words = scripts.select("workspace", "script", F.explode(F.split("command", r"[\s&|;]+")).alias("path"))
-    dev = F.col("script").rlike(r"^(dev|test|lint|storybook|watch)")
-    return words.where(F.col("path").rlike(r"^[\w./-]+\.[cm]?[tj]sx?$")).select("workspace", "script", F.regexp_replace("path", r"^\./", "").alias("path"), F.when(dev, "development").otherwise("production").alias("profile"))

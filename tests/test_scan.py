@@ -85,7 +85,7 @@ def test_cascade(spark):
 def test_dependencies(spark):
     manifest = {"name": "app", "workspaces": ["b"], "dependencies": {"used": "1", "idle": "1", "styled": "1", "@s/base": "1", "app2": "1"}, "devDependencies": {"vite": "1", "@types/node": "1", "idle-dev": "1"}, "peerDependencies": {"react": "1"}, "scripts": {"dev": "vite build"}}
     s = scan(spark, {"package.json": manifest, "b/package.json": {"name": "app2"}, "tsconfig.json": '{"extends": ["@s/base/tsconfig.json", "./own.json"]}', "src/main.ts": "import 'used/deep';\nimport fs from 'node:fs';\nimport path from 'path';\nimport x from 'missing';", "src/a.scss": "@use \"styled/x\";\n@import './local';\n@import 'https://x/y';"})
-    assert found(s, "unused-dependency", "unlisted-dependency") == {("unused-dependency", "idle"), ("unused-dependency", "idle-dev"), ("unlisted-dependency", "missing")}
+    assert found(s, "unused-dependency", "unlisted-dependency") == {("unused-dependency", "idle"), ("unused-dependency", "idle-dev"), ("unused-dependency", "react"), ("unlisted-dependency", "missing")}
 
 
 def test_cycles_rules_and_owners(spark):
