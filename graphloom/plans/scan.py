@@ -161,7 +161,9 @@ class Scan:
     @cached_property
     def frameworks(self) -> DataFrame:
         """(root, framework, confidence, by_dependency, by_config) of the frameworks found."""
-        return self.rounds.table(frameworks.detections(self.files, self.manifests, packs=self.packs, toggles=self.toggles))
+        own = repo.inventory(self.rows.select("rel_path"), self.workspaces).select("rel_path", F.col("workspace").alias("__w"))
+        every = own.join(self.workspaces.select(F.col("workspace").alias("__w"), "root"), "__w", "left").withColumn("root", F.coalesce("root", F.lit("")))  # configurations in JSON too
+        return self.rounds.table(frameworks.detections(every, self.manifests, packs=self.packs, toggles=self.toggles))
 
     @cached_property
     def seeds(self) -> DataFrame:
