@@ -120,6 +120,39 @@ def framework_files(c: Canon) -> DataFrame:
     return found.join(entries.groupBy("root").agg(F.count("*").alias("entries")), "root").select("root", "confidence", "entries")
 
 
+# A pack, its dependency, a file that tells of it, an entry point of it, and what its dependency alone and the file alone mean.
+_PACKED = [
+    ("remix", "@remix-run/dev", "app/x.ts", "app/entry.server.tsx", "exact", None), ("nx", "nx", "nx.json", None, "heuristic", "heuristic"), ("turborepo", "turbo", "turbo.json", None, "heuristic", "heuristic"),
+    ("angular", "@angular/core", "angular.json", "src/polyfills.ts", "heuristic", "heuristic"), ("rspack", "@rspack/core", "rspack.config.cjs", "src/index.tsx", "heuristic", "heuristic"),
+    ("rsbuild", "@rsbuild/core", "rsbuild.config.mts", "src/index.js", "heuristic", "heuristic"), ("rollup", "rollup", "rollup.config.ts", "src/index.ts", "heuristic", "heuristic"),
+    ("gatsby", "gatsby", "gatsby-config.js", "gatsby-node.mjs", "heuristic", "heuristic"), ("playwright", "@playwright/test", "playwright.config.ts", "e2e/a/b.spec.ts", "heuristic", "heuristic"),
+    ("cypress", "cypress", "cypress.config.js", "cypress/e2e/a/b.ts", "heuristic", "heuristic"), ("vitepress", "vitepress", ".vitepress/config.ts", ".vitepress/theme/a/b.vue", "heuristic", "heuristic"),
+    ("docusaurus", "@docusaurus/core", "docusaurus.config.js", "src/theme/a/b.tsx", "heuristic", "heuristic"), ("trigger-dev", "@trigger.dev/sdk", "trigger.config.mts", "trigger/a/b.ts", "heuristic", "heuristic"),
+    ("file-routing", "expo-router", "app/routes/a.tsx", "src/router.js", "exact", None),
+]
+
+
+def _pick(i: int) -> str:
+    return f"CASE p_size % {len(_PACKED)} " + " ".join(f"WHEN {k} THEN " + ("NULL" if row[i] is None else f"'{row[i]}'") for k, row in enumerate(_PACKED)) + " END"
+
+
+# Every file is a workspace: its dependency by one digit of its number, its configuration by another; the entry point is always there.
+_WORKSPACES = f"""SELECT concat('w/f', file_id) AS root, {_pick(0)} AS framework, {_pick(1)} AS dep, {_pick(2)} AS config, {_pick(3)} AS entry, {_pick(4)} AS by_dep, {_pick(5)} AS by_config,
+    file_id % 3 <> 0 AS has_dep, file_id % 2 = 0 AS has_config FROM"""
+
+
+@query(f"""w AS ({_WORKSPACES} files), d AS (SELECT *, CASE WHEN has_dep AND has_config THEN 'exact' WHEN has_dep THEN by_dep WHEN has_config THEN by_config END AS confidence FROM w)
+    SELECT root, framework, confidence, array_to_string(list_sort([f FOR f IN [entry, CASE WHEN has_config AND framework NOT IN ('nx', 'turborepo', 'angular', 'remix') THEN config END] IF f IS NOT NULL]), ' ') AS entries FROM d WHERE confidence IS NOT NULL""", ("files",))
+def framework_packs(c: Canon) -> DataFrame:
+    """Workspaces by pack, found by a dependency, a configuration or both, with the entry points that the pack brings."""
+    rows = c.spark.sql(_WORKSPACES + " {files}", files=c["files"])
+    files = rows.select("root", F.explode(F.array_compact(F.array("entry", F.when(F.col("has_config"), F.col("config"))))).alias("file")).select("root", F.concat_ws("/", "root", "file").alias("rel_path"))
+    maps = F.when(F.col("has_dep"), F.create_map("dep", F.lit("1")))
+    found = frameworks.detections(files, rows.select("root", F.lit(None).cast("map<string,string>").alias("dependencies"), maps.alias("devDependencies")))
+    brought = frameworks.framework_entries(found, files).select(F.regexp_extract("path", "^w/[^/]+", 0).alias("root"), "framework", F.regexp_replace("path", "^w/[^/]+/", "").alias("file"))
+    return found.join(brought, ["root", "framework"], "left").groupBy("root", "framework", "confidence").agg(F.array_join(F.array_sort(F.collect_set("file")), " ").alias("entries"))
+
+
 @query(_OWNED + "z AS (SELECT split_part(rel_path, '/', 1) AS directory, count(*) AS files FROM owned WHERE owner IS NULL AND contains(rel_path, '/') GROUP BY 1 HAVING count(*) >= 3) SELECT * FROM z", ("files",))
 def unowned_directories(c: Canon) -> DataFrame:
     return governance.unowned_directories(_owned(c))
