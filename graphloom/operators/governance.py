@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import directory
@@ -60,6 +62,59 @@ def hotspots(edges: DataFrame, files: DataFrame, *, n: int = HOTSPOTS) -> DataFr
     return first.withColumn("rank", F.row_number().over(Window.orderBy((F.col("fan_in") + F.col("fan_out")).desc(), F.col("cross_package").desc(), "file_id")))
 
 
+def team_hotspots(edges: DataFrame, files: DataFrame, *, n: int = HOTSPOTS) -> DataFrame:
+    """The files with most import edges, seen by their owners: (file_id, fan_in, fan_out, cross_package, cross_owner, teams, advice, rank). files: file_id, package, owner.
+
+    An edge crosses owners where both ends have one and they differ; teams are the owners of a file and of its neighbours, sorted. ``advice`` tells what stands out first:
+    ``share-ownership``, ``extract-package``, ``define-surface`` (fan-in), ``split`` (fan-out) or ``review``. ``n`` is the report's length.
+    """
+    known = files.select("file_id", "package", "owner")
+    used = edges.where(F.col("kind").isin(*IMPORT_KINDS)).select("src", "dst", "kind").distinct()
+    ends = F.array(*[F.struct(F.col(a).alias("file_id"), F.col(b).alias("near"), F.lit(i).alias("i")) for a, b, i in (("dst", "src", 1), ("src", "dst", 0))])
+    sides = used.select(F.explode(ends).alias("e")).select("e.*")
+    near = sides.join(known.toDF("near", "near_package", "near_owner"), "near").join(known, "file_id")
+    apart = lambda a, b: F.count_if(F.col(a) != F.col(b))
+    total = near.groupBy("file_id").agg(F.sum("i").alias("fan_in"), F.sum(1 - F.col("i")).alias("fan_out"), apart("package", "near_package").alias("cross_package"), apart("owner", "near_owner").alias("cross_owner"), F.count("*").alias("__all"))
+    order = [F.col("__all").desc(), F.col("cross_owner").desc(), F.col("file_id")]
+    first = total.where(F.col("__all") >= HOTSPOT).orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    teams = near.join(F.broadcast(first.select("file_id")), "file_id", "left_semi").groupBy("file_id").agg(F.collect_set("owner").alias("__o"), F.collect_set("near_owner").alias("__n"))  # ``n`` files
+    advice = (
+        F.when((F.col("cross_owner") > 0) & (F.col("cross_owner") > F.floor(F.col("__all") / 3)), "share-ownership").when(F.col("cross_package") > F.floor(F.col("__all") / 2), "extract-package")
+        .when((F.col("fan_in") > 3 * F.col("fan_out")) & (F.col("fan_out") > 0), "define-surface").when((F.col("fan_out") > 3 * F.col("fan_in")) & (F.col("fan_in") > 0), "split").otherwise("review")
+    )
+    return first.join(teams, "file_id").select("file_id", "fan_in", "fan_out", "cross_package", "cross_owner", F.sort_array(F.array_union("__o", "__n")).alias("teams"), advice.alias("advice"), "rank")
+
+
+# Kinds of governance actions with their effort and impact, in the order in which equal ones come.
+ACTIONS = {
+    "add-boundary-rule": ("low", "high"), "assign-ownership": ("medium", "high"), "introduce-tags": ("low", "medium"), "split-hotspot": ("high", "high"), "enforce-layering": ("low", "medium"),
+    "add-reachability-fence": ("low", "medium"),
+}
+TAG_SOURCES = ("workspace", "package", "directory-cluster", "ownership", "framework-detection", "file-pattern")
+
+
+def governance_actions(suggestions: DataFrame, hints: DataFrame, tags: DataFrame, hot: DataFrame, layered: DataFrame, fenced: DataFrame) -> DataFrame:
+    """One row for each kind of action that the findings ask for: (priority, kind, effort, impact, items, detail); most impact first, then least effort.
+
+    suggestions: confidence (only ``high`` ones count). hints: edges. tags: source. hot: file_id, fan_in, fan_out (those of three times the least count). layered, fenced: any rows.
+    The rules themselves stay in the tables they come from.
+    """
+    severe = hot.select("file_id", (F.col("fan_in") + F.col("fan_out")).alias("edges")).where(F.col("edges") >= 3 * HOTSPOT)
+    worst = severe.orderBy(F.col("edges").desc(), "file_id").limit(3).agg(F.array_sort(F.collect_list(F.struct((-F.col("edges")).alias("e"), "file_id"))).alias("w"))  # three files
+    worst = worst.select(F.array_join(F.transform("w", lambda x: F.format_string("%s (%d edges)", x["file_id"].cast("string"), -x["e"])), ", ").alias("detail"))
+    by_source = F.concat_ws(", ", *[F.when(F.count_if(F.col("source") == s) > 0, F.format_string(f"%d {s}", F.count_if(F.col("source") == s))) for s in TAG_SOURCES])
+    count = lambda rows, detail: rows.agg(F.count("*").alias("items"), detail.alias("detail"))
+    none: Column = F.max(F.lit(""))
+    found = {
+        "add-boundary-rule": count(suggestions.where("confidence = 'high'"), none), "assign-ownership": count(hints, F.format_string("%d edges between areas", F.sum("edges"))), "introduce-tags": count(tags, by_source),
+        "split-hotspot": severe.agg(F.count("*").alias("items")).crossJoin(worst), "enforce-layering": count(layered, none), "add-reachability-fence": count(fenced, none),
+    }  # one row each
+    level = {"low": 1, "medium": 2, "high": 3}
+    rows = [found[kind].select(F.lit(kind).alias("kind"), F.lit(effort).alias("effort"), F.lit(impact).alias("impact"), "items", "detail", F.lit(-level[impact]).alias("__i"), F.lit(level[effort]).alias("__e"), F.lit(k).alias("__k")) for k, (kind, (effort, impact)) in enumerate(ACTIONS.items())]
+    there = reduce(DataFrame.unionByName, rows).where("items > 0")
+    return there.select(F.row_number().over(Window.orderBy("__i", "__e", "__k")).alias("priority"), "kind", "effort", "impact", "items", "detail")  # six rows at most
+
+
 def ownership_hints(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Top folders with several edges to other packages: (folder, edges)."""
     a = files.select(F.col("file_id").alias("__a"), F.col("package").alias("pa"), directory(F.col("rel_path"), 1).alias("folder"))

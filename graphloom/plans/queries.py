@@ -531,11 +531,16 @@ def role_tags(c: Canon) -> DataFrame:
     return tags.role_tags(c["files"].withColumn("rel_path", F.concat(folder, F.lit("/x/"), folder, F.lit("/"), F.col("rel_path"))))
 
 
-@query("""e AS (SELECT package, kind FROM entries JOIN files USING (file_id) WHERE kind <> 'explicit-config' OR package = 'brand-2')
-    SELECT package, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM e GROUP BY package HAVING bool_and(kind IN ('package-main', 'package-bin', 'framework-pack'))""", ("files", "entries"))
+# Groups of a brand's files by number: of whole brands, each has explicit entries.
+_FENCED = """e AS (SELECT concat(package, '-', file_id % 40) AS package, kind FROM entries JOIN files USING (file_id)),
+    fn AS (SELECT package, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM e GROUP BY package HAVING bool_and(kind IN ('package-main', 'package-bin', 'framework-pack')))"""
+
+
+@query(_FENCED + " SELECT package, kinds FROM fn", ("files", "entries"))
 def fence_packages(c: Canon) -> DataFrame:
-    files = c["files"].select("file_id", "package", F.concat_ws("/", F.lit("packages"), "package").alias("workspace"))
-    seeds = c["entries"].join(files.select(F.col("file_id").alias("__f"), "workspace"), F.col("file_id") == F.col("__f")).where("kind <> 'explicit-config' or workspace = 'packages/brand-2'")
+    group = F.concat_ws("-", "package", (F.col("file_id") % 40).cast("string"))
+    files = c["files"].select("file_id", group.alias("package"), F.concat(F.lit("packages/"), group).alias("workspace"))
+    seeds = c["entries"].join(files.select(F.col("file_id").alias("__f"), "workspace"), F.col("file_id") == F.col("__f"))
     return tags.fences(seeds, files, kinds=["package-main", "package-bin", "framework-pack"]).select("package", F.array_join("kinds", ",").alias("kinds"))
 
 
