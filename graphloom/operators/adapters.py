@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import dependency_name
+from graphloom.operators.resolve import normalised
 from graphloom.sources.repo import without_comments
 
 #: Levels of keys that are followed.
@@ -99,6 +100,19 @@ def config_inputs(rows: DataFrame, rules: list[tuple[str, str, str, str, str, st
     return met.select(root.alias("root"), "rel_path", "tool", kind.alias("kind"), last.alias("key"), named.alias("value")).where("value is not null").distinct()
 
 
+def tool_aliases(inputs: DataFrame) -> DataFrame:
+    """(prefix, target, scope, origin) of the aliases that tools' configurations name, for files below the configuration's folder, which targets start from.
+
+    A test runner's expression is read where it is a prefix with one group at its end; others stay as they are written and fit no specifier.
+    """
+    cut: Column = F.regexp_replace(F.regexp_replace("key", r"^\^|\$$", ""), r"/\(\.[*+]\)$", "")
+    mapped = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "^<rootDir>$", "."), "^<rootDir>/", ""), r"/\$1$", "")
+    plain = lambda c: F.regexp_replace(c, r"/\*$", "")
+    runner = F.col("tool") == "jest"
+    rows = inputs.where("kind = 'alias' and value <> ''").select("root", F.when(runner, cut).otherwise(plain("key")).alias("prefix"), F.when(runner, mapped).otherwise(plain("value")).alias("target"), F.when(F.col("tool") == "babel", "Babel").otherwise("TsconfigPaths").alias("origin"))
+    return rows.where("prefix <> ''").select("prefix", normalised(F.concat_ws("/", "root", "target")).alias("target"), F.col("root").alias("scope"), "origin").distinct()
+
+
 def packages(inputs: DataFrame) -> DataFrame:
     """(root, dep) of the packages that configurations name: by name, by the short forms of presets and plugins, or as a word of a command."""
     named = inputs.where("kind = 'package'").select("root", "tool", F.regexp_replace("value", "^(module|plugin):", "").alias("value")).where("not value rlike '^[./]|^<'")

@@ -91,7 +91,8 @@ class Scan:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return self.rounds.table(config.tsconfig_aliases(self.rows, self.workspaces))
+        """(prefix, target, scope, origin) of the compiler's paths and of tools' configurations."""
+        return self.rounds.table(config.tsconfig_aliases(self.rows, self.workspaces).unionByName(adapters.tool_aliases(self.config_inputs)))
 
     @cached_property
     def specifiers(self) -> DataFrame:
