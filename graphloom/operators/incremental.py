@@ -39,14 +39,16 @@ def stored_facts(sources: DataFrame, store: str, extract: Callable[[DataFrame],
     """Facts of ``sources`` (rel_path, text), and how many texts had to be read for them.
 
     ``extract`` makes rows with ``rel_path`` of such sources. The folder ``store`` holds a list of the (rel_path, digest) read and their facts, and grows by
-    what is new; a lost write leaves facts without a list entry, which are read again and count once.
+    what is new; a lost write leaves facts without a list entry, which are read again and count once. The facts returned name their files, as Spark takes two reads
+    of one folder for the same, whatever was added between them.
     """
     spark = sources.sparkSession
     rounds = Rounds(spark)
     keyed = sources.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     now = rounds.table(keyed.select("rel_path", "digest").distinct())
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/known")
-    known = spark.read.parquet(f"{store}/known") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else now.limit(0)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    known = spark.read.parquet(f"{store}/known") if fs.exists(path(f"{store}/known")) else now.limit(0)
     fresh, n = rounds.counted(now.join(known, ["rel_path", "digest"], "left_anti"))
     if n:
         asked = keyed.join(fresh, ["rel_path", "digest"], "left_semi")
@@ -54,5 +56,6 @@ def stored_facts(sources: DataFrame, store: str, extract: Callable[[DataFrame],
         found.write.mode("append").parquet(f"{store}/facts")
         fresh.write.mode("append").parquet(f"{store}/known")
     if n or not known.isEmpty():
-        return spark.read.parquet(f"{store}/facts").join(now, ["rel_path", "digest"], "left_semi").distinct(), n
+        there = [s.getPath() for s in fs.listStatus(path(f"{store}/facts"))]
+        return spark.read.parquet(*[p.toString() for p in there if p.getName()[0] not in "_."]).join(now, ["rel_path", "digest"], "left_semi").distinct(), n
     return extract(sources.limit(0)).withColumn("digest", F.lit("")), n

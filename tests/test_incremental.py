@@ -71,3 +71,14 @@ def test_configurations_of_tools(spark):
     assert {("", "jest-environment-jsdom"), ("", "eslint-config-airbnb"), ("", "babel-preset-env"), ("", "babel-plugin-macros"), ("", "ts-node"), ("", "tsc"), ("w", "@angular/build"), ("w", "@nx/node"), ("", "commitlint-config-conventional")} <= deps
     assert adapters.config_inputs(rows.limit(0)).count() == 0
     assert inputs.where(F.col("rel_path") == "jest.config.json").count() == 0
+
+
+def test_facts_of_two_runs_in_one_query(spark, tmp_path):
+    store, broadcast = f"file://{tmp_path}/store", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = [spark.createDataFrame([("a.ts", "import './b';"), ("b.ts", last)], "rel_path string, text string") for last in ("export const b = 1;", "import './a';\nimport './c';")]
+        facts = [incremental.stored_facts(rows, store, extracted)[0].agg(F.count("specifier").alias("n")) for rows in runs]
+        assert [r["n"] for r in facts[0].unionByName(facts[1]).collect()] == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
