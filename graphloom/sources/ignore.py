@@ -1,9 +1,9 @@
 """Ignore files of a tree: which paths the rules of all folders above them take out.
 
 A rule belongs to the folder of its file and is held against paths below it. A path may be taken out itself, or lie below a folder that is:
-inside such a folder no rule brings anything back. So each path is taken apart into its prefixes (its folders, and itself); for each prefix
-the last rule of the deepest folder that fits decides; and a path is out if one of its prefixes is. Rules meet prefixes by an equi join on the
-rule's folder, and prefixes that many paths share are judged once.
+inside such a folder no rule brings anything back. So each folder is taken apart into its prefixes (the folders above, and itself); for each prefix
+the last rule of the deepest folder that fits decides; and a folder is out if one of its prefixes is. Rules meet folders by an equi join on the
+rule's folder. A path meets its folder, and the rules of the folders above that fit it decide, unless that folder is out.
 """
 
 from __future__ import annotations
@@ -81,14 +81,20 @@ def ignore_rules(files: DataFrame) -> DataFrame:
 def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The ``rel_path`` of ``paths`` that the rules take out, each once."""
     parts = F.split("rel_path", "/")
-    upto = lambda n: F.array_join(F.slice(parts, 1, n), "/")
-    each = paths.select("rel_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(upto(n).alias("prefix"), (n < F.size(parts)).alias("is_folder")))).alias("p")).select("rel_path", "p.*")
-    prefixes = each.select("prefix", "is_folder").distinct()
-    above = F.split("prefix", "/")
-    bases = F.transform(F.sequence(F.lit(0), F.size(above) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(above, 1, n), "/").alias("base")))
-    asked = prefixes.select("prefix", "is_folder", F.explode(bases).alias("b")).select("prefix", "is_folder", "b.*")
+    files = paths.select("rel_path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("folder"), (F.size(parts) - 1).alias("deep"))
+    folders, above = files.select("folder", "deep").distinct(), F.split("folder", "/")
+    upto = lambda n: F.array_join(F.slice(above, 1, n), "/")
+    each = folders.where("deep > 0").select("folder", "deep", F.explode(F.transform(F.sequence(F.lit(1), F.col("deep")), upto)).alias("prefix"))
+    up = F.split("prefix", "/")
+    bases = F.transform(F.sequence(F.lit(0), F.size(up) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(up, 1, n), "/").alias("base")))
+    asked = each.select("prefix").distinct().select("prefix", F.explode(bases).alias("b")).select("prefix", "b.*")
     inside = F.when(F.col("base") == "", F.col("prefix")).otherwise(F.expr("substring(prefix, length(base) + 2)"))
-    met = asked.join(rules, "base").withColumn("inside", inside).where(F.expr("(is_folder or not folders_only) and inside rlike regex"))
-    last = met.groupBy("prefix", "is_folder").agg(F.max_by("negated", F.struct("depth", "ordinal")).alias("negated"))
-    out = last.where("not negated").select("prefix", "is_folder")
-    return each.join(out, ["prefix", "is_folder"], "left_semi").select("rel_path").distinct()
+    met = asked.join(rules, "base").withColumn("inside", inside).where(F.expr("inside rlike regex"))
+    out = met.groupBy("prefix").agg(F.max_by("negated", F.struct("depth", "ordinal")).alias("negated")).where("not negated").select("prefix")
+    gone = each.join(out, "prefix").select("folder", "deep").distinct().withColumn("gone", F.lit(True))
+    # The rules that a folder's own files meet, the last that counts first; so files themselves are neither taken apart nor grouped.
+    own = folders.select("folder", "deep", F.explode(F.sequence(F.lit(0), F.col("deep"))).alias("depth")).withColumn("base", upto(F.col("depth"))).join(rules.where("not folders_only"), "base")
+    last = own.groupBy("folder", "deep").agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "ordinal", "base", "regex", "negated")))).alias("rules"))
+    known = folders.join(gone, ["folder", "deep"], "left").join(last, ["folder", "deep"], "left").where("gone or rules is not null")
+    hit = F.expr("get(filter(rules, r -> if(r.base = '', rel_path, substring(rel_path, length(r.base) + 2)) rlike r.regex), 0).negated")
+    return files.join(known, ["folder", "deep"]).where(F.col("gone").isNotNull() | ~hit).select("rel_path").distinct()
