@@ -1,15 +1,18 @@
 """Bursts of file changes: a repository is rebuilt once it has been quiet for a while, in numbered generations, whatever order changes come in.
 
 State of one repository: spans of quiet time (``slots``) with their first and last change, and the paths of each. Two changes of one slot are always of one
-burst, so bursts are found from the few slots that are open, and a burst's paths go from the state store to the output one by one. Changes later than the
+burst, so bursts are found from the few slots that are open, and a burst's paths go from the state store to the output one by one. Changes come in frames, and
+the store is called for each path of a slot, not for each change. Changes later than the
 watermark are dropped by Spark; others may come in any order and more than once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -19,6 +22,10 @@ GENERATIONS = "root string, generation long, path string, invalidates string, st
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Paths of a batch that are remembered as told to the store, and rows of a frame that goes out.
+TOLD, FRAME = 1_000_000, 10_000
+
+
 class Bursts(StatefulProcessor):
     """Rows (root, generation, path, invalidates, started, ended) of bursts that have ended; times in microseconds."""
 
@@ -31,27 +38,39 @@ class Bursts(StatefulProcessor):
         self.slots = handle.getMapState("slots", "slot long", "first long, last long")
         self.paths = handle.getMapState("paths", "slot long, path string", "invalidates string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         spans: dict[int, tuple[int, int]] = {}
-        for r in rows:
-            slot = r.micros // self.quiet
-            first, last = spans.get(slot, (r.micros, r.micros))
-            spans[slot] = min(first, r.micros), max(last, r.micros)
-            self.paths.updateValue((slot, r.path), (r.invalidates,))
+        told: set[tuple[int, str]] = set()  # what the store has been told in this batch
+        for frame in rows:
+            frame = frame.assign(slot=frame["micros"] // self.quiet)
+            for slot, first, last in frame.groupby("slot")["micros"].agg(["min", "max"]).itertuples(name=None):
+                old = spans.get(slot, (first, last))
+                spans[slot] = min(first, old[0]), max(last, old[1])
+            for slot, path, invalidates in frame[["slot", "path", "invalidates"]].drop_duplicates(["slot", "path"]).itertuples(index=False, name=None):
+                if (slot, path) not in told:
+                    self.paths.updateValue((slot, path), (invalidates,))
+                    told.add((slot, path))
+            if len(told) > TOLD:
+                told.clear()
         for slot, (first, last) in spans.items():
             if self.slots.containsKey((slot,)):
                 old = self.slots.getValue((slot,))
                 first, last = min(first, old[0]), max(last, old[1])
             self.slots.updateValue((slot,), (first, last))
-        yield from self._ended(key, timerValues)
+        yield from self._frames(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield from self._frames(key, timerValues)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        yield from self._ended(key, timerValues)
+    def _frames(self, key: tuple, timers: object) -> Iterator[pd.DataFrame]:
+        ended = self._ended(key, timers)
+        while rows := list(islice(ended, FRAME)):
+            yield pd.DataFrame(rows, columns=["root", "generation", "path", "invalidates", "started", "ended"])
 
     def close(self) -> None:
         pass
 
-    def _ended(self, key: tuple, timers: object) -> Iterable[Row]:
+    def _ended(self, key: tuple, timers: object) -> Iterator[tuple]:
         """What bursts that have ended hold; a timer is set for the first one that has not."""
         bursts: list[list] = []
         for (slot,), (first, last) in sorted((tuple(k), tuple(v)) for k, v in self.slots.iterator()):
@@ -74,7 +93,7 @@ class Bursts(StatefulProcessor):
             for (slot, path), (invalidates,) in self.paths.iterator():
                 if slot in burst_of:
                     generation, first, last = burst_of[slot]
-                    yield Row(root=key[0], generation=generation, path=path, invalidates=invalidates, started=first, ended=last)
+                    yield key[0], generation, path, invalidates, first, last
                     gone.append((slot, path))
             for each in gone:
                 self.paths.removeKey(each)
@@ -94,7 +113,7 @@ def generations(changes: DataFrame, *, quiet_ms: int = 200, late: str = "10 seco
     A path that a burst holds in several spans of quiet time comes as often: all rows of a burst come in one batch, where ``distinct`` settles it.
     """
     relevant = changes.select("root", "path", invalidation(F.col("path")).alias("invalidates"), "ts", F.unix_micros("ts").alias("micros")).where("invalidates is not null and root is not null and ts is not null")
-    return relevant.withWatermark("ts", late).groupBy("root").transformWithState(Bursts(quiet_ms), GENERATIONS, "Append", "EventTime")
+    return relevant.withWatermark("ts", late).groupBy("root").transformWithStateInPandas(Bursts(quiet_ms), GENERATIONS, "Append", "EventTime")
 
 
 def rebuild_when_quiet(changes: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, *, quiet_ms: int = 200, late: str = "10 seconds", **trigger: object) -> StreamingQuery:

@@ -1,8 +1,11 @@
 """What must not grow with the files: plans that take folders apart, not files, and joins of rounds that are not sent through the driver."""
 
+import pandas as pd
+
 from graphloom.operators import graph
 from graphloom.sources.ignore import ignore_rules, ignored
 from graphloom.sources.repo import inventory
+from graphloom.streaming import debounce
 
 PATHS = ["a/x.ts", "a/b/y.ts", "a/b/c/z.log", "d/e.ts", "top.ts", "a/b/c/w.ts"]
 
@@ -24,3 +27,29 @@ def test_ignored_by_folder(spark):
     out = ignored(files, rules)
     assert sorted(r["rel_path"] for r in out.collect()) == ["a/b/c/z.log", "a/b/y.ts", "d/e.ts", "top.ts"]
     assert generators(out) and not [g for g in generators(out) if "rel_path" in g]
+
+
+class Calls:
+    """State kept in a dictionary, with the number of writes."""
+
+    def __init__(self):
+        self.rows, self.writes = {}, 0
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+        self.writes += 1
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+
+def test_store_is_told_a_path_of_a_slot_once(monkeypatch):
+    bursts = debounce.Bursts(1000)
+    bursts.paths, bursts.slots = Calls(), Calls()
+    monkeypatch.setattr(debounce.Bursts, "_ended", lambda self, key, timers: iter(()))
+    frames = [pd.DataFrame({"micros": [i * 10 + k for i in range(500)], "path": ["a", "b"] * 250, "invalidates": "x"}) for k in range(4)]
+    assert list(bursts.handleInputRows(("r",), iter(frames), None)) == []
+    assert bursts.paths.writes == 2 and bursts.slots.rows == {(0,): (0, 4993)}
