@@ -1,8 +1,7 @@
-"""What must not grow with the files: plans that take folders apart, not files, and joins of rounds that are not sent through the driver."""
+"""What must not grow with the files or changes: plans take folders apart, not files, and the state is told a path once."""
 
 import pandas as pd
 
-from graphloom.operators import graph
 from graphloom.sources.ignore import ignore_rules, ignored
 from graphloom.sources.repo import inventory
 from graphloom.streaming import debounce
