@@ -25,3 +25,11 @@ def test_closure_of_long_lines(spark, monkeypatch):
     behind = lambda n: {*range(n + 1, 181), *([7] if n == 7 else [])} if n < 120 else set(range(120, 181)) if n < 300 else set(range(300, 331))
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, _ in pairs for b in behind(a)}
     assert len(written) < 25  # a write for every third step without runs
+
+
+def test_components_of_long_lines(spark, monkeypatch):
+    _, edges = lines(spark)
+    written = counting(monkeypatch)
+    got = {(r["node"], r["component"]) for r in graph.strong_components(edges).collect()}
+    assert got == {(n, 120) for n in range(120, 181)} | {(n, 300) for n in range(300, 331)}
+    assert len(written) < 25
