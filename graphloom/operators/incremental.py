@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import reach
-from graphloom.operators.tables import Rounds
+from graphloom.operators.tables import Rounds, shuffled
 
 
 def reached_after(old_edges: DataFrame, new_edges: DataFrame, old_seeds: DataFrame, new_seeds: DataFrame, reached: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def reached_after(old_edges: DataFrame, new_edges: DataFrame, old_seeds: DataFra
     rounds = Rounds(reached.sparkSession)
     old, new = (e.select("src", "dst").distinct() for e in (old_edges, new_edges))
     was = reached.select("node").distinct()
-    gone = old.join(new, ["src", "dst"], "left_anti").join(was.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
-    unseeded = old_seeds.select("node").join(new_seeds.select("node"), "node", "left_anti")
+    gone = old.join(shuffled(new), ["src", "dst"], "left_anti").join(shuffled(was.withColumnRenamed("node", "src")), "src", "left_semi").select(F.col("dst").alias("node"))
+    unseeded = old_seeds.select("node").join(shuffled(new_seeds.select("node")), "node", "left_anti")
     doubtful = rounds.table(gone.unionByName(unseeded).distinct())
     lost = rounds.table(reach(old, doubtful).select("node"))
-    stays = rounds.table(was.join(lost, "node", "left_anti"))
-    outside = rounds.table(new.join(stays.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    entered = outside.join(stays.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
-    begins = entered.unionByName(new_seeds.select("node").join(stays, "node", "left_anti")).distinct()
+    stays = rounds.table(was.join(shuffled(lost), "node", "left_anti"))
+    outside = rounds.table(new.join(shuffled(stays.withColumnRenamed("node", "dst")), "dst", "left_anti").select("src", "dst"))
+    entered = outside.join(shuffled(stays.withColumnRenamed("node", "src")), "src", "left_semi").select(F.col("dst").alias("node"))
+    begins = entered.unionByName(new_seeds.select("node").join(shuffled(stays), "node", "left_anti")).distinct()
     return stays.unionByName(reach(outside, begins).select("node"))
 
 

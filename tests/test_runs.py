@@ -1,6 +1,6 @@
 """Long lines of nodes are searched as one node, and what grows with the graph is not broadcast in the rounds."""
 
-from graphloom.operators import graph
+from graphloom.operators import graph, incremental
 from graphloom.operators.tables import Rounds
 
 
@@ -33,3 +33,24 @@ def test_components_of_long_lines(spark, monkeypatch):
     got = {(r["node"], r["component"]) for r in graph.strong_components(edges).collect()}
     assert got == {(n, 120) for n in range(120, 181)} | {(n, 300) for n in range(300, 331)}
     assert len(written) < 25
+
+
+def broadcast(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def small(spark):
+    """Written tables of a few rows, which Spark would broadcast."""
+    rounds = Rounds(spark)
+    edges = rounds.table(spark.createDataFrame([(k, k + 1, "StaticImportValue") for k in range(12)], "src long, dst long, kind string"))
+    files = rounds.table(spark.createDataFrame([(k, f"src/{k}.ts", "w", f"p{k % 2}") for k in range(13)], "file_id long, rel_path string, workspace string, package string"))
+    return edges, files
+
+
+def test_maintained_reachability_without_broadcasts(spark, monkeypatch):
+    edges, files = small(spark)
+    node = files.selectExpr("file_id as node")
+    written = counting(monkeypatch)
+    got = incremental.reached_after(edges, edges.where("src <> 6"), node.where("node = 0"), node.where("node = 0"), node)
+    assert {r["node"] for r in got.collect()} == set(range(7))
+    assert written and not [df for df in written if broadcast(df)]
