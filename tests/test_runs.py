@@ -1,6 +1,6 @@
 """Long lines of nodes are searched as one node, and what grows with the graph is not broadcast in the rounds."""
 
-from graphloom.operators import graph, incremental
+from graphloom.operators import graph, incremental, rules
 from graphloom.operators.tables import Rounds
 
 
@@ -54,3 +54,13 @@ def test_maintained_reachability_without_broadcasts(spark, monkeypatch):
     got = incremental.reached_after(edges, edges.where("src <> 6"), node.where("node = 0"), node.where("node = 0"), node)
     assert {r["node"] for r in got.collect()} == set(range(7))
     assert written and not [df for df in written if broadcast(df)]
+
+
+def test_rules_without_broadcasts(spark):
+    edges, files = small(spark)
+    contexts = files.selectExpr("file_id as node", "rel_path as path", "workspace", "package")
+    for end, want in ((rules.End(reachable_from=("src/9.ts",)), {9, 10, 11}), (rules.End(reaches=("src/2.ts",)), {0, 1, 2})):
+        found = rules.violations(edges, contexts, [rules.Forbidden("r", end)])
+        assert {r["src"] for r in found.collect()} == want
+        # The labels of a search are few; nothing else is sent round.
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2
