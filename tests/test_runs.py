@@ -1,6 +1,6 @@
 """Long lines of nodes are searched as one node, and what grows with the graph is not broadcast in the rounds."""
 
-from graphloom.operators import graph, incremental, rules
+from graphloom.operators import analyzers, graph, incremental, rules
 from graphloom.operators.tables import Rounds
 
 
@@ -64,3 +64,11 @@ def test_rules_without_broadcasts(spark):
         assert {r["src"] for r in found.collect()} == want
         # The labels of a search are few; nothing else is sent round.
         assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2
+
+
+def test_impact_without_broadcasts(spark):
+    _, files = small(spark)
+    reached = files.selectExpr("file_id % 3 as target", "file_id as node")
+    found = analyzers.impact(reached, files, files.selectExpr("file_id", "'main' as kind").where("file_id < 2"))
+    assert {tuple(r) for r in found.collect()} == {(0, 5, "p0,p1", "main"), (1, 4, "p0,p1", "main"), (2, 4, "p0,p1", "")}
+    assert not broadcast(found)
