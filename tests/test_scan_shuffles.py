@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolve
+from graphloom.operators import analyzers, resolve
+from graphloom.operators.tables import Rounds
 from graphloom.plans import scan_queries
 from graphloom.sources import config
 from graphloom.sources.projections import Canon
@@ -34,3 +35,11 @@ def test_texts_and_contexts(spark, files):
     assert broadcasts(scan_queries.texts(Canon(spark, SF))) == 0
     asked = spark.createDataFrame([("b", True, "^x")], "base string, deep boolean, regex string")
     assert broadcasts(config.begun(config.headed(asked), files, F.col("path"))) == 0
+
+
+def test_unused_files(spark, files):
+    written = Rounds(spark).table  # of written tables Spark knows how small they are
+    rows = written(files.selectExpr("rel_path", "rel_path AS file_id", "'source' AS role", "'' AS directory"))
+    pressure = written(spark.createDataFrame([("a.ts", 1, 1)], "file_id string, unresolved long, resolved long"))
+    edges, reached = written(spark.createDataFrame([("a.ts", "f")], "src string, dst string")), written(spark.createDataFrame([("f",)], "node string"))
+    assert broadcasts(analyzers.unused_files(rows, reached, edges, pressure)) == 1  # one row
