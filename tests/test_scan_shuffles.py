@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import analyzers, resolve
+from graphloom.operators import analyzers, liveness, resolve
 from graphloom.operators.tables import Rounds
 from graphloom.plans import scan_queries
 from graphloom.sources import config
@@ -43,3 +43,9 @@ def test_unused_files(spark, files):
     pressure = written(spark.createDataFrame([("a.ts", 1, 1)], "file_id string, unresolved long, resolved long"))
     edges, reached = written(spark.createDataFrame([("a.ts", "f")], "src string, dst string")), written(spark.createDataFrame([("f",)], "node string"))
     assert broadcasts(analyzers.unused_files(rows, reached, edges, pressure)) == 1  # one row
+
+
+def test_live_exports(spark):
+    written = Rounds(spark).table
+    exports = written(spark.createDataFrame([("f", "a", False)], "file string, name string, is_type boolean"))
+    assert broadcasts(liveness.live_exports(exports, written(spark.createDataFrame([("f", "a")], "file string, name string")))) == 0
