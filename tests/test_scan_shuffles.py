@@ -49,3 +49,9 @@ def test_live_exports(spark):
     written = Rounds(spark).table
     exports = written(spark.createDataFrame([("f", "a", False)], "file string, name string, is_type boolean"))
     assert broadcasts(liveness.live_exports(exports, written(spark.createDataFrame([("f", "a")], "file string, name string")))) == 0
+
+
+def test_unused_packages(spark):
+    written = Rounds(spark).table
+    files = written(spark.createDataFrame([("f", "p")], "file_id string, package string"))
+    assert broadcasts(analyzers.unused_packages(files, written(spark.createDataFrame([("f",)], "node string")))) == 0
